@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import importlib
 
-MODULES = ("tracks",)
+MODULES = ("tracks", "calendars", "reports", "tables", "encoding", "statistics", "shapes", "exposures", "models", "features")
 
 
 def _in_utc(fn):
@@ -20,13 +20,13 @@ def _in_utc(fn):
 def _collect(part: str) -> dict:
     out = {}
     for name in MODULES:
-        out.update(getattr(importlib.import_module(f"{__name__}.{name}"), part))
+        out.update(getattr(importlib.import_module(f"{__name__}.{name}").REGISTRY, part))
     return out
 
 
 def all_queries() -> dict:
-    return {name: _in_utc(fn) for name, fn in _collect("QUERIES").items()}
+    return {name: _in_utc(fn) for name, fn in _collect("queries").items()}
 
 
 def all_oracles() -> dict:
-    return _collect("ORACLES")
+    return _collect("oracles")

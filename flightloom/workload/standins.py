@@ -259,12 +259,12 @@ SQL = {
                    * pow(sin(radians(arg_max(lon, dt_radar) - arg_min(lon, dt_radar)) / 2), 2)))) AS distancia
         FROM points GROUP BY flightid""",
     "holdings": f"""
-        SELECT epoch_ms(ts) AS hora_ms, date_trunc('hour', ts) AS hour_ts, CAST(hour(ts) AS INT) AS hora,
+        SELECT epoch_us(ts) // 1000 AS hora_ms, date_trunc('hour', ts) AS hour_ts, CAST(hour(ts) AS INT) AS hora,
                CAST(isodow(ts) - 1 AS INT) AS diaSemana, {_AERO} AS aero, substr({_AERO}, 3) AS short,
                value AS esperas, CASE WHEN value > 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS troca
         FROM events""",
     "reports": f"""
-        SELECT event_id, epoch_ms(ts) AS hora, date_trunc('hour', ts) AS hour_ts, {_AERO} AS aero,
+        SELECT event_id, epoch_us(ts) // 1000 AS hora, date_trunc('hour', ts) AS hour_ts, {_AERO} AS aero,
           CASE WHEN event_id % 23 = 0 THEN 'garbage ' || event_id ELSE
           'METAR ' || {_AERO} || ' ' || strftime(ts, '%d%H%M') || 'Z '
           || CASE WHEN event_id % 11 = 0 THEN 'VRB' ELSE lpad((event_id * 10 % 360)::VARCHAR, 3, '0') END

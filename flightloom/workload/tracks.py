@@ -7,20 +7,11 @@ from pyspark.sql import functions as F
 from ..operators import clean, flights as flight_ops, joins, positions, tracks
 from ..plans import synthetic
 from . import standins as s
+from .registry import Registry
 from .standins import q, r, rounded, sql
 
-QUERIES = {}
-ORACLES = {}
-
-
-def _add(name, oracle=None):
-    def keep(fn):
-        QUERIES[name] = fn
-        if oracle:
-            ORACLES[name] = oracle
-        return fn
-
-    return keep
+REGISTRY = Registry()
+_add = REGISTRY.add
 
 
 _EXACT = ("flightid", "n_points", "flightlevel_min", "flightlevel_max", "speed_min", "speed_max")
