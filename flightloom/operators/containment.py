@@ -13,7 +13,6 @@ from .skew import skew_join
 
 _CELL = ["bucket", "_cx", "_cy"]
 
-
 def _edge_cells(edges: DataFrame, keys: Sequence[str], size: float, rows_per_task: int | None) -> DataFrame:
     """Each edge once per grid square whose points may see it on their right.
 
@@ -38,8 +37,9 @@ def containments(
     """(point columns, polygon keys) for each polygon of the same bucket that holds the point.
 
     ``points``: bucket, lon, lat and columns that tell points apart, no two rows equal.
-    ``edges``: bucket, the keys, x1, y1, x2, y2. Only crossed edges leave the join; an odd
-    number of them means inside.
+    ``edges``: bucket, the keys, vertice, x1, y1, x2, y2. An odd number of crossed edges
+    means inside. Both sides are shuffled by square (no broadcast), so that all crossings
+    of a point lie in one task and are counted there, before the next shuffle.
     """
     cells = _edge_cells(edges, ["bucket", *keys], size, rows_per_task)
     keyed = points.where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).withColumns(
@@ -48,7 +48,7 @@ def containments(
             "_cy": F.floor(F.col("lat") / F.lit(size)).cast("int"),
         }
     )
-    met = skew_join(keyed, cells, _CELL, "inner", rows_per_task)
+    met = skew_join(keyed, cells.hint("merge"), _CELL, "inner", rows_per_task)
     crossed = met.where(ray_crosses(*[F.col(c) for c in ("lon", "lat", "x1", "y1", "x2", "y2")]))
     return (
         crossed.groupBy(*points.columns, *keys)
@@ -59,7 +59,7 @@ def containments(
 
 
 def mark_inside(
-    points: DataFrame, vertices: DataFrame, keys: Sequence[str] = ("poly",), size: float = 5.0, rows_per_task: int | None = None
+    points: DataFrame, vertices: DataFrame, keys: Sequence[str] = ("poly",), size: float = 10.0, rows_per_task: int | None = None
 ) -> DataFrame:
     """Points ``(flightid, dt_radar, lon, lat, bucket)`` with ``copies`` and ``inside`` (0/1, any polygon).
 
@@ -78,7 +78,7 @@ def hits_per_flight(marked: DataFrame) -> DataFrame:
 
 
 def polygons_hit(
-    points: DataFrame, vertices: DataFrame, keys: Sequence[str] = ("poly",), size: float = 5.0, rows_per_task: int | None = None
+    points: DataFrame, vertices: DataFrame, keys: Sequence[str] = ("poly",), size: float = 10.0, rows_per_task: int | None = None
 ) -> DataFrame:
     """Each polygon with the number of points in it and a 0/1 hit flag."""
     slim = points.groupBy("flightid", "dt_radar", "lon", "lat", "bucket").agg(F.count(F.lit(1)).alias("copies"))
@@ -97,14 +97,13 @@ def most_exposed(marked: DataFrame) -> DataFrame:
     return hits_per_flight(marked).orderBy(F.desc("inside"), F.desc("points"), "flightid").limit(1)
 
 
-def overlay(marked: DataFrame, flight: DataFrame) -> DataFrame:
-    """Points of the chosen flight in time order with inside flag and start/end marks."""
-    own = marked.join(F.broadcast(flight.select("flightid").limit(1)), "flightid", "left_semi")
-    ends = own.agg(F.min("dt_radar").alias("_first"), F.max("dt_radar").alias("_last"))
-    # ``ends`` is one row, so this join adds two constants to each point.
-    marks = own.withColumn("_one", F.lit(1)).join(F.broadcast(ends.withColumn("_one", F.lit(1))), "_one")
-    return marks.select(
+def overlay(points: DataFrame, vertices: DataFrame, flight, size: float = 10.0) -> DataFrame:
+    """Points of one flight (given by its id) in time order, with inside flag and start/end marks."""
+    own = mark_inside(points.where(F.col("flightid") == F.lit(flight)), vertices, size=size)
+    # One row with two times.
+    first, last = own.agg(F.min("dt_radar"), F.max("dt_radar")).first()
+    return own.select(
         "flightid", "dt_radar", "lon", "lat", "bucket", "inside",
-        (F.col("dt_radar") == F.col("_first")).cast("int").alias("is_start"),
-        (F.col("dt_radar") == F.col("_last")).cast("int").alias("is_end"),
+        (F.col("dt_radar") == F.lit(first)).cast("int").alias("is_start"),
+        (F.col("dt_radar") == F.lit(last)).cast("int").alias("is_end"),
     ).orderBy("dt_radar")

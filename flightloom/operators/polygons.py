@@ -9,18 +9,20 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from .positions import position_in_group
+from .skew import skew_join
 
 POLYGON = ("image", "poly")
 
 
 def unpack_polygons(documents: DataFrame, key: str, json: str) -> DataFrame:
-    """Nested JSON ``polygons -> vertices -> [[x, y]]`` to vertex rows."""
+    """Nested JSON ``polygons -> vertices -> [[x, y]]`` to vertex rows, with each polygon's size."""
     shape = F.from_json(json, "array<array<array<array<int>>>>")
     polys = documents.select(F.col(key).alias("image"), F.posexplode(shape).alias("poly", "_ring"))
-    vertices = polys.select("image", "poly", F.posexplode("_ring").alias("vertice", "_point"))
+    size = F.size("_ring").alias("n_vertices")
+    vertices = polys.select("image", "poly", size, F.posexplode("_ring").alias("vertice", "_point"))
     point = F.element_at("_point", 1)
     return vertices.select(
-        "image", "poly", "vertice", F.element_at(point, 1).alias("x"), F.element_at(point, 2).alias("y")
+        "image", "poly", "vertice", F.element_at(point, 1).alias("x"), F.element_at(point, 2).alias("y"), "n_vertices"
     )
 
 
@@ -41,7 +43,15 @@ def renumber(vertices: DataFrame, keys: Sequence[str] = POLYGON, rows_per_task:
     return placed.withColumn("vertice", F.col("_place").cast("int")).drop("_place")
 
 
-def ring_edges(vertices: DataFrame, keys: Sequence[str] = POLYGON) -> DataFrame:
+def with_sizes(vertices: DataFrame, keys: Sequence[str] = POLYGON, rows_per_task: int | None = None) -> DataFrame:
+    """Add the number of vertices of each polygon, unless the source already gave it."""
+    if "n_vertices" in vertices.columns:
+        return vertices
+    sizes = vertices.groupBy(*keys).agg((F.max("vertice") + 1).alias("n_vertices"))
+    return skew_join(vertices, sizes, list(keys), "inner", rows_per_task)
+
+
+def ring_edges(vertices: DataFrame, keys: Sequence[str] = POLYGON, rows_per_task: int | None = None) -> DataFrame:
     """Edges ``(…keys, vertice, x1, y1, x2, y2)`` of each closed ring with three or more vertices.
 
     Each vertex is sent out twice, as start of its own edge and as end of the edge before,
@@ -49,22 +59,17 @@ def ring_edges(vertices: DataFrame, keys: Sequence[str] = POLYGON) -> DataFrame:
     thus spread over all tasks and no ring is built up in one place.
     """
     keys = list(keys)
-    start = F.struct(F.col("vertice").alias("k"), F.col("x").alias("x1"), F.col("y").alias("y1"),
-                     F.lit(None).cast("double").alias("x2"), F.lit(None).cast("double").alias("y2"))
-    end = F.struct((F.col("vertice") - 1).alias("k"), F.lit(None).cast("double").alias("x1"),
-                   F.lit(None).cast("double").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    numbers = vertices.select(*keys, "vertice", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    halves = numbers.select(*keys, F.explode(F.array(start, end)).alias("_h")).select(*keys, "_h.*")
-    met = halves.groupBy(*keys, "k").agg(*[F.max(c).alias(c) for c in ("x1", "y1", "x2", "y2")])
-    whole = met.where(F.col("x1").isNotNull() & F.col("x2").isNotNull())
-    # Left over per polygon: the first vertex as an end (k = -1), the last vertex as a start.
-    last = met.where(F.col("x2").isNull() & (F.col("k") >= 2)).drop("x2", "y2")
-    first = met.where(F.col("k") == -1).select(*keys, "x2", "y2")
-    closing = last.join(first, keys)
-    opening = whole.where(F.col("k") == 0).join(last.select(*keys), keys, "left_semi")
-    columns = [*keys, "k", "x1", "y1", "x2", "y2"]
-    edges = whole.where(F.col("k") > 0).select(columns)
-    return edges.unionByName(opening.select(columns)).unionByName(closing.select(columns)).withColumnRenamed("k", "vertice")
+    none = F.lit(None).cast("double")
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    before = F.pmod(F.col("vertice") - 1, F.col("n_vertices"))
+
+    def half(at, *ends):
+        return F.struct(at.alias("vertice"), *[e.alias(n) for e, n in zip(ends, ("x1", "y1", "x2", "y2"))])
+
+    halves = F.array(half(F.col("vertice"), x, y, none, none), half(before, none, none, x, y))
+    sized = with_sizes(vertices, keys, rows_per_task).where(F.col("n_vertices") >= 3)
+    sent = sized.select(*keys, F.explode(halves).alias("_half")).select(*keys, "_half.*")
+    return sent.groupBy(*keys, "vertice").agg(*[F.max(c).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
 def area_and_centroid(edges: DataFrame, keys: Sequence[str] = POLYGON) -> DataFrame:

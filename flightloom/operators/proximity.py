@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .skew import skew_join
+from .skew import hot_keys, skew_join
+
+# Squares are numbered by row and column, each within ±_OFFSET, in one negative long.
+_OFFSET = 1 << 30
 
 # Fixed value: vertices this many pixels apart or less join their polygons.
 REACH = 20
@@ -24,7 +27,7 @@ def _pixels(vertices: DataFrame) -> DataFrame:
 def _links(vertices: DataFrame, reach: int) -> DataFrame:
     """Graph edges (image, a, b) whose components are the components of the polygons.
 
-    Nodes are polygons and small squares. Any two pixels of one square are within reach, so
+    Nodes are polygons (their numbers, from 0) and small squares (negative). Any two pixels of one square are within reach, so
     a polygon links to the squares it has vertices in, and no pairs inside a square are
     needed. Two squares link if some pixel of one is within reach of some pixel of the
     other; a square has at most side² distinct pixels however many vertices lie on them.
@@ -37,12 +40,10 @@ def _links(vertices: DataFrame, reach: int) -> DataFrame:
         return F.floor(F.col(c) / F.lit(float(side)))
 
     def square(i, j):
-        return F.concat_ws(":", F.lit("s"), i, j)
+        return -1 - ((i + _OFFSET) * (2 * _OFFSET) + (j + _OFFSET))
 
     own = vertices.select(
-        "image",
-        F.concat_ws(":", F.lit("p"), F.col("poly")).alias("a"),
-        square(cell("x"), cell("y")).alias("b"),
+        "image", F.col("poly").cast("long").alias("a"), square(cell("x"), cell("y")).alias("b")
     ).distinct()
     pixels = _pixels(vertices).withColumns({"ci": cell("x"), "cj": cell("y")})
     ring = math.ceil(reach / side)
@@ -64,34 +65,39 @@ def _links(vertices: DataFrame, reach: int) -> DataFrame:
 
 
 def connected_labels(links: DataFrame, rows_per_task: int | None = None) -> DataFrame:
-    """(image, node, label): the smallest node name of each connected component.
+    """(image, node, label): the smallest node of each connected component.
 
-    Labels spread over the links by minimum and are then shortened by taking the label's
-    own label, so the number of rounds grows with the logarithm of the longest chain.
+    Each node keeps a parent. In a round every node takes its parent's parent; where a link
+    shows a smaller one on the other side, both the node and its parent take that. Trees
+    hook onto each other and flatten, so few rounds are needed even for long chains. Each
+    round ends in a written table; hot nodes and hot parents are split in the joins.
     """
     both = links.unionByName(links.select("image", F.col("b").alias("a"), F.col("a").alias("b")))
-    both = cut_lineage(both)
-    labels = cut_lineage(both.groupBy("image", F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    both = cut_lineage(both.withColumnRenamed("a", "node"))
+    crowded = hot_keys(both, ["image", "node"], rows_per_task)
+    labels = both.groupBy("image", "node").agg(F.min("b").alias("label"))
+    labels = cut_lineage(labels.withColumn("label", F.least("label", "node")))
     while True:
-        seen = skew_join(both.withColumnRenamed("a", "node"), labels, ["image", "node"], "inner", rows_per_task)
-        offered = seen.select("image", F.col("b").alias("node"), "label").unionByName(labels)
-        lower = offered.groupBy("image", "node").agg(F.min("label").alias("label"))
-        roots = lower.select("image", F.col("node").alias("label"), F.col("label").alias("root"))
-        jumped = skew_join(lower, roots, ["image", "label"], "inner", rows_per_task)
-        fresh = cut_lineage(jumped.select("image", "node", F.least("label", "root").alias("label")))
-        old = labels.withColumnRenamed("label", "old")
-        moved = fresh.join(old, ["image", "node"]).where(F.col("label") != F.col("old"))
-        labels = fresh
-        if moved.isEmpty():
-            return labels
+        above = labels.select("image", F.col("node").alias("label"), F.col("label").alias("top"))
+        tops = skew_join(labels.select("image", "node", "label"), above, ["image", "label"], "inner", rows_per_task)
+        this = skew_join(both, tops.select("image", "node", "top"), ["image", "node"], "inner", rows_per_task, hot=crowded)
+        other = this.select("image", F.col("b").alias("node"), F.col("top").alias("seen"))
+        pairs = skew_join(other, tops, ["image", "node"], "inner", rows_per_task, hot=crowded).where("seen < top")
+        unknown = F.lit(None).cast("long").alias("old")
+        offers = (
+            tops.select("image", "node", F.col("top").alias("label"), F.col("label").alias("old"))
+            .unionByName(pairs.select("image", "node", F.col("seen").alias("label"), unknown))
+            .unionByName(pairs.select("image", F.col("label").alias("node"), F.col("seen").alias("label"), unknown))
+        )
+        labels = cut_lineage(offers.groupBy("image", "node").agg(F.min("label").alias("label"), F.max("old").alias("old")))
+        if labels.where(F.col("label") < F.col("old")).isEmpty():
+            return labels.drop("old")
 
 
 def proximity_components(vertices: DataFrame, reach: int = REACH, rows_per_task: int | None = None) -> DataFrame:
     """(image, poly, component): component is the smallest polygon number in it."""
     labels = connected_labels(_links(vertices, reach), rows_per_task)
-    polys = labels.where(F.col("node").startswith("p:")).select(
-        "image", F.substring("node", 3, 40).cast("long").alias("poly"), "label"
-    )
+    polys = labels.where(F.col("node") >= 0).select("image", F.col("node").alias("poly"), "label")
     smallest = polys.groupBy("image", "label").agg(F.min("poly").alias("component"))
     return skew_join(polys, smallest, ["image", "label"], "inner", rows_per_task).select("image", "poly", "component")
 

@@ -44,16 +44,19 @@ def skew_join(
     keys: Sequence[str],
     how: str = "inner",
     rows_per_task: int | None = None,
+    hot: DataFrame | None | str = "count",
 ) -> DataFrame:
     """Equi-join in which the rows of a hot left key are dealt to several tasks.
 
     The left row picks one of ``n`` slices from a hash of its own content; the right rows
     of that key are repeated once per slice, so each pair still meets exactly once.
     Works for inner, left and left_semi joins. Left rows should not be plain copies of
-    each other (see collapse_copies), otherwise they share a slice.
+    each other (see collapse_copies), otherwise they share a slice. ``hot`` takes the result
+    of an earlier hot_keys on the same left side.
     """
     limit = rows_per_task or ROWS_PER_TASK
-    hot = hot_keys(left, keys, limit)
+    if isinstance(hot, str):
+        hot = hot_keys(left, keys, limit)
     if hot is None:
         return left.join(right, list(keys), how)
     plan = F.broadcast(

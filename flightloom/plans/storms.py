@@ -32,13 +32,14 @@ def scoring_exposure(points: DataFrame, storms: DataFrame) -> DataFrame:
     return exposure.flight_exposure(track_points(points), storms)
 
 
-def most_exposed_flight(points: DataFrame, vertices: DataFrame, start: str, hours: int = 1, size: float = 5.0):
+def most_exposed_flight(points: DataFrame, vertices: DataFrame, start: str, hours: int = 1, size: float = 10.0):
     """The flight of the window with most points in storm polygons, and its annotated points.
 
     ``points``: flightid, dt_radar (timestamp), lon, lat, bucket. ``vertices``: bucket, poly, vertice, x, y.
     """
     begin = F.lit(start).cast(points.schema["dt_radar"].dataType)
     window = points.where((F.col("dt_radar") >= begin) & (F.col("dt_radar") < times.add_hours(begin, hours)))
-    marked = containment.mark_inside(window, vertices, size=size)
-    best = containment.most_exposed(marked)
-    return best, containment.overlay(marked, best)
+    best = containment.most_exposed(containment.mark_inside(window, vertices, size=size)).first()
+    if best is None:
+        raise ValueError("no track points in the window")
+    return best["flightid"], containment.overlay(window, vertices, best["flightid"], size)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a skewed join even when the aggregate above it then needs its own shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Small but compute-heavy inputs (geometry joins) keep several tasks; large ones are not affected.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     "spark.ui.enabled": "false",
 }
 
@@ -27,10 +30,18 @@ def build_session(app: str = "flightloom", master: str | None = None, **extra: s
     return builder.getOrCreate()
 
 
-def _checkpoint_dir(spark: SparkSession) -> None:
+def tune(spark: SparkSession) -> SparkSession:
+    """Set the defaults that may change on a running session."""
+    for key, value in DEFAULTS.items():
+        if key.startswith("spark.sql."):
+            spark.conf.set(key, value)
+    return spark
+
+
+def _checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir():
-        return
+        return sc.getCheckpointDir()
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         sc.setCheckpointDir(shared)
@@ -38,13 +49,16 @@ def _checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="flightloom-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read on from there.
+    """Write ``df`` as a table in the shared checkpoint folder and read on from there.
 
     Used where later steps must see the very same rows even if an executor is lost
-    (row numbers that depend on partitioning) or where a loop would grow the plan.
+    (row numbers that depend on partitioning) or where a loop would grow the plan. A
+    written table also gives the planner true sizes for the joins that follow.
     """
-    _checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

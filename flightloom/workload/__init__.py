@@ -5,14 +5,15 @@ from __future__ import annotations
 import functools
 import importlib
 
+from ..session import tune
+
 MODULES = ("tracks", "calendars", "reports", "tables", "encoding", "statistics", "shapes", "exposures", "models", "features")
 
 
-def _in_utc(fn):
+def _tuned(fn):
     @functools.wraps(fn)
     def run(spark, sf_dir):
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return fn(spark, sf_dir)
+        return fn(tune(spark), sf_dir)
 
     return run
 
@@ -25,7 +26,7 @@ def _collect(part: str) -> dict:
 
 
 def all_queries() -> dict:
-    return {name: _in_utc(fn) for name, fn in _collect("queries").items()}
+    return {name: _tuned(fn) for name, fn in _collect("queries").items()}
 
 
 def all_oracles() -> dict:

@@ -103,5 +103,6 @@ def most_exposed(spark, d):
     ),
 )
 def route_overlay(spark, d):
-    marked = containment.mark_inside(s.geo_points(spark, d), s.geo_vertices(spark, d))
-    return containment.overlay(marked, containment.most_exposed(marked))
+    points, vertices = s.geo_points(spark, d), s.geo_vertices(spark, d)
+    best = containment.most_exposed(containment.mark_inside(points, vertices)).first()
+    return containment.overlay(points, vertices, best["flightid"])

@@ -21,7 +21,7 @@ _JSON = """SELECT vec_id || '.jpg' AS image, CAST(p AS INT) AS poly, CAST(v AS I
 
 @_add("json_vertices", _JSON)
 def json_vertices(spark, d):
-    return polygons.unpack_polygons(s.polygon_documents(spark, d), "data", "json")
+    return polygons.unpack_polygons(s.polygon_documents(spark, d), "data", "json").drop("n_vertices")
 
 
 @_add("json_log", """SELECT vec_id || '.jpg' AS image, CASE WHEN vec_id % 10 = 0 THEN 0 ELSE 1 END AS ok,
@@ -46,7 +46,7 @@ _AREAS = """SELECT image, poly, count(*) AS n_vertices, abs(sum(x1 * y2 - x2 * y
         "vertices", edges=_EDGES.format(v="vertices", n=32)),
 )
 def polygon_ring(spark, d):
-    return rounded(polygons.ring_edges(s.vertices(spark, d)), 9)
+    return rounded(polygons.ring_edges(s.vertices(spark, d).drop("n_vertices")), 9)
 
 
 @_add(
@@ -103,7 +103,7 @@ def polygon_size_rank(spark, d):
     sql("SELECT image, poly, vertice, x, y FROM vertices", "vertices"),
 )
 def polygon_renumbered(spark, d):
-    gaps = s.vertices(spark, d).withColumn("vertice", F.col("vertice") * 3 + 5)
+    gaps = s.vertices(spark, d).drop("n_vertices").withColumn("vertice", F.col("vertice") * 3 + 5)
     return polygons.renumber(gaps)
 
 

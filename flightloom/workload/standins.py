@@ -169,9 +169,10 @@ def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     )
     flat = read(spark, sf_dir, "embeddings").select(
-        F.col("label").alias("image"), F.col("vec_id").alias("poly"), F.explode(pair).alias("_v")
+        F.col("label").alias("image"), F.col("vec_id").alias("poly"), F.floor(F.size("embedding") / 2).cast("int").alias("n_vertices"),
+        F.explode(pair).alias("_v"),
     )
-    return flat.select("image", "poly", "_v.vertice", "_v.x", "_v.y")
+    return flat.select("image", "poly", "_v.vertice", "_v.x", "_v.y", "n_vertices")
 
 
 def pixel_vertices(spark: SparkSession, sf_dir: str, scale: int = 1000, shift: int = 500) -> DataFrame:
@@ -208,7 +209,7 @@ def geo_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def geo_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vertices(spark, sf_dir).select(
         F.col("image").cast("int").alias("bucket"), "poly", "vertice",
-        (F.col("x") * 200).alias("x"), (F.col("y") * 100).alias("y"),
+        (F.col("x") * 200).alias("x"), (F.col("y") * 100).alias("y"), "n_vertices",
     )
 
 
