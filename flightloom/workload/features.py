@@ -1,3 +1,139 @@
+"""Queries on the composite feature tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..plans import features, storms
+from ..sources.schemas import FEATURES
+from . import standins as s
+from .exposures import _NEAR, _PER_POINT
 from .registry import Registry
+from .reports import parsed_sql, stats_sql, weather_names
+from .standins import q, r, sql
+from .tracks import HISTORY_SQL, movements
 
 REGISTRY = Registry()
+_add = REGISTRY.add
+
+_CODES = ("origem", "destino", "linha")
+_PLAIN = (*_CODES, "diaSemana", "hora", "sum(flight_through_area)")
+
+
+def _code_sql(column: str) -> str:
+    return f"""SELECT value, CAST(row_number() OVER (ORDER BY first, value) - 1 AS INT) AS code
+        FROM (SELECT {column} AS value, min(flightid) AS first FROM flights GROUP BY 1)"""
+
+
+_PARTS = {
+    "history": HISTORY_SQL,
+    "parsed_x": parsed_sql("tidied"),
+    "parsed_y": parsed_sql("tidied_forecasts"),
+    "wx": stats_sql("parsed_x", "_x"),
+    "wy": stats_sql("parsed_y", "_y"),
+    "near": _NEAR,
+    "exposed": _PER_POINT.replace("n.flightid", "n.event_id"),
+    "exposure": 'SELECT flightid, CAST(sum(flight_through_area) AS BIGINT) AS total FROM exposed GROUP BY 1',
+    "hours": "SELECT hour_ts AS h, sum(esperas) AS esperas, sum(troca) AS troca FROM holdings GROUP BY 1",
+    **{f"code_{c}": _code_sql(c) for c in _CODES},
+}
+_EXPRESSIONS = {
+    "esperas": "coalesce(hours.esperas, 0)",
+    "troca": "coalesce(hours.troca, 0)",
+    "dt_radar_lambda": "h.duration_mean",
+    "dt_radar_lambda1": "h.duration_min",
+    "dt_radar_lambda2": "h.duration_max",
+    "dt_radar_lambda3": "h.duration_std",
+    "distancia_": "h.distancia",
+    **{n: f"h.{n}" for n in ("flightlevel_mean", "flightlevel_max", "flightlevel_std", "flightlevel_std1", "speed_std", "speed_std1")},
+    "mean_x": "a.m", "sum_x": "a.s", "mean_y": "b.m", "sum_y": "b.s", "mean": "c.m", "sum": "c.s",
+    **{n: f'wx."{n}"' for n in weather_names("_x")},
+    **{n: f'wy."{n}"' for n in weather_names("_y")},
+}
+
+
+def _feature_sql(hour: str, first: str, where: str = "") -> str:
+    cells = [first]
+    for name in FEATURES:
+        if name in _CODES:
+            cells.append(f"coalesce(code_{name}.code, -1) AS {name}")
+        elif name == "sum(flight_through_area)":
+            cells.append(f'x.total AS "{name}"')
+        elif name in ("diaSemana", "hora"):
+            cells.append(f"f.{name}")
+        else:
+            cells.append(q(_EXPRESSIONS[name], 4, f'"{name}"'))
+    codes = " ".join(f"LEFT JOIN code_{c} ON code_{c}.value = f.{c}" for c in _CODES)
+    return f"""SELECT {', '.join(cells)} FROM flights f
+        LEFT JOIN hours ON hours.h = f.dep_hour
+        LEFT JOIN (SELECT aero, hora, avg(esperas) AS m, sum(esperas) AS s FROM holdings GROUP BY ALL) a ON a.aero = f.origem AND a.hora = f.hora
+        LEFT JOIN (SELECT aero, diaSemana, avg(esperas) AS m, sum(esperas) AS s FROM holdings GROUP BY ALL) b ON b.aero = f.origem AND b.diaSemana = f.diaSemana
+        LEFT JOIN (SELECT aero, avg(esperas) AS m, sum(esperas) AS s FROM holdings GROUP BY ALL) c ON c.aero = f.origem
+        LEFT JOIN wx ON wx.aero = f.destino AND wx.hour_ts = f.{hour}
+        LEFT JOIN wy ON wy.aero = f.destino AND wy.hour_ts = f.{hour}
+        LEFT JOIN history h ON h.linha = f.linha LEFT JOIN exposure x ON x.flightid = f.flightid {codes} {where}"""
+
+
+_BASE = ("flights", "summary", "holdings", "tidied", "tidied_forecasts", "storms")
+
+
+def _tables(spark, d, flights):
+    points = s.points(spark, d)
+    exposure = storms.training_exposure(points, s.storms(spark, d))
+    return features.build_tables(
+        flights, points, s.holdings(spark, d), s.reports(spark, d), s.forecasts(spark, d),
+        s.predicted_changes(spark, d), s.actual_changes(spark, d), exposure,
+    )
+
+
+def _shown(df):
+    cells = [
+        F.col(f"`{c}`") if c in (*_PLAIN, "flightid", "target") else r(F.col(f"`{c}`"), 4).alias(c) for c in df.columns
+    ]
+    return df.select(*cells)
+
+
+@_add("training_features", sql(_feature_sql("arr_hour", "f.flightid, f.target"), *_BASE, **_PARTS).replace("WITH RECURSIVE", "WITH"))
+def training_features(spark, d):
+    flights = movements(spark, d)
+    return _shown(features.training_table(flights, _tables(spark, d, flights), features.dictionaries(flights)))
+
+
+@_add(
+    "training_features_long",
+    sql(_feature_sql("arr_hour", "f.flightid, f.target", "WHERE f.target > 1500"), *_BASE, **_PARTS),
+)
+def training_features_long(spark, d):
+    flights = movements(spark, d)
+    return _shown(features.training_table(flights, _tables(spark, d, flights), features.dictionaries(flights), 1500))
+
+
+@_add("scoring_features", sql(_feature_sql("dep_hour", "f.flightid"), *_BASE, **_PARTS))
+def scoring_features(spark, d):
+    flights = movements(spark, d)
+    return _shown(features.scoring_table(s.scoring_set(spark, d), _tables(spark, d, flights), features.dictionaries(flights)))
+
+
+@_add(
+    "picture_storm_exposure",
+    sql(
+        """SELECT flightid, CAST(sum(hit) AS BIGINT) AS "sum(flight_through_area)" FROM (
+            SELECT p.flightid, p.dt_radar, max(CASE WHEN c.poly IS NULL THEN 0 ELSE 1 END) AS hit FROM points p LEFT JOIN cells c
+            ON date_trunc('hour', make_timestamp(p.dt_radar * 1000)) = c.hour_ts
+            AND 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(c.lat - p.lat) / 2), 2)
+                + cos(radians(p.lat)) * cos(radians(c.lat)) * pow(sin(radians(c.lon - p.lon) / 2), 2)))) <= c.radius_km
+            GROUP BY 1, 2) GROUP BY 1""",
+        "points", "pixel_vertices",
+        edges="""SELECT a.image, a.poly, a.x::DOUBLE AS x1, a.y::DOUBLE AS y1, b.x::DOUBLE AS x2, b.y::DOUBLE AS y2
+            FROM pixel_vertices a JOIN pixel_vertices b ON a.image = b.image AND a.poly = b.poly AND b.vertice = (a.vertice + 1) % 32""",
+        cells="""SELECT poly, TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(poly % 720 AS INT)) AS hour_ts, area / 40 AS radius_km,
+            8.0 + (cy + 740.0 - 740.0) * ((-51.848798 - 8.0) / (2192.0 - 740.0)) AS lat,
+            -76.538633 + (cx + 940.0 - 940.0) * ((-28.966528 + 76.538633) / (2092.0 - 940.0)) AS lon
+            FROM (SELECT poly, abs(sum(x1 * y2 - x2 * y1)) / 2 AS area, sum((x1 + x2) * (x1 * y2 - x2 * y1)) / (3 * sum(x1 * y2 - x2 * y1)) AS cx,
+                  sum((y1 + y2) * (x1 * y2 - x2 * y1)) / (3 * sum(x1 * y2 - x2 * y1)) AS cy FROM edges GROUP BY image, poly)""",
+    ),
+)
+def picture_storm_exposure(spark, d):
+    at = F.timestamp_millis(F.lit(s.START_MS) + F.col("poly") % 720 * 3600000)
+    cells = storms.storms_by_hour(s.pixel_vertices(spark, d), at, lambda area: area / 40)
+    return storms.training_exposure(s.points(spark, d), cells)
