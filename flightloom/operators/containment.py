@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import ray_crosses
 from .polygons import ring_edges
-from .skew import skew_join
+from .skew import collapse_copies, hot_keys, skew_join
 
 _CELL = ["bucket", "_cx", "_cy"]
 
@@ -31,33 +31,42 @@ def _edge_cells(edges: DataFrame, keys: Sequence[str], size: float, rows_per_tas
     return reach.withColumn("_cy", F.explode(rows)).withColumn("_cx", F.explode(cols)).drop("_left", "vertice")
 
 
+_POINT = ["flightid", "dt_radar", "lon", "lat", "bucket"]
+
+
+def _in_squares(points: DataFrame, size: float) -> DataFrame:
+    known = points.where(F.col("lon").isNotNull() & F.col("lat").isNotNull())
+    squares = {"_cx": F.floor(F.col("lon") / F.lit(size)), "_cy": F.floor(F.col("lat") / F.lit(size))}
+    return known.withColumns({n: c.cast("int") for n, c in squares.items()})
+
+
 def containments(
     points: DataFrame, edges: DataFrame, keys: Sequence[str], size: float, rows_per_task: int | None = None
 ) -> DataFrame:
-    """(point columns, polygon keys) for each polygon of the same bucket that holds the point.
+    """(point, copies, polygon keys) for each polygon of the same bucket that holds the point.
 
-    ``points``: bucket, lon, lat and columns that tell points apart, no two rows equal.
+    ``points``: flightid, dt_radar, lon, lat, bucket; equal points are counted as copies.
     ``edges``: bucket, the keys, vertice, x1, y1, x2, y2. An odd number of crossed edges
     means inside. Both sides are shuffled by square (no broadcast), so that all crossings
     of a point lie in one task and are counted there, before the next shuffle.
     """
     cells = _edge_cells(edges, ["bucket", *keys], size, rows_per_task)
-    keyed = points.where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).withColumns(
-        {
-            "_cx": F.floor(F.col("lon") / F.lit(size)).cast("int"),
-            "_cy": F.floor(F.col("lat") / F.lit(size)).cast("int"),
-        }
-    )
-    met = skew_join(keyed, cells.hint("merge"), _CELL, "inner", rows_per_task)
+    hot = hot_keys(_in_squares(points.select(_POINT), size), _CELL, rows_per_task)
+    keyed = _in_squares(distinct_points(points), size)
+    met = skew_join(keyed, cells.hint("merge"), _CELL, "inner", rows_per_task, hot=hot)
     crossed = met.where(ray_crosses(*[F.col(c) for c in ("lon", "lat", "x1", "y1", "x2", "y2")]))
     return (
-        crossed.groupBy(*points.columns, *keys)
+        crossed.groupBy(*_POINT, "copies", *keys)
         .agg((F.count(F.lit(1)) % 2).alias("_odd"))
         .where(F.col("_odd") == 1)
         .drop("_odd")
     )
 
 
+def distinct_points(points: DataFrame) -> DataFrame:
+    return collapse_copies(points.select(_POINT), "copies")
+
+
 def mark_inside(
     points: DataFrame, vertices: DataFrame, keys: Sequence[str] = ("poly",), size: float = 10.0, rows_per_task: int | None = None
 ) -> DataFrame:
@@ -65,10 +74,13 @@ def mark_inside(
 
     ``vertices``: bucket, keys, vertice, x (longitude), y (latitude).
     """
-    slim = points.groupBy("flightid", "dt_radar", "lon", "lat", "bucket").agg(F.count(F.lit(1)).alias("copies"))
-    found = containments(slim, ring_edges(vertices, ["bucket", *keys]), keys, size, rows_per_task)
-    marked = slim.withColumn("inside", F.lit(0)).unionByName(found.select(*slim.columns).withColumn("inside", F.lit(1)))
-    return marked.groupBy(*slim.columns).agg(F.max("inside").alias("inside"))
+    found = containments(points, ring_edges(vertices, ["bucket", *keys]), keys, size, rows_per_task)
+    once = F.lit(1).cast("long").alias("copies")
+    none = F.lit(0).cast("long").alias("copies")
+    marked = points.select(*_POINT, once, F.lit(0).alias("inside")).unionByName(
+        found.select(*_POINT, none, F.lit(1).alias("inside"))
+    )
+    return marked.groupBy(*_POINT).agg(F.sum("copies").alias("copies"), F.max("inside").alias("inside"))
 
 
 def hits_per_flight(marked: DataFrame) -> DataFrame:
@@ -81,9 +93,8 @@ def polygons_hit(
     points: DataFrame, vertices: DataFrame, keys: Sequence[str] = ("poly",), size: float = 10.0, rows_per_task: int | None = None
 ) -> DataFrame:
     """Each polygon with the number of points in it and a 0/1 hit flag."""
-    slim = points.groupBy("flightid", "dt_radar", "lon", "lat", "bucket").agg(F.count(F.lit(1)).alias("copies"))
     edges = ring_edges(vertices, ["bucket", *keys])
-    found = containments(slim, edges, keys, size, rows_per_task)
+    found = containments(points, edges, keys, size, rows_per_task)
     both = edges.select("bucket", *keys, F.lit(0).cast("long").alias("points")).unionByName(
         found.select("bucket", *keys, F.col("copies").alias("points"))
     )

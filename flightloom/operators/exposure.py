@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from .skew import collapse_copies, skew_join
+from .skew import hot_keys, match_keys, skew_join
 
 KM_PER_DEGREE = 6371.0 * 3.141592653589793 / 180.0
 # Grid sizes in degrees. A storm is laid out on the finest grid that is coarser than its reach.
@@ -65,13 +65,26 @@ def _point_cells(points: DataFrame, grids: Sequence[float], used: Sequence[int])
     )
 
 
+def _collapse_hot(keyed: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Count copies of a point instead of repeating them, where a crowded square needs it.
+
+    Rows of a crowded square are later dealt to tasks by their content, which copies share.
+    """
+    if hot is None:
+        return keyed
+    crowded = F.broadcast(hot.drop("_rows"))
+    calm = keyed.join(crowded, match_keys(keyed, crowded, _CELL), "left_anti")
+    rest = keyed.join(crowded, match_keys(keyed, crowded, _CELL), "left_semi")
+    return calm.unionByName(rest.groupBy(*[c for c in keyed.columns if c != "n"]).agg(F.sum("n").alias("n")))
+
+
 def storm_hits(
     points: DataFrame,
     storms: DataFrame,
     grids: Sequence[float] = GRIDS,
     rows_per_task: int | None = None,
 ) -> DataFrame:
-    """Every (point, storm) pair of the same hour within the storm's radius.
+    """Every (point, storm) pair of the same hour within the storm's radius, with a count ``n`` of copies.
 
     ``points``: lat, lon (degrees), hour_ts and any further columns. ``storms``: hour_ts,
     lat, lon, radius_km. Points meet storms by hour and grid square instead of by hour
@@ -84,23 +97,22 @@ def storm_hits(
     cells = _storm_cells(sides, grids)
     # At most one row per grid.
     used = sorted(r[0] for r in cells.select("_grid").distinct().collect())
-    keyed = _point_cells(points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()), grids, used or [0])
-    pairs = skew_join(keyed, cells, _CELL, "inner", rows_per_task)
+    placed = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).withColumn("n", F.lit(1).cast("long"))
+    keyed = _point_cells(placed, grids, used or [0])
+    hot = hot_keys(keyed, _CELL, rows_per_task)
+    pairs = skew_join(_collapse_hot(keyed, hot), cells, _CELL, "inner", rows_per_task, hot=hot)
     near = geo.great_circle_km(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon")) <= F.col("radius_km")
-    return pairs.where(near).select(*points.columns)
+    return pairs.where(near).select(*points.columns, "n")
 
 
-def _weighed(points: DataFrame) -> DataFrame:
-    """Copies of a point are counted, not repeated, before they travel."""
-    return collapse_copies(points.select("flightid", "dt_radar", "hour_ts", "lat", "lon"), "n")
+_POINT = ["flightid", "dt_radar", "hour_ts", "lat", "lon"]
 
 
 def point_exposure(points: DataFrame, storms: DataFrame, rows_per_task: int | None = None, **how) -> DataFrame:
     """Per (flight, time): 1 if any storm of the hour reaches the point, else 0."""
-    slim = _weighed(points).drop("n")
-    hits = storm_hits(slim, storms, rows_per_task=rows_per_task, **how)
+    hits = storm_hits(points.select(_POINT), storms, rows_per_task=rows_per_task, **how)
     name = "flight_through_area"
-    marked = slim.select("flightid", "dt_radar", F.lit(0).alias(name)).unionByName(
+    marked = points.select("flightid", "dt_radar", F.lit(0).alias(name)).unionByName(
         hits.select("flightid", "dt_radar", F.lit(1).alias(name))
     )
     return marked.groupBy("flightid", "dt_radar").agg(F.max(name).alias(name))
@@ -108,15 +120,15 @@ def point_exposure(points: DataFrame, storms: DataFrame, rows_per_task: int | No
 
 def flight_exposure(points: DataFrame, storms: DataFrame, rows_per_task: int | None = None, **how) -> DataFrame:
     """Per flight: number of (point, storm) hits and the first hour in which there was any storm."""
-    weighed = _weighed(points)
-    hits = storm_hits(weighed, storms, rows_per_task=rows_per_task, **how)
-    hours = points.select("flightid", "hour_ts").distinct()
-    stormy = skew_join(hours.select("hour_ts", "flightid"), storms.select("hour_ts").distinct(), ["hour_ts"], "left_semi", rows_per_task)
+    hits = storm_hits(points.select(_POINT), storms, rows_per_task=rows_per_task, **how)
+    hours = points.select("hour_ts", "flightid").distinct()
+    stormy = skew_join(hours, storms.select("hour_ts").distinct(), ["hour_ts"], "left_semi", rows_per_task)
     none = F.lit(None).cast("timestamp")
+    zero = F.lit(0).cast("long").alias("hits")
     parts = (
-        points.select("flightid").distinct().select("flightid", F.lit(0).cast("long").alias("hits"), none.alias("first_hour"))
+        points.select("flightid", zero, none.alias("first_hour"))
         .unionByName(hits.select("flightid", F.col("n").alias("hits"), none.alias("first_hour")))
-        .unionByName(stormy.select("flightid", F.lit(0).cast("long").alias("hits"), F.col("hour_ts").alias("first_hour")))
+        .unionByName(stormy.select("flightid", zero, F.col("hour_ts").alias("first_hour")))
     )
     return parts.groupBy("flightid").agg(
         F.sum("hits").alias("flight_through_area"), F.min("first_hour").alias("first_storm_hour")

@@ -11,6 +11,7 @@ from ..functions import times
 from ..functions.text import drop_prefix, image_time, route_key
 from ..operators import calendars, encode, flights, tracks, weather
 from ..operators.joins import attach
+from ..session import cut_lineage
 from ..sources.schemas import FEATURES
 
 # Column names of the three calendar profiles in the feature table.
@@ -52,8 +53,13 @@ class Tables:
     exposure: DataFrame
 
 
+def flight_table(raw: DataFrame) -> DataFrame:
+    """The prepared flights, written once because every branch of the features reads them."""
+    return cut_lineage(flights.prepare_flights(raw))
+
+
 def build_tables(
-    flight_table: DataFrame,
+    prepared: DataFrame,
     points: DataFrame,
     holdings: DataFrame,
     observed: DataFrame,
@@ -64,7 +70,7 @@ def build_tables(
 ) -> Tables:
     """Aggregate every source once. ``points`` in radians, times in epoch milliseconds."""
     held, pred, real = (calendars.with_calendar(t) for t in (holdings, predicted, actual))
-    summary = tracks.with_route(tracks.track_summary(tracks.degrees_of(points)), flight_table)
+    summary = tracks.with_route(tracks.track_summary(tracks.degrees_of(points)), prepared)
     return Tables(
         holdings=held,
         holding_profiles=calendars.profiles(held, calendars.mean_and_sum("esperas")),
@@ -97,9 +103,9 @@ def add_features(rows: DataFrame, tables: Tables) -> DataFrame:
     return attach(out, tables.exposure, ["flightid"])
 
 
-def dictionaries(flight_table: DataFrame) -> dict[str, DataFrame]:
+def dictionaries(prepared: DataFrame) -> dict[str, DataFrame]:
     """Codes of airports and routes in order of the first flight that shows them."""
-    return {c: encode.label_dictionary(flight_table, c, "flightid") for c in ("origem", "destino", "linha")}
+    return {c: encode.label_dictionary(prepared, c, "flightid") for c in ("origem", "destino", "linha")}
 
 
 def _coded(df: DataFrame, codes: dict[str, DataFrame]) -> DataFrame:
@@ -108,9 +114,11 @@ def _coded(df: DataFrame, codes: dict[str, DataFrame]) -> DataFrame:
     return df
 
 
-def training_table(flight_table: DataFrame, tables: Tables, codes: dict[str, DataFrame] | None = None, longer_than: int | None = None) -> DataFrame:
+def training_table(
+    prepared: DataFrame, tables: Tables, codes: dict[str, DataFrame] | None = None, longer_than: int | None = None
+) -> DataFrame:
     """flightid, target and the contract's features. ``longer_than`` keeps flights with a larger target."""
-    rows = flight_table.withColumn("report_hour", F.col("arr_hour"))
+    rows = prepared.withColumn("report_hour", F.col("arr_hour"))
     if longer_than is not None:
         rows = rows.where(F.col("target") > longer_than)
     out = add_features(rows, tables)
@@ -140,6 +148,3 @@ def scoring_table(test_set: DataFrame, tables: Tables, codes: dict[str, DataFram
     if codes:
         out = _coded(out, codes)
     return out.select("flightid", *[F.col(f"`{c}`") for c in FEATURES])
-
-
-__all__ = ["Tables", "add_features", "build_tables", "dictionaries", "flights", "scoring_rows", "scoring_table", "training_table"]

@@ -11,7 +11,7 @@ from .exposures import _NEAR, _PER_POINT
 from .registry import Registry
 from .reports import parsed_sql, stats_sql, weather_names
 from .standins import q, r, sql
-from .tracks import HISTORY_SQL, movements
+from .tracks import HISTORY_SQL
 
 REGISTRY = Registry()
 _add = REGISTRY.add
@@ -58,7 +58,7 @@ def _feature_sql(hour: str, first: str, where: str = "") -> str:
         if name in _CODES:
             cells.append(f"coalesce(code_{name}.code, -1) AS {name}")
         elif name == "sum(flight_through_area)":
-            cells.append(f'x.total AS "{name}"')
+            cells.append(f'CAST(x.total AS DOUBLE) AS "{name}"')
         elif name in ("diaSemana", "hora"):
             cells.append(f"f.{name}")
         else:
@@ -90,12 +90,13 @@ def _shown(df):
     cells = [
         F.col(f"`{c}`") if c in (*_PLAIN, "flightid", "target") else r(F.col(f"`{c}`"), 4).alias(c) for c in df.columns
     ]
-    return df.select(*cells)
+    total = "sum(flight_through_area)"
+    return df.select(*cells).withColumn(total, F.col(f"`{total}`").cast("double"))
 
 
 @_add("training_features", sql(_feature_sql("arr_hour", "f.flightid, f.target"), *_BASE, **_PARTS).replace("WITH RECURSIVE", "WITH"))
 def training_features(spark, d):
-    flights = movements(spark, d)
+    flights = features.flight_table(s.movements(spark, d))
     return _shown(features.training_table(flights, _tables(spark, d, flights), features.dictionaries(flights)))
 
 
@@ -104,13 +105,13 @@ def training_features(spark, d):
     sql(_feature_sql("arr_hour", "f.flightid, f.target", "WHERE f.target > 1500"), *_BASE, **_PARTS),
 )
 def training_features_long(spark, d):
-    flights = movements(spark, d)
+    flights = features.flight_table(s.movements(spark, d))
     return _shown(features.training_table(flights, _tables(spark, d, flights), features.dictionaries(flights), 1500))
 
 
 @_add("scoring_features", sql(_feature_sql("dep_hour", "f.flightid"), *_BASE, **_PARTS))
 def scoring_features(spark, d):
-    flights = movements(spark, d)
+    flights = features.flight_table(s.movements(spark, d))
     return _shown(features.scoring_table(s.scoring_set(spark, d), _tables(spark, d, flights), features.dictionaries(flights)))
 
 
