@@ -21,16 +21,16 @@ def label_dictionary(df: DataFrame, column: str, order: Column | str) -> DataFra
 def encode(df: DataFrame, column: str, dictionary: DataFrame, unknown: int | None = -1) -> DataFrame:
     """Replace a column by its code. NULL or unknown values get ``unknown``."""
     entry = dictionary.select(F.col("value").alias("_value"), F.col("code").alias("_code"))
-    out = df.join(entry, df[column] == entry["_value"], "left")
+    out = df.join(entry, F.col(column) == F.col("_value"), "left")
     code = F.col("_code") if unknown is None else F.coalesce("_code", F.lit(unknown))
-    return out.select(*[code.alias(column) if c == column else df[c] for c in df.columns])
+    return out.select(*[code.alias(column) if c == column else F.col(f"`{c}`") for c in df.columns])
 
 
 def decode(df: DataFrame, column: str, dictionary: DataFrame) -> DataFrame:
     """Replace a code by its value, NULL for codes the dictionary lacks."""
     entry = dictionary.select(F.col("value").alias("_value"), F.col("code").alias("_code"))
-    out = df.join(entry, df[column] == entry["_code"], "left")
-    return out.select(*[F.col("_value").alias(column) if c == column else df[c] for c in df.columns])
+    out = df.join(entry, F.col(column) == F.col("_code"), "left")
+    return out.select(*[F.col("_value").alias(column) if c == column else F.col(f"`{c}`") for c in df.columns])
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from .skew import hot_keys, match_keys, skew_join
+from .skew import hot_keys, null_safe_join, skew_join
 
 KM_PER_DEGREE = 6371.0 * 3.141592653589793 / 180.0
 # Grid sizes in degrees. A storm is laid out on the finest grid that is coarser than its reach.
@@ -73,8 +73,8 @@ def _collapse_hot(keyed: DataFrame, hot: DataFrame | None) -> DataFrame:
     if hot is None:
         return keyed
     crowded = F.broadcast(hot.drop("_rows"))
-    calm = keyed.join(crowded, match_keys(keyed, crowded, _CELL), "left_anti")
-    rest = keyed.join(crowded, match_keys(keyed, crowded, _CELL), "left_semi")
+    calm = null_safe_join(keyed, crowded, _CELL, "left_anti")
+    rest = null_safe_join(keyed, crowded, _CELL, "left_semi")
     return calm.unionByName(rest.groupBy(*[c for c in keyed.columns if c != "n"]).agg(F.sum("n").alias("n")))
 
 

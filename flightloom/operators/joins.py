@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .skew import match_keys, skew_join
+from .skew import skew_join
 
 
 def attach(
@@ -33,7 +33,7 @@ def attach(
     )
     on = F.lit(True)
     for a, k in zip(left_on, keys):
-        on = on & (left[a].eqNullSafe(side[k]) if null_safe else left[a] == side[k])
+        on = on & (F.col(a).eqNullSafe(F.col(k)) if null_safe else F.col(a) == F.col(k))
     return left.join(side, on, "left").drop(*keys)
 
 
@@ -53,8 +53,5 @@ def keep_members(df: DataFrame, members: DataFrame, keys: Sequence[str], rows_pe
 def look_up(df: DataFrame, column: str, table: DataFrame, source: str, target: str) -> DataFrame:
     """Replace a column by its dictionary value; NULL when the dictionary has no entry."""
     entry = table.select(F.col(source).alias("_source"), F.col(target).alias("_target"))
-    out = df.join(entry, df[column] == entry["_source"], "left")
-    return out.select(*[F.col("_target").alias(column) if c == column else df[c] for c in df.columns])
-
-
-__all__ = ["attach", "both_suffixes", "keep_members", "look_up", "match_keys", "skew_join"]
+    out = df.join(entry, F.col(column) == F.col("_source"), "left")
+    return out.select(*[F.col("_target").alias(column) if c == column else F.col(f"`{c}`") for c in df.columns])

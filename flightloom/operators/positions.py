@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut_lineage
-from .skew import hot_keys, match_keys
+from .skew import hot_keys, null_safe_join
 
 # monotonically_increasing_id keeps the partition number above this many bits.
 _ROW_BITS = 33
@@ -37,9 +37,8 @@ def _before_range(ranged: DataFrame, keys: Sequence[str], size: Column) -> DataF
 def _spread_positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
     ranged = _sorted_ranges(df, keys, order)
     before = F.broadcast(_before_range(ranged, keys, F.count(F.lit(1))))
-    joined = ranged.join(before, match_keys(ranged, before, ["_range", *keys]))
-    position = ranged["_row"] - before["_start"] + before["_before"]
-    return joined.select(*[ranged[c] for c in df.columns], position.alias(name))
+    joined = null_safe_join(ranged, before, ["_range", *keys])
+    return joined.select(*df.columns, (F.col("_row") - F.col("_start") + F.col("_before")).alias(name))
 
 
 def position_in_group(
@@ -63,9 +62,9 @@ def position_in_group(
     if hot is None:
         return df.withColumn(name, (F.row_number().over(window) - 1).cast("long"))
     hot = F.broadcast(hot.drop("_rows"))
-    calm = df.join(hot, match_keys(df, hot, keys), "left_anti")
+    calm = null_safe_join(df, hot, keys, "left_anti")
     calm = calm.withColumn(name, (F.row_number().over(window) - 1).cast("long"))
-    return calm.unionByName(_spread_positions(df.join(hot, match_keys(df, hot, keys), "left_semi"), keys, order, name))
+    return calm.unionByName(_spread_positions(null_safe_join(df, hot, keys, "left_semi"), keys, order, name))
 
 
 def running_total(
@@ -80,8 +79,8 @@ def running_total(
     before = F.broadcast(_before_range(ranged, keys, F.sum(weight)))
     inside = Window.partitionBy("_range", *keys).orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
     part = ranged.withColumn("_part", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-    joined = part.join(before, match_keys(part, before, ["_range", *keys]))
-    return joined.select(*[part[c] for c in df.columns], (part["_part"] + before["_before"]).alias(name))
+    joined = null_safe_join(part, before, ["_range", *keys])
+    return joined.select(*df.columns, (F.col("_part") + F.col("_before")).alias(name))
 
 
 def long_form(df: DataFrame, columns: Sequence[str], name: str = "column", value: str = "value") -> DataFrame:

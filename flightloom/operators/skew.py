@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A key with more rows than this is spread over several tasks.
@@ -24,13 +24,13 @@ def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int | None = Non
     return df.sparkSession.createDataFrame(top, counts.schema)
 
 
-def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe: bool = True) -> Column:
-    """Equality of all keys between two frames; NULL meets NULL if null_safe."""
-    total = F.lit(True)
-    for key in keys:
-        same = left[key].eqNullSafe(right[key]) if null_safe else left[key] == right[key]
-        total = total & same
-    return total
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where NULL meets NULL; the right key columns are dropped."""
+    names = {k: f"_right_{k}" for k in keys}
+    same = F.lit(True)
+    for key, other in names.items():
+        same = same & F.col(key).eqNullSafe(F.col(other))
+    return left.join(right.withColumnsRenamed(names), same, how).drop(*names.values())
 
 
 def collapse_copies(df: DataFrame, weight: str = "_copies") -> DataFrame:
@@ -62,12 +62,11 @@ def skew_join(
     plan = F.broadcast(
         hot.withColumn("_slices", F.ceil(F.col("_rows") / F.lit(limit)).cast("int")).drop("_rows")
     )
-    slices = F.coalesce(plan["_slices"], F.lit(1))
-    dealt = left.join(plan, match_keys(left, plan, keys), "left").select(
-        *[left[c] for c in left.columns],
-        F.pmod(F.xxhash64(*[left[c] for c in left.columns]), slices).cast("int").alias("_slice"),
+    slices = F.coalesce("_slices", F.lit(1))
+    dealt = null_safe_join(left, plan, keys, "left").select(
+        *left.columns, F.pmod(F.xxhash64(*left.columns), slices).cast("int").alias("_slice")
     )
-    repeated = right.join(plan, match_keys(right, plan, keys), "left").select(
-        *[right[c] for c in right.columns], F.explode(F.sequence(F.lit(0), slices - 1)).alias("_slice")
+    repeated = null_safe_join(right, plan, keys, "left").select(
+        *right.columns, F.explode(F.sequence(F.lit(0), slices - 1)).alias("_slice")
     )
     return dealt.join(repeated, [*keys, "_slice"], how).drop("_slice")

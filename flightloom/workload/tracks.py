@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clean, flights as flight_ops, joins, positions, tracks
+from ..operators import clean, flights as flight_ops, positions, skew, tracks
 from ..plans import synthetic
 from . import standins as s
 from .registry import Registry
@@ -93,7 +93,7 @@ def dedupe_first(spark, d):
 )
 def points_with_route(spark, d):
     flights = movements(spark, d).select("flightid", "linha", "target")
-    return joins.skew_join(s.points(spark, d).select("flightid", "dt_radar"), flights, ["flightid"], "left")
+    return skew.skew_join(s.points(spark, d).select("flightid", "dt_radar"), flights, ["flightid"], "left")
 
 
 _ORDER = ["dt_radar", "lat", "lon", "flightlevel", "speed"]
