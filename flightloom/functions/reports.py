@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import join_list, squeeze_spaces, swap_word
@@ -39,39 +39,59 @@ def tidy(report: Column) -> Column:
     return squeeze_spaces(swap_word(report, "METAF", "METAR"))
 
 
-def _group(text: Column, pattern: str, number: int) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, number), F.lit(""))
+def _group(pattern: str, number: int) -> Column:
+    return F.nullif(F.regexp_extract("_text", pattern, number), F.lit(""))
 
 
-def _celsius(code: Column) -> Column:
-    size = F.replace(code, F.lit("M"), F.lit("")).try_cast("double")
-    return F.when(code.startswith("M"), -size).otherwise(size)
+def _all_groups(pattern: str) -> Column:
+    found = F.regexp_extract_all("_text", F.lit(pattern), F.lit(1))
+    return F.nullif(join_list(found), F.lit(""))
 
 
-def _all_groups(text: Column, pattern: str) -> Column:
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    return F.nullif(join_list(found), F.lit(""))
+# One search per group of the report.
+_RAW = {
+    "parse_ok": lambda: F.coalesce(F.col("_text").rlike(HEADER), F.lit(False)),
+    "_temperature": lambda: _group(TEMPERATURE, 1),
+    "_dew": lambda: _group(TEMPERATURE, 2),
+    "_speed": lambda: _group(WIND, 2),
+    "_direction": lambda: _group(WIND, 1),
+    "_metres": lambda: _group(METRES, 1),
+    "_miles": lambda: _group(MILES, 1),
+    "_clear": lambda: F.col("_text").rlike(CLEAR),
+    "_hectopascal": lambda: _group(HECTOPASCAL, 1),
+    "_inches": lambda: _group(INCHES, 1),
+    "_weather": lambda: _all_groups(WEATHER),
+    "_sky": lambda: _all_groups(SKY),
+}
+
+
+def _number(name: str) -> Column:
+    return F.col(name).try_cast("double")
 
 
-def report_columns(report: Column) -> dict[str, Column]:
-    """The eight fields plus ``parse_ok``; a report without a proper header gives NULLs."""
-    text = tidy(report)
-    ok = F.coalesce(text.rlike(HEADER), F.lit(False))
-    metres = _group(text, METRES, 1).try_cast("double")
+def _celsius(name: str) -> Column:
+    size = F.replace(F.col(name), F.lit("M"), F.lit("")).try_cast("double")
+    return F.when(F.col(name).startswith("M"), -size).otherwise(size)
+
+
+def add_report_columns(df: DataFrame, report: str) -> DataFrame:
+    """Add the eight fields and ``parse_ok``; a report without a proper header gives NULLs.
+
+    Three projections, each using the columns of the one before, so that the text is
+    tidied once and each pattern is searched once per row.
+    """
     fields = {
-        "Temperatura": _celsius(_group(text, TEMPERATURE, 1)),
-        "Ponto de Orvalho": _celsius(_group(text, TEMPERATURE, 2)),
-        "Velocidade do Vento": _group(text, WIND, 2).try_cast("double"),
-        "Direção do Vento": _group(text, WIND, 1).try_cast("double"),
-        "Visibilidade": F.when(text.rlike(CLEAR) | (metres == 9999), F.lit(10000.0)).otherwise(
-            F.coalesce(metres, _group(text, MILES, 1).try_cast("double"))
-        ),
-        "Pressão": F.coalesce(
-            _group(text, HECTOPASCAL, 1).try_cast("double"),
-            _group(text, INCHES, 1).try_cast("double") / 100,
+        "Temperatura": _celsius("_temperature"),
+        "Ponto de Orvalho": _celsius("_dew"),
+        "Velocidade do Vento": _number("_speed"),
+        "Direção do Vento": _number("_direction"),
+        "Visibilidade": F.when(F.col("_clear") | (F.col("_metres") == "9999"), F.lit(10000.0)).otherwise(
+            F.coalesce(_number("_metres"), _number("_miles"))
         ),
-        "Tempo": _all_groups(text, WEATHER),
-        "Céu": _all_groups(text, SKY),
+        "Pressão": F.coalesce(_number("_hectopascal"), _number("_inches") / 100),
+        "Tempo": F.col("_weather"),
+        "Céu": F.col("_sky"),
     }
-    kept = {name: F.when(ok, value) for name, value in fields.items()}
-    return {**kept, "parse_ok": ok}
+    searched = df.withColumn("_text", tidy(F.col(report))).withColumns({n: c() for n, c in _RAW.items()})
+    read = searched.withColumns({n: F.when(F.col("parse_ok"), c) for n, c in fields.items()})
+    return read.drop("_text", *[n for n in _RAW if n != "parse_ok"])

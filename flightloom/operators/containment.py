@@ -13,11 +13,17 @@ from .skew import collapse_copies, hot_keys, skew_join
 
 _CELL = ["bucket", "_cx", "_cy"]
 
+# Slack when an edge is called left or right of a whole square.
+_SLACK = 1e-9
+
+
 def _edge_cells(edges: DataFrame, keys: Sequence[str], size: float, rows_per_task: int | None) -> DataFrame:
-    """Each edge once per grid square whose points may see it on their right.
+    """What the points of each grid square may meet on their right, per polygon.
 
-    Those are the squares from the polygon's left end to the edge's right end, on the
-    rows the edge spans. Level edges never count.
+    An edge matters to the squares from the polygon's left end to its own right end, on
+    the rows it spans. Where it passes the whole height of the row to the right of the
+    square, it is met by all points of the square alike; such edges are counted per polygon
+    and square, and an odd number becomes one ``always`` row. The others stay edges.
     """
     left_end = edges.groupBy(*keys).agg(F.least(F.min("x1"), F.min("x2")).alias("_left"))
     sloped = edges.where(F.col("y1") != F.col("y2"))
@@ -26,9 +32,26 @@ def _edge_cells(edges: DataFrame, keys: Sequence[str], size: float, rows_per_tas
     def cell(c):
         return F.floor(c / F.lit(size)).cast("int")
 
-    rows = F.sequence(cell(F.least("y1", "y2")), cell(F.greatest("y1", "y2")))
-    cols = F.sequence(cell(F.col("_left")), cell(F.greatest("x1", "x2")))
-    return reach.withColumn("_cy", F.explode(rows)).withColumn("_cx", F.explode(cols)).drop("_left", "vertice")
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    rows = reach.withColumn("_cy", F.explode(F.sequence(cell(low), cell(high))))
+    slope = (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+    bottom, top = F.col("_cy") * F.lit(size), (F.col("_cy") + 1) * F.lit(size)
+    x_low = F.col("x1") + (F.greatest(low, bottom) - F.col("y1")) * slope
+    x_high = F.col("x1") + (F.least(high, top) - F.col("y1")) * slope
+    rows = rows.withColumns(
+        {
+            "_min": F.least(x_low, x_high) - F.lit(_SLACK),
+            "_max": F.greatest(x_low, x_high) + F.lit(_SLACK),
+            "_whole": (low <= bottom) & (high >= top),
+        }
+    )
+    laid = rows.withColumn("_cx", F.explode(F.sequence(cell(F.least("_left", "_max")), cell(F.col("_max")))))
+    same_for_all = F.col("_whole") & (F.col("_min") >= (F.col("_cx") + 1) * F.lit(size))
+    single = laid.where(~same_for_all).select(*keys, "_cx", "_cy", "x1", "y1", "x2", "y2", F.lit(False).alias("always"))
+    none = [F.lit(None).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]
+    shared = laid.where(same_for_all).groupBy(*keys, "_cx", "_cy").agg(F.count(F.lit(1)).alias("_n"))
+    shared = shared.where(F.col("_n") % 2 == 1).select(*keys, "_cx", "_cy", *none, F.lit(True).alias("always"))
+    return single.unionByName(shared)
 
 
 _POINT = ["flightid", "dt_radar", "lon", "lat", "bucket"]
@@ -48,19 +71,17 @@ def containments(
     ``points``: flightid, dt_radar, lon, lat, bucket; equal points are counted as copies.
     ``edges``: bucket, the keys, vertice, x1, y1, x2, y2. An odd number of crossed edges
     means inside. Both sides are shuffled by square (no broadcast), so that all crossings
-    of a point lie in one task and are counted there, before the next shuffle.
+    of a point lie in one task and are counted there without another shuffle.
     """
     cells = _edge_cells(edges, ["bucket", *keys], size, rows_per_task)
     hot = hot_keys(_in_squares(points.select(_POINT), size), _CELL, rows_per_task)
     keyed = _in_squares(distinct_points(points), size)
     met = skew_join(keyed, cells.hint("merge"), _CELL, "inner", rows_per_task, hot=hot)
-    crossed = met.where(ray_crosses(*[F.col(c) for c in ("lon", "lat", "x1", "y1", "x2", "y2")]))
-    return (
-        crossed.groupBy(*_POINT, "copies", *keys)
-        .agg((F.count(F.lit(1)) % 2).alias("_odd"))
-        .where(F.col("_odd") == 1)
-        .drop("_odd")
-    )
+    crosses = ray_crosses(*[F.col(c) for c in ("lon", "lat", "x1", "y1", "x2", "y2")])
+    # Grouping by the square as well keeps the rows where the join has put them.
+    found = met.where(F.col("always") | crosses).groupBy("_cx", "_cy", *_POINT, "copies", *keys)
+    odd = found.agg((F.count(F.lit(1)) % 2).alias("_odd")).where(F.col("_odd") == 1)
+    return odd.select(*_POINT, "copies", *keys)
 
 
 def distinct_points(points: DataFrame) -> DataFrame:
@@ -68,7 +89,7 @@ def distinct_points(points: DataFrame) -> DataFrame:
 
 
 def mark_inside(
-    points: DataFrame, vertices: DataFrame, keys: Sequence[str] = ("poly",), size: float = 10.0, rows_per_task: int | None = None
+    points: DataFrame, vertices: DataFrame, keys: Sequence[str] = ("poly",), size: float = 2.5, rows_per_task: int | None = None
 ) -> DataFrame:
     """Points ``(flightid, dt_radar, lon, lat, bucket)`` with ``copies`` and ``inside`` (0/1, any polygon).
 
@@ -90,7 +111,7 @@ def hits_per_flight(marked: DataFrame) -> DataFrame:
 
 
 def polygons_hit(
-    points: DataFrame, vertices: DataFrame, keys: Sequence[str] = ("poly",), size: float = 10.0, rows_per_task: int | None = None
+    points: DataFrame, vertices: DataFrame, keys: Sequence[str] = ("poly",), size: float = 2.5, rows_per_task: int | None = None
 ) -> DataFrame:
     """Each polygon with the number of points in it and a 0/1 hit flag."""
     edges = ring_edges(vertices, ["bucket", *keys])
@@ -108,7 +129,7 @@ def most_exposed(marked: DataFrame) -> DataFrame:
     return hits_per_flight(marked).orderBy(F.desc("inside"), F.desc("points"), "flightid").limit(1)
 
 
-def overlay(points: DataFrame, vertices: DataFrame, flight, size: float = 10.0) -> DataFrame:
+def overlay(points: DataFrame, vertices: DataFrame, flight, size: float = 2.5) -> DataFrame:
     """Points of one flight (given by its id) in time order, with inside flag and start/end marks."""
     own = mark_inside(points.where(F.col("flightid") == F.lit(flight)), vertices, size=size)
     # One row with two times.

@@ -11,11 +11,23 @@ from .clean import safe_name
 from .positions import position_in_group
 
 
-def label_dictionary(df: DataFrame, column: str, order: Column | str) -> DataFrame:
-    """(value, code): codes 0, 1, … in order of first appearance."""
+def label_dictionaries(
+    df: DataFrame, columns: Sequence[str], order: Column | str, rows_per_task: int | None = None
+) -> DataFrame:
+    """(column, value, code): codes 0, 1, … per column in order of first appearance, from one scan."""
     at = F.col(order) if isinstance(order, str) else order
-    first = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.min(at).alias("_first"))
-    return position_in_group(first, [], ["_first", "value"], "code").select("value", F.col("code").cast("int").alias("code"))
+    cells = [
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), at.alias("_at")) for c in columns
+    ]
+    rows = df.select(F.explode(F.array(*cells)).alias("_c")).select("_c.*").where(F.col("value").isNotNull())
+    first = rows.groupBy("column", "value").agg(F.min("_at").alias("_first"))
+    placed = position_in_group(first, ["column"], ["_first", "value"], "code", rows_per_task)
+    return placed.select("column", "value", F.col("code").cast("int").alias("code"))
+
+
+def label_dictionary(df: DataFrame, column: str, order: Column | str, rows_per_task: int | None = None) -> DataFrame:
+    """(value, code) of one column."""
+    return label_dictionaries(df, [column], order, rows_per_task).select("value", "code")
 
 
 def encode(df: DataFrame, column: str, dictionary: DataFrame, unknown: int | None = -1) -> DataFrame:

@@ -41,13 +41,12 @@ def _storm_cells(storms: DataFrame, grids: Sequence[float]) -> DataFrame:
     columns = F.ceil(F.lit(360.0) / size).cast("int")
     first = F.floor((F.col("s_lon") + 180.0 - wide) / size).cast("int")
     last = F.floor((F.col("s_lon") + 180.0 + wide) / size).cast("int")
-    around = last - first + 1 >= columns
-    cols = F.when(around, F.sequence(F.lit(0), columns - 1)).otherwise(
-        F.array_distinct(F.transform(F.sequence(first, last), lambda c: F.pmod(c, columns)))
-    )
     rows = F.sequence(F.floor((south + 90.0) / size).cast("int"), F.floor((north + 90.0) / size).cast("int"))
-    out = sized.withColumn("_row", F.explode(rows)).withColumn("_col", F.explode(cols))
-    return out.drop("_reach")
+    # Never more than once around, so that no square comes up twice.
+    ends = sized.withColumns({"_first": first, "_last": F.least(last, first + columns - 1), "_columns": columns})
+    out = ends.withColumn("_row", F.explode(rows)).withColumn("_c", F.explode(F.sequence("_first", "_last")))
+    out = out.withColumn("_col", F.pmod("_c", "_columns"))
+    return out.drop("_reach", "_c", "_first", "_last", "_columns")
 
 
 def _point_cells(points: DataFrame, grids: Sequence[float], used: Sequence[int]) -> DataFrame:
@@ -94,7 +93,8 @@ def storm_hits(
     sides = storms.select(
         "hour_ts", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), "radius_km"
     ).where(F.col("radius_km") >= 0)
-    cells = _storm_cells(sides, grids)
+    # The storms are few next to the points; dealing them out evenly shares the work of laying them out.
+    cells = _storm_cells(sides.repartition("hour_ts", "s_lat", "s_lon"), grids)
     # At most one row per grid.
     used = sorted(r[0] for r in cells.select("_grid").distinct().collect())
     placed = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).withColumn("n", F.lit(1).cast("long"))

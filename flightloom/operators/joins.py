@@ -45,9 +45,15 @@ def both_suffixes(left: DataFrame, right: DataFrame, keys: Sequence[str], how: s
     return a.join(b, list(keys), how)
 
 
-def keep_members(df: DataFrame, members: DataFrame, keys: Sequence[str], rows_per_task: int | None = None) -> DataFrame:
+def keep_members(
+    df: DataFrame,
+    members: DataFrame,
+    keys: Sequence[str],
+    rows_per_task: int | None = None,
+    hot: DataFrame | None | str = "count",
+) -> DataFrame:
     """Rows whose key is in ``members`` (semi-join), balanced when one key is very frequent."""
-    return skew_join(df, members.select(*keys), keys, "left_semi", rows_per_task)
+    return skew_join(df, members.select(*keys), keys, "left_semi", rows_per_task, hot)
 
 
 def look_up(df: DataFrame, column: str, table: DataFrame, source: str, target: str) -> DataFrame:

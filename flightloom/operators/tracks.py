@@ -66,9 +66,15 @@ def route_history(summary: DataFrame) -> DataFrame:
     )
 
 
-def every_nth(points: DataFrame, n: int = 7, order: Sequence[str] = ("dt_radar",), rows_per_task: int | None = None) -> DataFrame:
+def every_nth(
+    points: DataFrame,
+    n: int = 7,
+    order: Sequence[str] = ("dt_radar",),
+    rows_per_task: int | None = None,
+    hot: DataFrame | None | str = "count",
+) -> DataFrame:
     """Positions 0, n, 2n, … of each track in time order."""
-    placed = position_in_group(points, ["flightid"], list(order), "_position", rows_per_task)
+    placed = position_in_group(points, ["flightid"], list(order), "_position", rows_per_task, hot)
     return placed.where(F.col("_position") % n == 0).drop("_position")
 
 

@@ -105,7 +105,9 @@ def add_features(rows: DataFrame, tables: Tables) -> DataFrame:
 
 def dictionaries(prepared: DataFrame) -> dict[str, DataFrame]:
     """Codes of airports and routes in order of the first flight that shows them."""
-    return {c: encode.label_dictionary(prepared, c, "flightid") for c in ("origem", "destino", "linha")}
+    columns = ("origem", "destino", "linha")
+    codes = cut_lineage(encode.label_dictionaries(prepared, columns, "flightid"))
+    return {c: codes.where(F.col("column") == c).select("value", "code") for c in columns}
 
 
 def _coded(df: DataFrame, codes: dict[str, DataFrame]) -> DataFrame:

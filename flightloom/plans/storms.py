@@ -32,7 +32,7 @@ def scoring_exposure(points: DataFrame, storms: DataFrame) -> DataFrame:
     return exposure.flight_exposure(track_points(points), storms)
 
 
-def most_exposed_flight(points: DataFrame, vertices: DataFrame, start: str, hours: int = 1, size: float = 10.0):
+def most_exposed_flight(points: DataFrame, vertices: DataFrame, start: str, hours: int = 1, size: float = 2.5):
     """The flight of the window with most points in storm polygons, and its annotated points.
 
     ``points``: flightid, dt_radar (timestamp), lon, lat, bucket. ``vertices``: bucket, poly, vertice, x, y.

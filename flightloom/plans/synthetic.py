@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 
 from ..operators import tracks
 from ..operators.joins import keep_members
+from ..operators.skew import hot_keys
+from ..session import cut_lineage
 
 
 def representative_tracks(points: DataFrame, flights: DataFrame, every: int = 7) -> DataFrame:
     """Every n-th point of the most typical flight of each route, with the route."""
     times = tracks.time_span(points).join(flights.select("flightid", "linha"), "flightid")
-    chosen = tracks.typical_flight(times.select("linha", "flightid", "flight_time"))
-    thinned = tracks.every_nth(keep_members(points, chosen, ["flightid"]), every)
-    return thinned.join(chosen, "flightid")
+    chosen = cut_lineage(tracks.typical_flight(times.select("linha", "flightid", "flight_time")))
+    # Very long tracks are looked for once, among all points.
+    hot = hot_keys(points, ["flightid"])
+    kept = keep_members(points, chosen, ["flightid"], hot=hot)
+    return tracks.every_nth(kept, every, hot=hot).join(chosen, "flightid")
 
 
 def synthetic_tracks(representatives: DataFrame, new_flights: DataFrame) -> DataFrame:

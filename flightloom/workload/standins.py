@@ -207,9 +207,11 @@ def geo_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def geo_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Storm polygons some degrees wide, spread over the area of the tracks."""
     return vertices(spark, sf_dir).select(
         F.col("image").cast("int").alias("bucket"), "poly", "vertice",
-        (F.col("x") * 200).alias("x"), (F.col("y") * 100).alias("y"), "n_vertices",
+        (F.col("x") * 30 + (F.col("poly") * 37 % 80 - 40)).alias("x"),
+        (F.col("y") * 20 + (F.col("poly") * 53 % 46 - 23)).alias("y"), "n_vertices",
     )
 
 
@@ -298,7 +300,7 @@ SQL = {
     "geo_points": """
         SELECT flightid, dt_radar, lon / 4 AS lon, lat / 3 AS lat, CAST(flightid % 10 AS INT) AS bucket FROM points""",
     "geo_vertices": """
-        SELECT CAST(image AS INT) AS bucket, poly, vertice, x * 200 AS x, y * 100 AS y FROM vertices""",
+        SELECT CAST(image AS INT) AS bucket, poly, vertice, x * 30 + (poly * 37 % 80 - 40) AS x, y * 20 + (poly * 53 % 46 - 23) AS y FROM vertices""",
     "geo_edges": """
         SELECT a.bucket, a.poly, a.vertice, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2
         FROM geo_vertices a JOIN geo_vertices b
