@@ -74,7 +74,7 @@ def containments(
     of a point lie in one task and are counted there without another shuffle.
     """
     cells = _edge_cells(edges, ["bucket", *keys], size, rows_per_task)
-    hot = hot_keys(_in_squares(points.select(_POINT), size), _CELL, rows_per_task)
+    hot = hot_keys(_in_squares(points.select(_POINT), size), _CELL, rows_per_task, coarse=["bucket"])
     keyed = _in_squares(distinct_points(points), size)
     met = skew_join(keyed, cells.hint("merge"), _CELL, "inner", rows_per_task, hot=hot)
     crosses = ray_crosses(*[F.col(c) for c in ("lon", "lat", "x1", "y1", "x2", "y2")])

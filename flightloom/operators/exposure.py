@@ -99,7 +99,7 @@ def storm_hits(
     used = sorted(r[0] for r in cells.select("_grid").distinct().collect())
     placed = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).withColumn("n", F.lit(1).cast("long"))
     keyed = _point_cells(placed, grids, used or [0])
-    hot = hot_keys(keyed, _CELL, rows_per_task)
+    hot = hot_keys(keyed, _CELL, rows_per_task, coarse=["_grid", "hour_ts"])
     pairs = skew_join(_collapse_hot(keyed, hot), cells, _CELL, "inner", rows_per_task, hot=hot)
     near = geo.great_circle_km(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon")) <= F.col("radius_km")
     return pairs.where(near).select(*points.columns, "n")

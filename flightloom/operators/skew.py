@@ -14,14 +14,24 @@ ROWS_PER_TASK = 5_000_000
 MAX_HOT = 1000
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int | None = None) -> DataFrame | None:
-    """The (at most MAX_HOT) largest keys above the limit with their row counts, or None."""
+def hot_keys(
+    df: DataFrame, keys: Sequence[str], rows_per_task: int | None = None, coarse: Sequence[str] = ()
+) -> DataFrame | None:
+    """The (at most MAX_HOT) largest keys above the limit with their row counts, or None.
+
+    ``coarse`` names some of the keys with few values: if no combination of these is above
+    the limit, the finer keys need not be counted.
+    """
     limit = rows_per_task or ROWS_PER_TASK
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
-    top = counts.orderBy(F.desc("_rows"), *keys).limit(MAX_HOT).collect()
-    if not top:
+
+    def above(columns):
+        return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
+
+    if coarse and above(coarse).isEmpty():
         return None
-    return df.sparkSession.createDataFrame(top, counts.schema)
+    counts = above(keys)
+    top = counts.orderBy(F.desc("_rows"), *keys).limit(MAX_HOT).collect()
+    return df.sparkSession.createDataFrame(top, counts.schema) if top else None
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
