@@ -13,18 +13,19 @@ EARTH_KM = 6371.0
 def _half_chord(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     s_lat = F.sin(F.radians(lat2 - lat1) / 2)
     s_lon = F.sin(F.radians(lon2 - lon1) / 2)
-    return s_lat * s_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * s_lon * s_lon
+    a = s_lat * s_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * s_lon * s_lon
+    # Rounding may leave [0, 1] for the same and for opposite points.
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), a))
 
 
 def great_circle_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance of two points in degrees."""
-    a = F.least(F.lit(1.0), _half_chord(lat1, lon1, lat2, lon2))
-    return 2 * EARTH_KM * F.asin(F.sqrt(a))
+    return 2 * EARTH_KM * F.asin(F.sqrt(_half_chord(lat1, lon1, lat2, lon2)))
 
 
 def great_circle_km_atan(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """The same distance through atan2, steadier for opposite points."""
-    a = F.least(F.lit(1.0), _half_chord(lat1, lon1, lat2, lon2))
+    a = _half_chord(lat1, lon1, lat2, lon2)
     return 2 * EARTH_KM * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 

@@ -25,22 +25,28 @@ def _wrap(lon: Column) -> Column:
 
 
 def _storm_cells(storms: DataFrame, grids: Sequence[float]) -> DataFrame:
-    """Each storm once per grid square its circle can touch; longitudes wrap around."""
+    """Each storm once per grid square its circle can touch; longitudes wrap around.
+
+    A centre beyond a pole (a polygon at the edge of the picture may have one) is laid out
+    at the same place of the globe.
+    """
+    lat = F.degrees(F.asin(F.sin(F.radians("s_lat"))))
+    lon = F.col("s_lon") + F.when(F.cos(F.radians("s_lat")) < 0, 180.0).otherwise(0.0)
     reach = F.col("radius_km") / F.lit(KM_PER_DEGREE) + F.lit(1e-6)
     level = F.lit(len(grids) - 1)
     for i in range(len(grids) - 2, -1, -1):
         level = F.when(reach <= grids[i], F.lit(i)).otherwise(level)
     sized = storms.withColumns({"_reach": reach, "_grid": level})
     size = F.element_at(F.array(*[F.lit(g) for g in grids]), F.col("_grid") + 1)
-    south = F.greatest(F.col("s_lat") - F.col("_reach"), F.lit(-90.0))
-    north = F.least(F.col("s_lat") + F.col("_reach"), F.lit(90.0))
+    south = F.greatest(lat - F.col("_reach"), F.lit(-90.0))
+    north = F.least(lat + F.col("_reach"), F.lit(90.0))
     # Half width in degrees of longitude; the whole circle of latitude once a pole is inside.
-    sine = F.sin(F.radians("_reach")) / F.cos(F.radians("s_lat"))
-    polar = (F.abs("s_lat") + F.col("_reach") >= 89.9) | (F.col("_reach") >= 89.9)
+    sine = F.sin(F.radians("_reach")) / F.cos(F.radians(lat))
+    polar = (F.abs(lat) + F.col("_reach") >= 89.9) | (F.col("_reach") >= 89.9)
     wide = F.when(polar | (sine >= 1.0), F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(sine, F.lit(1.0)))) + 1e-6)
     columns = F.ceil(F.lit(360.0) / size).cast("int")
-    first = F.floor((F.col("s_lon") + 180.0 - wide) / size).cast("int")
-    last = F.floor((F.col("s_lon") + 180.0 + wide) / size).cast("int")
+    first = F.floor((lon + 180.0 - wide) / size).cast("int")
+    last = F.floor((lon + 180.0 + wide) / size).cast("int")
     rows = F.sequence(F.floor((south + 90.0) / size).cast("int"), F.floor((north + 90.0) / size).cast("int"))
     # Never more than once around, so that no square comes up twice.
     ends = sized.withColumns({"_first": first, "_last": F.least(last, first + columns - 1), "_columns": columns})
@@ -85,7 +91,7 @@ def storm_hits(
 ) -> DataFrame:
     """Every (point, storm) pair of the same hour within the storm's radius, with a count ``n`` of copies.
 
-    ``points``: lat, lon (degrees), hour_ts and any further columns. ``storms``: hour_ts,
+    ``points``: lat (within ±90), lon (degrees), hour_ts and any further columns. ``storms``: hour_ts,
     lat, lon, radius_km. Points meet storms by hour and grid square instead of by hour
     alone; a storm appears once per square and a point lies in one square per grid, so no
     pair is found twice. Grids must divide 360.

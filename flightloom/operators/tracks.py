@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import great_circle_km_atan
-from ..functions.numbers import abs_z
+from ..functions.numbers import abs_z, time_order
 from .positions import position_in_group
 from .skew import skew_join
 
@@ -20,14 +20,17 @@ def degrees_of(points: DataFrame) -> DataFrame:
     return points.withColumns({"lat": F.degrees("lat"), "lon": F.degrees("lon")})
 
 
-def track_summary(points: DataFrame, time_ms: Column | None = None) -> DataFrame:
+def track_summary(points: DataFrame, order: Column | None = None) -> DataFrame:
     """One row per flight: duration, first and last position, level and speed statistics, displacement.
 
-    ``time_ms`` is a number that grows with time and does not repeat inside a flight. With a
-    plain number as order key every buffer has fixed width, so this is one hash aggregation
-    that combines on the map side and never sorts the points.
+    First and last go by ``order``, a number that grows with time; by default the time with a
+    code of the point's values below it, so that points of the same millisecond have a fixed
+    order too. With a plain number as order key every buffer has fixed width, so this is one
+    hash aggregation that combines on the map side and never sorts the points.
     """
-    at = F.col("dt_radar") if time_ms is None else time_ms
+    at = order
+    if at is None:
+        at = time_order(F.col("dt_radar"), *[F.col(c) for c in ("lat", "lon", "flightlevel", "speed")])
     known = points.where(F.col("flightid").isNotNull())
     stats = [
         f(c).alias(f"{c}_{n}") for c in ("flightlevel", "speed") for n, f in _FOUR.items()
@@ -69,7 +72,7 @@ def route_history(summary: DataFrame) -> DataFrame:
 def every_nth(
     points: DataFrame,
     n: int = 7,
-    order: Sequence[str] = ("dt_radar",),
+    order: Sequence[str] = ("dt_radar", "lat", "lon"),
     rows_per_task: int | None = None,
     hot: DataFrame | None | str = "count",
 ) -> DataFrame:
@@ -133,6 +136,7 @@ def position_rank(points: DataFrame, order: Sequence[str]) -> DataFrame:
 
 
 def with_first_value(points: DataFrame, column: str, name: str, rows_per_task: int | None = None) -> DataFrame:
-    """First known value of a column in time order, on every point of the flight."""
-    first = points.where(F.col(column).isNotNull()).groupBy("flightid").agg(F.min_by(column, "dt_radar").alias(name))
+    """First known value of a column in time order, on every point of the flight; the smallest of equal times."""
+    known = points.where(F.col(column).isNotNull())
+    first = known.groupBy("flightid").agg(F.min_by(column, F.struct("dt_radar", column)).alias(name))
     return skew_join(points, first, ["flightid"], "left", rows_per_task)

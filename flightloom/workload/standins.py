@@ -249,18 +249,22 @@ SQL = {
                l_extendedprice AS flightlevel, l_quantity AS speed,
                {_DEP.format(k='l_orderkey')} + (l_linenumber - 1) * 600000 + (l_partkey * 131 + l_suppkey * 7) % 600000 AS dt_radar
         FROM lineitem""",
+    "ordered": """
+        SELECT *, dt_radar * 2097152 + (((CAST(round(lat * 100) AS BIGINT) * 3 + CAST(round(lon * 100) AS BIGINT) * 5
+            + CAST(round(flightlevel * 100) AS BIGINT) * 7 + CAST(round(speed * 100) AS BIGINT) * 9) % 2097152) + 2097152) % 2097152 AS seq
+        FROM points""",
     "summary": """
         SELECT flightid, count(*) AS n_points, (max(dt_radar) - min(dt_radar)) / 1000.0 AS duration,
-               arg_min(lat, dt_radar) AS lat_first, arg_max(lat, dt_radar) AS lat_last,
-               arg_min(lon, dt_radar) AS lon_first, arg_max(lon, dt_radar) AS lon_last,
+               arg_min(lat, seq) AS lat_first, arg_max(lat, seq) AS lat_last,
+               arg_min(lon, seq) AS lon_first, arg_max(lon, seq) AS lon_last,
                avg(flightlevel) AS flightlevel_mean, min(flightlevel) AS flightlevel_min,
                max(flightlevel) AS flightlevel_max, stddev_samp(flightlevel) AS flightlevel_std,
                avg(speed) AS speed_mean, min(speed) AS speed_min, max(speed) AS speed_max, stddev_samp(speed) AS speed_std,
                2 * 6371.0 * asin(sqrt(least(1.0,
-                   pow(sin(radians(arg_max(lat, dt_radar) - arg_min(lat, dt_radar)) / 2), 2)
-                   + cos(radians(arg_min(lat, dt_radar))) * cos(radians(arg_max(lat, dt_radar)))
-                   * pow(sin(radians(arg_max(lon, dt_radar) - arg_min(lon, dt_radar)) / 2), 2)))) AS distancia
-        FROM points GROUP BY flightid""",
+                   pow(sin(radians(arg_max(lat, seq) - arg_min(lat, seq)) / 2), 2)
+                   + cos(radians(arg_min(lat, seq))) * cos(radians(arg_max(lat, seq)))
+                   * pow(sin(radians(arg_max(lon, seq) - arg_min(lon, seq)) / 2), 2)))) AS distancia
+        FROM ordered GROUP BY flightid""",
     "holdings": f"""
         SELECT epoch_us(ts) // 1000 AS hora_ms, date_trunc('hour', ts) AS hour_ts, CAST(hour(ts) AS INT) AS hora,
                CAST(isodow(ts) - 1 AS INT) AS diaSemana, {_AERO} AS aero, substr({_AERO}, 3) AS short,
@@ -321,7 +325,8 @@ SQL = {
 
 _NEEDS = {
     "flights": ["movements"],
-    "summary": ["points"],
+    "ordered": ["points"],
+    "summary": ["points", "ordered"],
     "forecasts": ["reports"],
     "tidied": ["reports"],
     "tidied_forecasts": ["reports", "forecasts"],

@@ -141,7 +141,7 @@ def track_first_ts(spark, d):
     "first_value_per_track",
     sql(
         """SELECT flightid, dt_radar, first_level FROM points JOIN (
-        SELECT flightid, arg_min(flightlevel, dt_radar) AS first_level FROM points GROUP BY flightid) USING (flightid)""",
+        SELECT flightid, arg_min(flightlevel, (dt_radar, flightlevel)) AS first_level FROM points GROUP BY flightid) USING (flightid)""",
         "points",
     ),
 )
@@ -193,7 +193,7 @@ def typical_flight(spark, d):
 
 
 _THINNED = """SELECT linha, flightid, dt_radar, lat, lon FROM (SELECT *, row_number() OVER (PARTITION BY flightid
-    ORDER BY dt_radar) - 1 AS p FROM points) JOIN typical USING (flightid) WHERE p % 2 = 0"""
+    ORDER BY dt_radar, lat, lon) - 1 AS p FROM points) JOIN typical USING (flightid) WHERE p % 2 = 0"""
 
 
 def _representatives(spark, d):

@@ -186,3 +186,11 @@ def test_long_chain_is_one_component(spark):
     data = [("i", k, 0, 15.0 * k, 0.0) for k in range(200)]
     got = proximity.proximity_components(spark.createDataFrame(data, VERTEX))
     assert {r["component"] for r in got.collect()} == {0}
+
+
+def test_storm_centre_beyond_the_pole(spark):
+    hour = F.timestamp_seconds(F.lit(0)).alias("hour_ts")
+    p = spark.createDataFrame([("a", 1, 80.0, -150.0), ("b", 2, 80.0, 30.0)], "flightid string, dt_radar long, lat double, lon double")
+    s = spark.createDataFrame([(100.0, 30.0, 50.0)], "lat double, lon double, radius_km double")
+    got = exposure.point_exposure(p.select("*", hour), s.select("*", hour))
+    assert rows(got, "flightid", "flight_through_area") == [("a", 1), ("b", 0)]

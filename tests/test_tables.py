@@ -234,3 +234,10 @@ def test_seeded_sample(spark):
     one = rows(stats.seeded_sample(df, "id", 20))
     assert len(one) == 20 and one == rows(stats.seeded_sample(df.repartition(9), "id", 20))
     assert one != rows(stats.seeded_sample(df, "id", 20, seed=1))
+
+
+def test_points_of_the_same_time_have_a_fixed_order(spark):
+    data = [("a", float(i % 5), float(i), 1.0, 1.0, 1000) for i in range(20)]
+    one = tracks.track_summary(spark.createDataFrame(data, POINTS)).first()
+    two = tracks.track_summary(spark.createDataFrame(data[::-1], POINTS).repartition(7)).first()
+    assert one == two
