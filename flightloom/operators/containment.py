@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import ray_crosses
+from ..session import cut_lineage
 from .polygons import ring_edges
 from .skew import collapse_copies, hot_keys, skew_join
 
@@ -131,11 +132,11 @@ def most_exposed(marked: DataFrame) -> DataFrame:
 
 def overlay(points: DataFrame, vertices: DataFrame, flight, size: float = 2.5) -> DataFrame:
     """Points of one flight (given by its id) in time order, with inside flag and start/end marks."""
-    own = mark_inside(points.where(F.col("flightid") == F.lit(flight)), vertices, size=size)
-    # One row with two times.
-    first, last = own.agg(F.min("dt_radar"), F.max("dt_radar")).first()
-    return own.select(
+    own = cut_lineage(mark_inside(points.where(F.col("flightid") == F.lit(flight)), vertices, size=size))
+    # One row: there is one flight.
+    ends = own.groupBy("flightid").agg(F.min("dt_radar").alias("_first"), F.max("dt_radar").alias("_last"))
+    return own.join(F.broadcast(ends), "flightid").select(
         "flightid", "dt_radar", "lon", "lat", "bucket", "inside",
-        (F.col("dt_radar") == F.lit(first)).cast("int").alias("is_start"),
-        (F.col("dt_radar") == F.lit(last)).cast("int").alias("is_end"),
+        (F.col("dt_radar") == F.col("_first")).cast("int").alias("is_start"),
+        (F.col("dt_radar") == F.col("_last")).cast("int").alias("is_end"),
     ).orderBy("dt_radar")
