@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,20 +47,27 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
 
 
-def _checkpoint_dir(spark: SparkSession) -> str:
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for intermediate tables that the driver and all executors reach.
+
+    ``spark.checkpoint.dir`` of the session; where it is unset, a folder beside the
+    session's own tables.
+    """
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return sc.getCheckpointDir()
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="flightloom-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    if not sc.getCheckpointDir():
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/checkpoints")
     return sc.getCheckpointDir()
 
 
+def drop_written(spark: SparkSession, df: DataFrame) -> None:
+    """Remove a table of ``cut_lineage`` after its last reader has run."""
+    for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+        if "/table-" in path:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read on from there.
 
@@ -69,6 +75,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     (row numbers that depend on partitioning) or where a loop would grow the plan. A
     written table also gives the planner true sizes for the joins that follow.
     """
-    path = f"{_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

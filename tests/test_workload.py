@@ -4,8 +4,10 @@ from pathlib import Path
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from check import compare, connect
+from flightloom.workload import all_oracles as oracle_sql
+from flightloom.workload import all_queries as queries
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="test tables are not here")
