@@ -7,7 +7,7 @@ import importlib
 
 from ..session import tune
 
-MODULES = ("exact_dedup",)
+MODULES = ("exact_dedup", "near_dedup")
 
 
 def _tuned(fn):
