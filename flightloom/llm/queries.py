@@ -7,7 +7,7 @@ import importlib
 
 from ..session import tune
 
-MODULES = ("exact_dedup", "near_dedup")
+MODULES = ("exact_dedup", "near_dedup", "top_k", "bpe", "secrets")
 
 
 def _tuned(fn):
