@@ -7,7 +7,7 @@ import importlib
 
 from ..session import tune
 
-MODULES = ("exact_dedup", "near_dedup", "top_k", "bpe", "secrets", "pii")
+MODULES = ("exact_dedup", "near_dedup", "top_k", "bpe", "secrets", "pii", "toxicity")
 
 
 def _tuned(fn):
