@@ -22,9 +22,13 @@ from . import words as W
 REGISTRY = Registry()
 
 #: Bounds of the labelled sample that the driver fits the model on, in documents and in words.
-MAX_DOCUMENTS, MAX_WORDS = 8_000, 6_000_000
-#: A word must be in so many sampled documents to become a feature.
+MAX_DOCUMENTS, MAX_WORDS = 8_000, 2_000_000
+#: A word or beginning must be in so many sampled documents to become a feature.
 MIN_DOCUMENTS = 4
+#: Longer words also count by their first bytes, of these numbers.
+BEGINNINGS = (5, 6, 7, 8)
+#: Features of a word: itself, and its beginnings.
+EACH = 1 + len(BEGINNINGS)
 
 _LETTER = W.byte_set((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x27, 0x27), (0x80, 0xFF))
 _NOT_LETTER = ~_LETTER
@@ -32,9 +36,10 @@ _STOP = W.byte_set((0x21, 0x21), (0x2E, 0x2E), (0x3F, 0x3F), (0x0A, 0x0A))
 
 
 def sentences(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, the first word of each sentence, sentences before each text, and byte starts and ends of the words.
+    """Feature hashes (one row per word), the first word of each sentence, sentences before each text, starts and ends of words.
 
-    Words are runs of letters, digits and apostrophes, lower-cased in A-Z; a sentence ends at . ! ? or a line's end.
+    Words are runs of letters, digits and apostrophes, lower-cased in A-Z; a sentence ends at . ! ? or a line's end. A
+    word's features are itself and its beginnings; a short word repeats itself in their places, with hashes of no weight.
     """
     starts, ends, before = W.spans(buf, offsets, _NOT_LETTER)
     stops = np.cumsum(_STOP[buf], dtype=np.int64)[starts] if len(starts) else starts
@@ -42,7 +47,11 @@ def sentences(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     new[1:] = stops[1:] != stops[:-1]
     new[before[:-1][before[:-1] < len(starts)]] = True
     first = np.flatnonzero(new)
-    return W.word_hashes(buf, starts, ends, W.letters(True)), first, np.searchsorted(first, before), starts, ends
+    cuts = [ends, *(np.minimum(starts + n, ends) for n in BEGINNINGS)]
+    hashes = np.stack(W.range_hashes(buf, starts, ends, cuts, W.letters(True)), axis=1)
+    for n, size in enumerate(BEGINNINGS, 1):
+        hashes[:, n] = np.where(ends - starts > size, hashes[:, n] ^ W.U(n), W.U(0))
+    return hashes, first, np.searchsorted(first, before), starts, ends
 
 
 @dataclass
@@ -52,14 +61,14 @@ class Model:
     bias: float
 
     def sentence_scores(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Logits of sentences; a word counts as often as it occurs."""
+        """Logits of sentences; a feature counts as often as it occurs."""
         if not len(first):
             return np.zeros(0)
         if not len(self.keys):
             return np.full(len(first), self.bias)
         at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
         found = np.where(self.keys[at] == hashes, self.weights[at], 0.0)
-        return self.bias + np.add.reduceat(found, first)
+        return self.bias + np.add.reduceat(found.sum(axis=1), first)
 
 
 def noisy_or(logits: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -68,23 +77,27 @@ def noisy_or(logits: np.ndarray, before: np.ndarray) -> np.ndarray:
     return np.clip(-np.expm1(-(sums[before[1:]] - sums[before[:-1]])), 0.0, 1.0)
 
 
-def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 250, penalty: float = 2.0, rate: float = 0.08) -> Model:
-    """The model from (word hashes, first words of sentences, label) of each sampled document."""
+def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 150, penalty: float = 1.0, rate: float = 0.1) -> Model:
+    """The model from (feature hashes, first words of sentences, label) of each sampled document."""
     docs = [d for d in docs if len(d[0])]
+    nothing = Model(np.zeros(0, W.U), np.zeros(1), -8.0)
     if not docs:
-        return Model(np.zeros(0, W.U), np.zeros(1), -8.0)
+        return nothing
     keys, seen = np.unique(np.concatenate([np.unique(h) for h, _, _ in docs]), return_counts=True)
-    keys = keys[seen >= MIN_DOCUMENTS]
+    keys = keys[(seen >= MIN_DOCUMENTS) & (keys != 0)]
     if not len(keys):
-        return Model(keys, np.zeros(1), -8.0)
-    hashes = np.concatenate([h for h, _, _ in docs])
+        return nothing
+    columns, rows, shift = [], [], 0
+    for hashes, first, _ in docs:
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        known = keys[at] == hashes
+        of = np.repeat(np.arange(shift, shift + len(first)), np.diff(np.append(first, len(hashes))))
+        columns.append(at[known].astype(np.int32))
+        rows.append(np.broadcast_to(of[:, None], at.shape)[known].astype(np.int32))
+        shift += len(first)
+    at, sentence = np.concatenate(columns), np.concatenate(rows)
     before = np.concatenate([[0], np.cumsum([len(f) for _, f, _ in docs])])
-    shift = np.concatenate([[0], np.cumsum([len(h) for h, _, _ in docs])])
-    first = np.concatenate([f + s for (_, f, _), s in zip(docs, shift[:-1], strict=True)])
-    sentence = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(hashes))))
-    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-    known = keys[at] == hashes
-    at, sentence = at[known], sentence[known]
+    first = range(shift)
     label = np.array([y for _, _, y in docs], float)
     owner = np.repeat(np.arange(len(docs)), np.diff(before))
     weights, bias = np.zeros(len(keys)), -np.log(max(2.0, len(first) / max(1.0, label.sum())))
@@ -109,9 +122,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes, first, before, _, _ = sentences(buf, offsets)
             bounds = np.append(first, len(hashes))[before]
             for d in range(b - a):
-                out_words.append(hashes[bounds[d] : bounds[d + 1]].tobytes())
+                out_words.append(hashes[bounds[d] : bounds[d + 1]].tobytes())  # EACH numbers a word
                 out_first.append((first[before[d] : before[d + 1]] - bounds[d]).tobytes())
-        sizes = pa.array([len(w) // 8 for w in out_words], pa.int64())
+        sizes = pa.array([len(w) // (8 * EACH) for w in out_words], pa.int64())
         columns = [batch.column("doc"), batch.column("label"), sizes, pa.array(out_words, pa.binary()), pa.array(out_first, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, names=["doc", "label", "n_words", "words", "first"])
 
@@ -132,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     got = sizes.where(F.col("so_far") <= MAX_WORDS).orderBy("so_far", "doc").select("label", "words", "first").toArrow()
     return fit(
         [
-            (np.frombuffer(w, W.U), np.frombuffer(f, np.int64), y)
+            (np.frombuffer(w, W.U).reshape(-1, EACH), np.frombuffer(f, np.int64), y)
             for y, w, f in zip(*(got.column(c).to_pylist() for c in ("label", "words", "first")), strict=True)
         ]
     )

@@ -88,8 +88,13 @@ def spans(buf: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE) -
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word; the bytes are summed up a megabyte at a time."""
-    out = np.empty(len(starts), U)
+    """A 64-bit hash of each word."""
+    return range_hashes(buf, starts, ends, [ends], table)[0]
+
+
+def range_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, stops: list[np.ndarray], table: np.ndarray) -> list[np.ndarray]:
+    """For each list of stops, hashes of the bytes of words from their start to there; summed up a megabyte at a time."""
+    out = [np.empty(len(starts), U) for _ in stops]
     i = 0
     while i < len(starts):
         low = int(starts[i])
@@ -98,9 +103,11 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np
         sums = np.zeros(high - low + 1, U)
         np.cumsum(table[buf[low:high]] * _powers("up", high - low)[: high - low], out=sums[1:])
         at = starts[i:j] - low
-        out[i:j] = (sums[ends[i:j] - low] - sums[at]) * _powers("down", high - low)[at]
+        down = _powers("down", high - low)[at]
+        for made, stop in zip(out, stops, strict=True):
+            made[i:j] = (sums[stop[i:j] - low] - sums[at]) * down
         i = j
-    return mix(out + (ends - starts).astype(U))
+    return [mix(made + (stop - starts).astype(U)) for made, stop in zip(out, stops, strict=True)]
 
 
 def shingle_hashes(words: np.ndarray, before: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
