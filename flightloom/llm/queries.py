@@ -7,7 +7,7 @@ import importlib
 
 from ..session import tune
 
-MODULES = ("exact_dedup", "near_dedup", "top_k", "bpe", "secrets", "pii", "toxicity", "packing")
+MODULES = ("exact_dedup", "near_dedup", "top_k", "bpe", "secrets", "pii", "toxicity", "packing", "substrings")
 
 
 def _tuned(fn):
