@@ -14,8 +14,8 @@ def _half_chord(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     s_lat = F.sin(F.radians(lat2 - lat1) / 2)
     s_lon = F.sin(F.radians(lon2 - lon1) / 2)
     a = s_lat * s_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * s_lon * s_lon
-    # Rounding may leave [0, 1] for the same and for opposite points.
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), a))
+    # Rounding may leave [0, 1] for the same and for opposite points; an unknown place has no distance.
+    return F.when(a.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), a)))
 
 
 def great_circle_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -47,18 +47,18 @@ def side_of_stack(rank: Column, step: float = 0.12) -> Column:
     return F.when(rank % 2 == 1, level).otherwise(-level)
 
 
-# Bits below the milliseconds that tell points of the same time apart.
-TIE_BITS = 21
+def time_order(ms: Column, lat: Column, lon: Column) -> Column:
+    """One decimal that sorts by time, then latitude, then longitude (degrees, to 1e-9); unknown ones come first.
 
+    Fixed width, so that ``min_by`` with it stays a hash aggregation, and never the same for two places.
+    """
 
-def tie_code(*values: Column) -> Column:
-    """A number below 2**TIE_BITS from the rounded values, the same wherever the row is read."""
-    total = F.lit(0).cast("long")
-    for i, value in enumerate(values):
-        total = total + F.coalesce(F.round(value * F.lit(100.0)).cast("long"), F.lit(0)) * F.lit(2 * i + 3)
-    return F.pmod(total, F.lit(1 << TIE_BITS))
+    def part(degrees: Column, shift: float) -> Column:
+        steps = F.pmod(F.round((degrees + F.lit(shift)) * F.lit(1e9)), F.lit(1e12))
+        return F.coalesce(steps.try_cast("decimal(12,0)"), F.lit(0).cast("decimal(12,0)"))
 
+    def power(n: int) -> Column:
+        return F.lit("1" + "0" * n).cast(f"decimal({n + 1},0)")
 
-def time_order(ms: Column, *values: Column) -> Column:
-    """One long that sorts by time and, within a millisecond, by the code of the values."""
-    return ms * F.lit(1 << TIE_BITS) + tie_code(*values)
+    time = ms.cast("decimal(13,0)") * power(24)
+    return (time + part(lat, 90.0) * power(12) + part(lon, 180.0)).cast("decimal(38,0)")

@@ -23,7 +23,10 @@ HEADER = r"^(METAR|SPECI) (COR )?[A-Z][A-Z0-9]{3} [0-9]{6}Z "
 TEMPERATURE = r" (M?[0-9]{2})/(M?[0-9]{2})?([ =]|$)"
 WIND = r" ([0-9]{3}|VRB)([0-9]{2,3})(G[0-9]{2,3})?(KT|MPS|KMH) "
 METRES = r" ([0-9]{4})([NSEW]{1,2}|NDV)?([ =]|$)"
-MILES = r" ([0-9]{1,2})SM([ =]|$)"
+MILES = r" (?:M|P)?(?:([0-9]{1,2}) ?)?(?:([0-9])/([0-9]{1,2}))?SM([ =]|$)"
+# What follows is a forecast or a remark, not observed weather.
+TREND = r" (TEMPO|BECMG|NOSIG|RMK|PROB[0-9]{2}|FM[0-9]{4,6})( .*|=.*|$)"
+METRES_IN_MILE, HECTOPASCAL_IN_INCH = 1609.344, 33.8638866667
 CLEAR = r" CAVOK([ =]|$)"
 HECTOPASCAL = r" Q([0-9]{4})([ =]|$)"
 INCHES = r" A([0-9]{4})([ =]|$)"
@@ -39,6 +42,11 @@ def tidy(report: Column) -> Column:
     return squeeze_spaces(swap_word(report, "METAF", "METAR"))
 
 
+def observed(report: Column) -> Column:
+    """The report up to its trend or remarks."""
+    return F.regexp_replace(report, TREND, "=")
+
+
 def _group(pattern: str, number: int) -> Column:
     return F.nullif(F.regexp_extract("_text", pattern, number), F.lit(""))
 
@@ -57,6 +65,8 @@ _RAW = {
     "_direction": lambda: _group(WIND, 1),
     "_metres": lambda: _group(METRES, 1),
     "_miles": lambda: _group(MILES, 1),
+    "_over": lambda: _group(MILES, 2),
+    "_under": lambda: _group(MILES, 3),
     "_clear": lambda: F.col("_text").rlike(CLEAR),
     "_hectopascal": lambda: _group(HECTOPASCAL, 1),
     "_inches": lambda: _group(INCHES, 1),
@@ -77,21 +87,26 @@ def _celsius(name: str) -> Column:
 def add_report_columns(df: DataFrame, report: str) -> DataFrame:
     """Add the eight fields and ``parse_ok``; a report without a proper header gives NULLs.
 
+    Visibility is in metres and pressure in hectopascal, also where the report has miles (with
+    fractions) or inches. Trends and remarks after the observation are not read.
+
     Three projections, each using the columns of the one before, so that the text is
     tidied once and each pattern is searched once per row.
     """
+    part = _number("_over") / F.nullif(_number("_under"), F.lit(0.0))
+    miles = F.when(F.col("_miles").isNotNull() | F.col("_over").isNotNull(), F.coalesce(_number("_miles"), F.lit(0.0)) + F.coalesce(part, F.lit(0.0)))
     fields = {
         "Temperatura": _celsius("_temperature"),
         "Ponto de Orvalho": _celsius("_dew"),
         "Velocidade do Vento": _number("_speed"),
         "Direção do Vento": _number("_direction"),
         "Visibilidade": F.when(F.col("_clear") | (F.col("_metres") == "9999"), F.lit(10000.0)).otherwise(
-            F.coalesce(_number("_metres"), _number("_miles"))
+            F.coalesce(_number("_metres"), F.round(miles * F.lit(METRES_IN_MILE), 1))
         ),
-        "Pressão": F.coalesce(_number("_hectopascal"), _number("_inches") / 100),
+        "Pressão": F.coalesce(_number("_hectopascal"), F.round(_number("_inches") / 100 * F.lit(HECTOPASCAL_IN_INCH), 1)),
         "Tempo": F.col("_weather"),
         "Céu": F.col("_sky"),
     }
-    searched = df.withColumn("_text", tidy(F.col(report))).withColumns({n: c() for n, c in _RAW.items()})
+    searched = df.withColumn("_text", observed(tidy(F.col(report)))).withColumns({n: c() for n, c in _RAW.items()})
     read = searched.withColumns({n: F.when(F.col("parse_ok"), c) for n, c in fields.items()})
     return read.drop("_text", *[n for n in _RAW if n != "parse_ok"])

@@ -26,7 +26,7 @@ def _sorted_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
 def _before_range(ranged: DataFrame, keys: Sequence[str], size: Column) -> DataFrame:
     """Per (range, key): total of the key in earlier ranges, and the first row number.
 
-    One row per range plus one per key: small for the few hot keys this is used on.
+    One row per range plus one per key.
     """
     sums = ranged.groupBy("_range", *keys).agg(size.alias("_size"), F.min("_row").alias("_start"))
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
@@ -36,7 +36,7 @@ def _before_range(ranged: DataFrame, keys: Sequence[str], size: Column) -> DataF
 
 def _spread_positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
     ranged = _sorted_ranges(df, keys, order)
-    before = F.broadcast(_before_range(ranged, keys, F.count(F.lit(1))))
+    before = _before_range(ranged, keys, F.count(F.lit(1)))
     joined = null_safe_join(ranged, before, ["_range", *keys])
     return joined.select(*df.columns, (F.col("_row") - F.col("_start") + F.col("_before")).alias(name))
 
@@ -63,7 +63,7 @@ def position_in_group(
         hot = hot_keys(df, keys, rows_per_task)
     if hot is None:
         return df.withColumn(name, (F.row_number().over(window) - 1).cast("long"))
-    hot = F.broadcast(hot.drop("_rows"))
+    hot = hot.drop("_rows")
     calm = null_safe_join(df, hot, keys, "left_anti")
     calm = calm.withColumn(name, (F.row_number().over(window) - 1).cast("long"))
     return calm.unionByName(_spread_positions(null_safe_join(df, hot, keys, "left_semi"), keys, order, name))
@@ -78,7 +78,7 @@ def running_total(
     """
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     ranged = _sorted_ranges(df, keys, order)
-    before = F.broadcast(_before_range(ranged, keys, F.sum(weight)))
+    before = _before_range(ranged, keys, F.sum(weight))
     inside = Window.partitionBy("_range", *keys).orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
     part = ranged.withColumn("_part", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
     joined = null_safe_join(part, before, ["_range", *keys])

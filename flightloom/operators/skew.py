@@ -7,31 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # A key with more rows than this is spread over several tasks.
 ROWS_PER_TASK = 5_000_000
-# At most this many keys are listed as hot: a key outside of the list then holds
-# less than 1/MAX_HOT of all rows, and the list itself is always small enough to broadcast.
-MAX_HOT = 1000
-
 
-def hot_keys(
-    df: DataFrame, keys: Sequence[str], rows_per_task: int | None = None, coarse: Sequence[str] = ()
-) -> DataFrame | None:
-    """The (at most MAX_HOT) largest keys above the limit with their row counts, or None.
 
-    ``coarse`` names some of the keys with few values: if no combination of these is above
-    the limit, the finer keys need not be counted.
-    """
+def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int | None = None) -> DataFrame | None:
+    """All keys above the limit with their row counts, as a written table, or None if there are none."""
     limit = rows_per_task or ROWS_PER_TASK
-
-    def above(columns):
-        return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
-
-    if coarse and above(coarse).isEmpty():
-        return None
-    counts = above(keys)
-    top = counts.orderBy(F.desc("_rows"), *keys).limit(MAX_HOT).collect()
-    return df.sparkSession.createDataFrame(top, counts.schema) if top else None
+    counts = cut_lineage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit))
+    return None if counts.isEmpty() else counts
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -58,20 +44,20 @@ def skew_join(
 ) -> DataFrame:
     """Equi-join in which the rows of a hot left key are dealt to several tasks.
 
-    The left row picks one of ``n`` slices from a hash of its own content; the right rows
-    of that key are repeated once per slice, so each pair still meets exactly once.
-    Works for inner, left and left_semi joins. Left rows should not be plain copies of
-    each other (see collapse_copies), otherwise they share a slice. ``hot`` takes the result
-    of an earlier hot_keys on the same left side.
+    Without ``rows_per_task`` and ``hot`` this is a plain join, whose skewed partitions adaptive execution
+    splits as it runs; nothing is counted beforehand. With either, the left row picks one of
+    ``n`` slices from a hash of its own content and the right rows of that key are repeated once
+    per slice, so each pair still meets exactly once, also where an aggregation above the
+    join keeps Spark from splitting. Works for inner, left and left_semi joins. Left rows should not be
+    plain copies of each other (see collapse_copies), otherwise they share a slice. ``hot``
+    takes the result of an earlier hot_keys on the same left side.
     """
     limit = rows_per_task or ROWS_PER_TASK
     if isinstance(hot, str):
-        hot = hot_keys(left, keys, limit)
+        hot = hot_keys(left, keys, limit) if rows_per_task else None
     if hot is None:
         return left.join(right, list(keys), how)
-    plan = F.broadcast(
-        hot.withColumn("_slices", F.ceil(F.col("_rows") / F.lit(limit)).cast("int")).drop("_rows")
-    )
+    plan = hot.withColumn("_slices", F.ceil(F.col("_rows") / F.lit(limit)).cast("int")).drop("_rows")
     slices = F.coalesce("_slices", F.lit(1))
     dealt = null_safe_join(left, plan, keys, "left").select(
         *left.columns, F.pmod(F.xxhash64(*left.columns), slices).cast("int").alias("_slice")

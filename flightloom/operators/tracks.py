@@ -23,14 +23,15 @@ def degrees_of(points: DataFrame) -> DataFrame:
 def track_summary(points: DataFrame, order: Column | None = None) -> DataFrame:
     """One row per flight: duration, first and last position, level and speed statistics, displacement.
 
-    First and last go by ``order``, a number that grows with time; by default the time with a
-    code of the point's values below it, so that points of the same millisecond have a fixed
-    order too. With a plain number as order key every buffer has fixed width, so this is one
-    hash aggregation that combines on the map side and never sorts the points.
+    First and last are the first and last known values; they go by ``order``, a number that grows
+    with time; by default the time with the position below it, so that points of the same
+    millisecond have a fixed order too. With a plain number as order key every buffer has fixed
+    width, so this is one hash aggregation that combines on the map side and never sorts the points.
     """
     at = order
     if at is None:
-        at = time_order(F.col("dt_radar"), *[F.col(c) for c in ("lat", "lon", "flightlevel", "speed")])
+        at = time_order(F.col("dt_radar"), F.col("lat"), F.col("lon"))
+    seen = {c: F.when(F.col(c).isNotNull(), at) for c in ("lat", "lon")}
     known = points.where(F.col("flightid").isNotNull())
     stats = [
         f(c).alias(f"{c}_{n}") for c in ("flightlevel", "speed") for n, f in _FOUR.items()
@@ -38,10 +39,10 @@ def track_summary(points: DataFrame, order: Column | None = None) -> DataFrame:
     out = known.groupBy("flightid").agg(
         F.count(F.lit(1)).alias("n_points"),
         ((F.max("dt_radar") - F.min("dt_radar")) / F.lit(1000.0)).alias("duration"),
-        F.min_by("lat", at).alias("lat_first"),
-        F.max_by("lat", at).alias("lat_last"),
-        F.min_by("lon", at).alias("lon_first"),
-        F.max_by("lon", at).alias("lon_last"),
+        F.min_by("lat", seen["lat"]).alias("lat_first"),
+        F.max_by("lat", seen["lat"]).alias("lat_last"),
+        F.min_by("lon", seen["lon"]).alias("lon_first"),
+        F.max_by("lon", seen["lon"]).alias("lon_last"),
         *stats,
     )
     span = great_circle_km_atan(F.col("lat_first"), F.col("lon_first"), F.col("lat_last"), F.col("lon_last"))

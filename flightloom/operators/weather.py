@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import times
 from ..functions.reports import NUMERIC_FIELDS, add_report_columns
-from ..session import spread
 from .clean import several
 from .joins import attach
 
@@ -17,8 +16,8 @@ STATISTICS = {"mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_samp}
 
 
 def parse_reports(reports: DataFrame, text: str) -> DataFrame:
-    """Add the report fields; few but wordy input files are spread over all cores first."""
-    return add_report_columns(spread(reports), text)
+    """Add the report fields."""
+    return add_report_columns(reports, text)
 
 
 def parse_rate(parsed: DataFrame) -> DataFrame:

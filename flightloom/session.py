@@ -37,16 +37,6 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of an input with fewer files than cores to all cores.
-
-    For work that costs much per row. Only looks at the file list; inputs of many files
-    pass unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables that the driver and all executors reach.
 

@@ -6,14 +6,27 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str | None = None, sep: str = ",") -> DataFrame:
-    """Headered CSV. With a schema the columns are matched to it in order; without one all are text."""
+    """Headered CSV. With a schema the columns are found by name, whatever their order; without one all are text.
+
+    A column that the header lacks is an error, and so is a file whose header differs from that of the first one.
+    Columns beyond the schema are not returned. A cell that is not of its type is NULL.
+    """
+    paths = path if isinstance(path, str) else list(path)
     reader = spark.read.option("header", True).option("sep", sep)
-    if schema:
-        reader = reader.schema(schema)
-    return reader.csv(path if isinstance(path, str) else list(path))
+    if not schema:
+        return reader.csv(paths)
+    wanted = StructType.fromDDL(schema)
+    there = reader.csv(paths).columns
+    missing = [f.name for f in wanted if f.name not in there]
+    if missing:
+        raise ValueError(f"columns {missing} are not in the header {there}")
+    types = {f.name: f.dataType for f in wanted}
+    by_header = StructType([StructField(name, types.get(name, StringType())) for name in there])
+    return reader.schema(by_header).option("enforceSchema", False).csv(paths).select(*wanted.names)
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -11,7 +11,7 @@ from .exposures import _NEAR, _PER_POINT
 from .registry import Registry
 from .reports import parsed_sql, stats_sql, weather_names
 from .standins import q, r, sql
-from .tracks import HISTORY_SQL
+from .tracks import history_sql
 
 REGISTRY = Registry()
 _add = REGISTRY.add
@@ -26,7 +26,7 @@ def _code_sql(column: str) -> str:
 
 
 _PARTS = {
-    "history": HISTORY_SQL,
+    "history": history_sql("summary"),
     "parsed_x": parsed_sql("tidied"),
     "parsed_y": parsed_sql("tidied_forecasts"),
     "wx": stats_sql("parsed_x", "_x"),

@@ -33,14 +33,17 @@ def _wind(group: int) -> str:
 
 
 _METRES = "TRY_CAST(nullif(regexp_extract(t, ' ([0-9]{4})([NSEW]{1,2}|NDV)?([ =]|$)', 1), '') AS DOUBLE)"
+_PART = "TRY_CAST(nullif(regexp_extract(t, ' ([0-9])/([0-9]{1,2})SM', %d), '') AS DOUBLE)"
+_WHOLE = "TRY_CAST(nullif(regexp_extract(t, ' ([0-9]{1,2})( [0-9]/[0-9]{1,2})?SM', 1), '') AS DOUBLE)"
+_MILES = f"CASE WHEN t LIKE '%SM %' THEN round((coalesce({_WHOLE}, 0) + coalesce({_PART % 1} / {_PART % 2}, 0)) * 1609.344::DOUBLE, 1) END"
 _FIELDS = {
     "Temperatura": _celsius(1),
     "Ponto de Orvalho": _celsius(2),
     "Velocidade do Vento": _wind(2),
     "Direção do Vento": _wind(1),
-    "Visibilidade": f"CASE WHEN t LIKE '% CAVOK %' OR {_METRES} = 9999 THEN 10000.0::DOUBLE ELSE {_METRES} END",
+    "Visibilidade": f"CASE WHEN t LIKE '% CAVOK %' OR {_METRES} = 9999 THEN 10000.0::DOUBLE ELSE coalesce({_METRES}, {_MILES}) END",
     "Pressão": """coalesce(TRY_CAST(nullif(regexp_extract(t, ' Q([0-9]{4})([ =]|$)', 1), '') AS DOUBLE),
-        TRY_CAST(nullif(regexp_extract(t, ' A([0-9]{4})([ =]|$)', 1), '') AS DOUBLE) / 100)""",
+        round(TRY_CAST(nullif(regexp_extract(t, ' A([0-9]{4})([ =]|$)', 1), '') AS DOUBLE) / 100 * 33.8638866667::DOUBLE, 1))""",
     "Tempo": f"nullif(array_to_string([x FOR x IN string_split(rtrim(t, '='), ' ') IF regexp_full_match(x, '{_WX}')], ', '), '')",
     "Céu": f"nullif(array_to_string([x FOR x IN string_split(rtrim(t, '='), ' ') IF regexp_full_match(x, '{_SKY}')], ', '), '')",
 }

@@ -143,15 +143,18 @@ def storm_areas(spark, d):
 @_add(
     "distances",
     sql(
-        f"""SELECT event_id, {q('''2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(lat - 10) / 2), 2)
-        + cos(radians(10.0)) * cos(radians(lat)) * pow(sin(radians(lon + 40) / 2), 2))))''', 4, 'km')},
-        {q('sqrt(pow(lat - 10, 2) + pow(lon + 40, 2))', 6, 'flat')} FROM storms""",
+        f"""SELECT event_id, {q('''2 * 6371.0 * asin(sqrt(pow(sin(radians(lat - 10) / 2), 2)
+        + cos(radians(10.0)) * cos(radians(lat)) * pow(sin(radians(lon + 40) / 2), 2)))''', 4, 'km')},
+        {q('sqrt(pow(lat - 10, 2) + pow(lon + 40, 2))', 6, 'flat')}
+        FROM (SELECT event_id, CASE WHEN event_id % 13 = 0 THEN NULL ELSE lat END AS lat, CASE WHEN event_id % 17 = 0 THEN NULL ELSE lon END AS lon
+              FROM storms)""",
         "storms",
     ),
 )
 def distances(spark, d):
     e, u = F.col("event_id"), F.col("user_id")
     lat, lon = ((u * 37 + e) % 140 - 70).cast("double"), (e * 53 % 340 - 170).cast("double")
+    lat, lon = F.when(e % 13 != 0, lat), F.when(e % 17 != 0, lon)
     return s.read(spark, d, "events").select(
         "event_id",
         r(geo.great_circle_km(F.lit(10.0), F.lit(-40.0), lat, lon), 4).alias("km"),

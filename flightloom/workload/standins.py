@@ -84,6 +84,18 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points_degrees(spark, sf_dir).withColumns({"lat": F.radians("lat"), "lon": F.radians("lon")})
 
 
+def gappy_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points with unknown positions, and several points of a flight at the same time."""
+    second = F.floor(F.col("dt_radar") / 1000)
+    return points(spark, sf_dir).withColumns(
+        {
+            "lat": F.when(second % 7 != 0, F.col("lat")),
+            "lon": F.when((second % 7 != 0) & (second % 11 != 0), F.col("lon")),
+            "dt_radar": F.col("dt_radar") - F.col("dt_radar") % 1200000,
+        }
+    )
+
+
 def hourly_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points_degrees(spark, sf_dir).withColumn(
         "hour_ts", F.date_trunc("hour", F.timestamp_millis("dt_radar"))
@@ -124,7 +136,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("METAR "), _airport(), F.lit(" "), F.date_format("ts", "ddHHmm"), F.lit("Z "),
         F.when(e % 11 == 0, "VRB").otherwise(F.lpad((e * 10 % 360).cast("string"), 3, "0")), _two(e % 40),
         F.when(e % 7 == 0, "G35").otherwise(blank), F.lit("KT "),
-        F.when(e % 5 == 0, "CAVOK").when(e % 5 == 1, "9999").otherwise(F.lpad((e % 90 * 100).cast("string"), 4, "0")),
+        F.when(e % 19 == 0, "1 1/2SM").when(e % 19 == 1, "10SM").when(e % 19 == 2, "3/4SM").when(e % 5 == 0, "CAVOK").when(e % 5 == 1, "9999").otherwise(F.lpad((e % 90 * 100).cast("string"), 4, "0")),
         F.lit(" "),
         F.when(e % 4 == 0, "-RA ").when(e % 4 == 1, "TSRA BR ").otherwise(blank),
         F.when(e % 3 == 0, "BKN020 SCT030CB ").when(e % 3 == 1, "FEW008 ").otherwise(blank),
@@ -134,6 +146,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(e % 9 == 0, F.concat(F.lit("A"), (e % 100 + 2900).cast("string"))).otherwise(
             F.concat(F.lit("Q"), F.lpad((e % 40 + 990).cast("string"), 4, "0"))
         ),
+        F.when(e % 8 == 3, " TEMPO 1000 TSRA OVC005").when(e % 8 == 5, " BECMG BKN010").when(e % 8 == 6, " RMK FZRA A2992").otherwise(blank),
         F.lit("="),
     )
     text = F.when(e % 23 == 0, F.concat(F.lit("garbage "), e.cast("string"))).otherwise(text)
@@ -226,6 +239,23 @@ _CODE = "('SB' || chr((65 + ({n}) // 5)::INT) || chr((75 + ({n}) % 5)::INT))"
 _DEP = "(1704067200000 + ({k} * 7919) % 2592000 * 1000)"
 _AERO = _CODE.format(n="user_id % 25")
 
+def _summary(source: str) -> str:
+    """First and last known values by time, then position; NULL distance where an end is unknown."""
+    ends = []
+    for c in ("lat", "lon"):
+        for name, f in (("first", "arg_min"), ("last", "arg_max")):
+            ends.append(f"{f}({c}, (dt_radar, coalesce(lat, -90), coalesce(lon, -180))) FILTER ({c} IS NOT NULL) AS {c}_{name}")
+    return f"""
+        SELECT *, 2 * 6371.0 * asin(sqrt(CASE WHEN a > 1 THEN 1.0 ELSE a END)) AS distancia FROM (
+        SELECT *, pow(sin(radians(lat_last - lat_first) / 2), 2)
+                  + cos(radians(lat_first)) * cos(radians(lat_last)) * pow(sin(radians(lon_last - lon_first) / 2), 2) AS a FROM (
+        SELECT flightid, count(*) AS n_points, (max(dt_radar) - min(dt_radar)) / 1000.0 AS duration, {", ".join(ends)},
+               avg(flightlevel) AS flightlevel_mean, min(flightlevel) AS flightlevel_min,
+               max(flightlevel) AS flightlevel_max, stddev_samp(flightlevel) AS flightlevel_std,
+               avg(speed) AS speed_mean, min(speed) AS speed_min, max(speed) AS speed_max, stddev_samp(speed) AS speed_std
+        FROM {source} GROUP BY flightid))"""
+
+
 SQL = {
     "movements": f"""
         SELECT o_orderkey AS flightid, {_CODE.format(n='c_nationkey')} AS origem,
@@ -249,22 +279,12 @@ SQL = {
                l_extendedprice AS flightlevel, l_quantity AS speed,
                {_DEP.format(k='l_orderkey')} + (l_linenumber - 1) * 600000 + (l_partkey * 131 + l_suppkey * 7) % 600000 AS dt_radar
         FROM lineitem""",
-    "ordered": """
-        SELECT *, dt_radar * 2097152 + (((CAST(round(lat * 100) AS BIGINT) * 3 + CAST(round(lon * 100) AS BIGINT) * 5
-            + CAST(round(flightlevel * 100) AS BIGINT) * 7 + CAST(round(speed * 100) AS BIGINT) * 9) % 2097152) + 2097152) % 2097152 AS seq
-        FROM points""",
-    "summary": """
-        SELECT flightid, count(*) AS n_points, (max(dt_radar) - min(dt_radar)) / 1000.0 AS duration,
-               arg_min(lat, seq) AS lat_first, arg_max(lat, seq) AS lat_last,
-               arg_min(lon, seq) AS lon_first, arg_max(lon, seq) AS lon_last,
-               avg(flightlevel) AS flightlevel_mean, min(flightlevel) AS flightlevel_min,
-               max(flightlevel) AS flightlevel_max, stddev_samp(flightlevel) AS flightlevel_std,
-               avg(speed) AS speed_mean, min(speed) AS speed_min, max(speed) AS speed_max, stddev_samp(speed) AS speed_std,
-               2 * 6371.0 * asin(sqrt(least(1.0,
-                   pow(sin(radians(arg_max(lat, seq) - arg_min(lat, seq)) / 2), 2)
-                   + cos(radians(arg_min(lat, seq))) * cos(radians(arg_max(lat, seq)))
-                   * pow(sin(radians(arg_max(lon, seq) - arg_min(lon, seq)) / 2), 2)))) AS distancia
-        FROM ordered GROUP BY flightid""",
+    "gappy": """
+        SELECT flightid, CASE WHEN dt_radar // 1000 % 7 = 0 THEN NULL ELSE lat END AS lat,
+               CASE WHEN dt_radar // 1000 % 7 = 0 OR dt_radar // 1000 % 11 = 0 THEN NULL ELSE lon END AS lon,
+               flightlevel, speed, dt_radar - dt_radar % 1200000 AS dt_radar FROM points""",
+    "summary": _summary("points"),
+    "gappy_summary": _summary("gappy"),
     "holdings": f"""
         SELECT epoch_us(ts) // 1000 AS hora_ms, date_trunc('hour', ts) AS hour_ts, CAST(hour(ts) AS INT) AS hora,
                CAST(isodow(ts) - 1 AS INT) AS diaSemana, {_AERO} AS aero, substr({_AERO}, 3) AS short,
@@ -276,21 +296,24 @@ SQL = {
           'METAR ' || {_AERO} || ' ' || strftime(ts, '%d%H%M') || 'Z '
           || CASE WHEN event_id % 11 = 0 THEN 'VRB' ELSE lpad((event_id * 10 % 360)::VARCHAR, 3, '0') END
           || lpad((event_id % 40)::VARCHAR, 2, '0') || CASE WHEN event_id % 7 = 0 THEN 'G35' ELSE '' END || 'KT '
-          || CASE WHEN event_id % 5 = 0 THEN 'CAVOK' WHEN event_id % 5 = 1 THEN '9999' ELSE lpad((event_id % 90 * 100)::VARCHAR, 4, '0') END
+          || CASE WHEN event_id % 19 = 0 THEN '1 1/2SM' WHEN event_id % 19 = 1 THEN '10SM' WHEN event_id % 19 = 2 THEN '3/4SM'
+                  WHEN event_id % 5 = 0 THEN 'CAVOK' WHEN event_id % 5 = 1 THEN '9999' ELSE lpad((event_id % 90 * 100)::VARCHAR, 4, '0') END
           || ' ' || CASE WHEN event_id % 4 = 0 THEN '-RA ' WHEN event_id % 4 = 1 THEN 'TSRA BR ' ELSE '' END
           || CASE WHEN event_id % 3 = 0 THEN 'BKN020 SCT030CB ' WHEN event_id % 3 = 1 THEN 'FEW008 ' ELSE '' END
           || CASE WHEN user_id % 13 = 0 THEN 'M' ELSE '' END || lpad((user_id % 40)::VARCHAR, 2, '0') || '/'
           || CASE WHEN event_id % 17 = 0 THEN '' ELSE CASE WHEN event_id % 6 = 0 THEN 'M' ELSE '' END || lpad((event_id % 30)::VARCHAR, 2, '0') END
           || ' ' || CASE WHEN event_id % 9 = 0 THEN 'A' || (event_id % 100 + 2900) ELSE 'Q' || lpad((event_id % 40 + 990)::VARCHAR, 4, '0') END
+          || CASE event_id % 8 WHEN 3 THEN ' TEMPO 1000 TSRA OVC005' WHEN 5 THEN ' BECMG BKN010' WHEN 6 THEN ' RMK FZRA A2992' ELSE '' END
           || '=' END AS metar
         FROM events""",
     "forecasts": """
         SELECT event_id, hora, hour_ts, aero, replace(replace(metar, 'METAR', 'METAF'), ' ', '  ') AS metaf FROM reports""",
     "tidied": """
-        SELECT event_id, hour_ts, aero, metar AS t FROM reports""",
+        SELECT event_id, hour_ts, aero, regexp_replace(metar, ' (TEMPO|BECMG|RMK) .*', '=') AS t FROM reports""",
     "tidied_forecasts": """
         SELECT event_id, hour_ts, aero,
-               trim(regexp_replace(replace(metaf, 'METAF', 'METAR'), '\\s+', ' ', 'g')) AS t FROM forecasts""",
+               regexp_replace(trim(regexp_replace(replace(metaf, 'METAF', 'METAR'), '\\s+', ' ', 'g')), ' (TEMPO|BECMG|RMK) .*', '=') AS t
+        FROM forecasts""",
     "storms": """
         SELECT event_id, date_trunc('hour', ts) AS hour_ts, CAST((user_id * 37 + event_id) % 140 - 70 AS DOUBLE) AS lat,
                CAST(event_id * 53 % 340 - 170 AS DOUBLE) AS lon, value * 20 AS radius_km
@@ -325,8 +348,9 @@ SQL = {
 
 _NEEDS = {
     "flights": ["movements"],
-    "ordered": ["points"],
-    "summary": ["points", "ordered"],
+    "gappy": ["points"],
+    "summary": ["points"],
+    "gappy_summary": ["points", "gappy"],
     "forecasts": ["reports"],
     "tidied": ["reports"],
     "tidied_forecasts": ["reports", "forecasts"],

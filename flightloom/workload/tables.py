@@ -353,7 +353,7 @@ def sql_view(spark, d):
 
 @_add(
     "in_contract_order",
-    sql("SELECT linha, target, flightid FROM flights ORDER BY flightid LIMIT 100", "flights"),
+    sql("SELECT linha, target, flightid FROM flights", "flights"),
 )
 def in_contract_order(spark, d):
-    return clean.in_order(movements(spark, d), ["linha", "target", "flightid"]).orderBy("flightid").limit(100)
+    return clean.in_order(movements(spark, d), ["linha", "target", "flightid"])

@@ -25,21 +25,26 @@ def summary(spark, d):
     return tracks.track_summary(tracks.degrees_of(s.points(spark, d)))
 
 
+def gappy_summary(spark, d):
+    return tracks.track_summary(tracks.degrees_of(s.gappy_points(spark, d)))
+
+
 def movements(spark, d):
     return flight_ops.prepare_flights(s.movements(spark, d))
 
 
-@_add("track_summary", sql(f"SELECT {', '.join([*_EXACT, *(q(c, 5) for c in _SHOWN)])} FROM summary", "summary"))
+@_add("track_summary", sql(f"SELECT {', '.join([*_EXACT, *(q(c, 5) for c in _SHOWN)])} FROM gappy_summary", "gappy_summary"))
 def track_summary(spark, d):
-    out = summary(spark, d)
+    out = gappy_summary(spark, d)
     return out.withColumns({c: r(c, 5) for c in _SHOWN})
 
 
-HISTORY_SQL = """SELECT linha, count(flightid) AS n_flights, avg(duration) AS duration_mean, min(duration) AS duration_min,
+def history_sql(summary: str) -> str:
+    return f"""SELECT linha, count(flightid) AS n_flights, avg(duration) AS duration_mean, min(duration) AS duration_min,
     max(duration) AS duration_max, stddev_samp(duration) AS duration_std, avg(flightlevel_mean) AS flightlevel_mean,
     avg(flightlevel_max) AS flightlevel_max, avg(distancia) AS distancia, stddev_samp(flightlevel_std) AS flightlevel_std,
     avg(flightlevel_std) AS flightlevel_std1, avg(speed_std) AS speed_std, stddev_samp(speed_std) AS speed_std1
-    FROM summary JOIN flights USING (flightid) GROUP BY linha"""
+    FROM {summary} JOIN flights USING (flightid) GROUP BY linha"""
 
 
 _HISTORY = (
@@ -52,11 +57,11 @@ _HISTORY = (
     "route_history",
     sql(
         f"SELECT linha, n_flights, {', '.join(q(c, 4) for c in _HISTORY)} FROM history",
-        "flights", "summary", history=HISTORY_SQL,
+        "flights", "gappy_summary", history=history_sql("gappy_summary"),
     ),
 )
 def route_history(spark, d):
-    return rounded(tracks.route_history(tracks.with_route(summary(spark, d), movements(spark, d))), 4)
+    return rounded(tracks.route_history(tracks.with_route(gappy_summary(spark, d), movements(spark, d))), 4)
 
 
 @_add(

@@ -66,6 +66,12 @@ def test_opposite_points(spark):
     assert one(spark, km=km)["km"] == pytest.approx(20015.0868, abs=1e-3)
 
 
+@pytest.mark.parametrize("distance", [geo.great_circle_km, geo.great_circle_km_atan])
+def test_unknown_place_has_no_distance(spark, distance):
+    zero = F.lit(0.0)
+    assert one(spark, km=distance(zero, zero, zero, F.lit(None).cast("double")))["km"] is None
+
+
 def test_pixel_knots_and_beyond(spark):
     lat, lon = geo.pixel_to_degrees(F.lit(940.0), F.lit(740.0))
     lat2, lon2 = geo.pixel_to_degrees(F.lit(2092.0), F.lit(2192.0))
@@ -82,8 +88,11 @@ def test_swarm_heights(spark):
 LINES = [
     ("METAR SBGR 011700Z 09005KT 9999 -RA BKN020 SCT030CB 24/M02 Q1020=", (24, -2, 5, 90, 10000, 1020, "-RA", "BKN020, SCT030CB", True)),
     ("METAF SBRJ  011700Z VRB12G25KT CAVOK M01/M05 Q1009", (-1, -5, 12, None, 10000, 1009, None, None, True)),
-    ("METAR SBSP 011700Z 18010KT 4000 TSRA BR OVC008 18/17 A2992", (18, 17, 10, 180, 4000, 29.92, "TSRA, BR", "OVC008", True)),
-    ("METAR SBSP 011700Z 00000KT 10SM CLR 18/ Q1013", (18, None, 0, 0, 10, 1013, None, "CLR", True)),
+    ("METAR SBSP 011700Z 18010KT 4000 TSRA BR OVC008 18/17 A2992", (18, 17, 10, 180, 4000, 1013.2, "TSRA, BR", "OVC008", True)),
+    ("METAR SBSP 011700Z 00000KT 10SM CLR 18/ Q1013", (18, None, 0, 0, 16093.4, 1013, None, "CLR", True)),
+    ("METAR SBSP 011700Z 00000KT 1 1/2SM 18/17 Q1013 TEMPO 1000 TSRA OVC005=", (18, 17, 0, 0, 2414.0, 1013, None, None, True)),
+    ("METAR SBSP 011700Z 00000KT 3/4SM FEW030 20/10 Q1013 BECMG BKN010=", (20, 10, 0, 0, 1207.0, 1013, None, "FEW030", True)),
+    ("METAR SBSP 011700Z 00000KT 8000 20/10 Q1013 RMK A2992 FG", (20, 10, 0, 0, 8000, 1013, None, None, True)),
     ("garbage", (None,) * 8 + (False,)),
     (None, (None,) * 8 + (False,)),
 ]

@@ -29,6 +29,20 @@ def test_hot_keys(left):
     assert skew.hot_keys(left, ["k"], 10_000) is None
 
 
+def test_any_number_of_hot_keys(spark):
+    many = spark.range(9000).selectExpr("id % 3000 AS k", "id AS i")
+    assert skew.hot_keys(many, ["k"], 2).count() == 3000
+    got = positions.position_in_group(many, ["k"], ["i"], "p", 2)
+    assert got.where("p = i div 3000").count() == 9000
+    side = spark.range(3000).selectExpr("id AS k", "id * 2 AS w")
+    assert skew.skew_join(many, side, ["k"], rows_per_task=2).where("w = 2 * k").count() == 9000
+
+
+def test_join_without_limit_counts_nothing(left, right):
+    plan = skew.skew_join(left, right, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "_slice" not in plan
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
 def test_skew_join_equals_join(left, right, how):
     side = right.select("k").distinct() if how == "left_semi" else right

@@ -28,6 +28,17 @@ def test_semicolon_csv_and_several_files(spark, tmp_path):
     assert rows(got) == [("f", "p"), ("g", "q")]
 
 
+def test_csv_columns_go_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("hora,esperas,aero,more\n5,2.5,SBGR,x\n6,?,SBRJ,y\n")
+    got = readers.read_csv(spark, str(tmp_path / "a.csv"), "hora long, aero string, esperas double")
+    assert rows(got) == [(5, "SBGR", 2.5), (6, "SBRJ", None)]
+    with pytest.raises(ValueError):
+        readers.read_csv(spark, str(tmp_path / "a.csv"), "hora long, troca double")
+    (tmp_path / "b.csv").write_text("aero,hora,esperas,more\nSBSP,7,1.0,z\n")
+    with pytest.raises(Exception):
+        readers.read_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], "hora long, aero string, esperas double").collect()
+
+
 def test_json_by_name(spark, tmp_path):
     (tmp_path / "x.json").write_text(json.dumps([{"aero": "SBGR", "hora": 5}, {"hora": 6, "aero": "SBRJ", "more": 1}]))
     assert rows(readers.read_json(spark, str(tmp_path), "hora long, aero string")) == [(5, "SBGR"), (6, "SBRJ")]

@@ -241,3 +241,12 @@ def test_points_of_the_same_time_have_a_fixed_order(spark):
     one = tracks.track_summary(spark.createDataFrame(data, POINTS)).first()
     two = tracks.track_summary(spark.createDataFrame(data[::-1], POINTS).repartition(7)).first()
     assert one == two
+
+
+def test_near_ties_and_unknown_ends_of_a_track(spark):
+    data = [("a", 1.0, 0.0, 1.0, 1.0, 1000), ("a", 0.0, 0.6, 1.0, 1.0, 1000), ("a", None, 0.3, 1.0, 1.0, 500), ("a", 5.0, None, 1.0, 1.0, 2000)]
+    for order in (data, data[::-1]):
+        got = tracks.track_summary(spark.createDataFrame(order, POINTS)).first()
+        assert (got.lat_first, got.lat_last, got.lon_first, got.lon_last) == (0.0, 5.0, 0.3, 0.0)
+    gone = tracks.track_summary(spark.createDataFrame([("b", None, None, 1.0, 1.0, 1000)], POINTS)).first()
+    assert gone.lat_first is None and gone.distancia is None
