@@ -16,10 +16,15 @@ def write_parquet(df: DataFrame, path: str, partition_by: tuple[str, ...] = (),
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
-def write_tracks(points: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Tracks by day, so that later reads of a few days skip the other folders."""
-    day = F.to_date(F.timestamp_millis("dt_radar"))
-    write_parquet(points.withColumn("dia", day), path, ("dia",), mode)
+def write_tracks(points: DataFrame, path: str, mode: str = "errorifexists", slices: int = 16) -> None:
+    """Tracks by day, so that later reads of a few days skip the other folders.
+
+    Rows are brought together by day and hash slice first: a day gets at most ``slices`` files
+    instead of one from every task, and its flights stay together in them.
+    """
+    dated = points.withColumn("dia", F.to_date(F.timestamp_millis("dt_radar")))
+    slice_ = F.pmod(F.xxhash64("flightid"), F.lit(slices))
+    write_parquet(dated.repartition("dia", slice_), path, ("dia",), mode)
 
 
 def write_dictionary(dictionary: DataFrame, path: str, mode: str = "errorifexists") -> None:

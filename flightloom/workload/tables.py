@@ -146,10 +146,10 @@ def text_to_time(spark, d):
     )
 
 
-@_add("filter_sentinel", "SELECT count(*) AS rows, count(k) AS known FROM (SELECT nullif(o_orderstatus, 'F') AS k FROM orders) WHERE k IS DISTINCT FROM 'P'")
+@_add("filter_sentinel", "SELECT * FROM (SELECT o_orderkey, nullif(o_orderstatus, 'F') AS k FROM orders) WHERE k IS DISTINCT FROM 'P'")
 def filter_sentinel(spark, d):
-    rows = s.read(spark, d, "orders").select(F.nullif("o_orderstatus", F.lit("F")).alias("k"))
-    return clean.keep_except(rows, "k", "P").agg(F.count(F.lit(1)).alias("rows"), F.count("k").alias("known"))
+    rows = s.read(spark, d, "orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("F")).alias("k"))
+    return clean.keep_except(rows, "k", "P")
 
 
 @_add(
@@ -293,15 +293,24 @@ def distinct_values(spark, d):
 _MADE = ["flightid", "origem", "destino", "linha", "target", "diaSemana", "hora"]
 
 
+def _contract_row(name: str) -> str:
+    shown = name.replace("'", "''")
+    if name not in _MADE:
+        return f"SELECT '{shown}' AS \"column\", 'missing' AS problem, 0::BIGINT AS rows, 0::BIGINT AS nulls"
+    problem = "'extra'" if name not in FEATURES else "'type'" if name == "hora" else "'ok'"
+    return f"SELECT '{shown}', {problem}, count(*), count(*) - count({name}) FROM made"
+
+
 @_add(
     "contract_diff",
-    " UNION ALL ".join(
-        [f"SELECT '{c.replace(chr(39), chr(39) * 2)}' AS \"column\", 'missing' AS problem" for c in FEATURES if c not in _MADE]
-        + [f"SELECT '{c}', 'extra'" for c in _MADE if c not in FEATURES]
+    sql(
+        " UNION ALL ".join(_contract_row(c) for c in sorted({*FEATURES, *_MADE}, key=lambda c: c in _MADE)),
+        "flights", made="SELECT flightid, nullif(origem, 'SBAK') AS origem, destino, linha, target, diaSemana, hora::VARCHAR AS hora FROM flights",
     ),
 )
 def contract_diff(spark, d):
-    return validate.contract_differences(movements(spark, d).select(*_MADE), FEATURES)
+    made = movements(spark, d).select(*_MADE).withColumns({"hora": F.col("hora").cast("string"), "origem": F.nullif("origem", F.lit("SBAK"))})
+    return validate.contract_report(made, FEATURES, ["hora", "diaSemana"])
 
 
 @_add(
