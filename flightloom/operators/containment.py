@@ -130,6 +130,15 @@ def most_exposed(marked: DataFrame) -> DataFrame:
     return hits_per_flight(marked).orderBy(F.desc("inside"), F.desc("points"), "flightid").limit(1)
 
 
+def overlay_polygons(
+    points: DataFrame, vertices: DataFrame, flight, keys: Sequence[str] = ("poly",), size: float = 2.5
+) -> DataFrame:
+    """The polygons that hold points of one flight (given by its id), with the number of these points."""
+    own = points.where(F.col("flightid") == F.lit(flight))
+    found = containments(own, ring_edges(vertices, ["bucket", *keys]), keys, size)
+    return found.groupBy("bucket", *keys).agg(F.sum("copies").alias("points"))
+
+
 def overlay(points: DataFrame, vertices: DataFrame, flight, size: float = 2.5) -> DataFrame:
     """Points of one flight (given by its id) in time order, with inside flag and start/end marks."""
     own = cut_lineage(mark_inside(points.where(F.col("flightid") == F.lit(flight)), vertices, size=size))

@@ -106,3 +106,35 @@ def route_overlay(spark, d):
     points, vertices = s.geo_points(spark, d), s.geo_vertices(spark, d)
     best = containment.most_exposed(containment.mark_inside(points, vertices)).first()
     return containment.overlay(points, vertices, best["flightid"])
+
+
+@_add(
+    "route_hit_polygons",
+    sql(
+        """SELECT bucket, poly, CAST(sum(copies) AS BIGINT) AS points FROM contained
+        WHERE flightid IN (SELECT flightid FROM best) GROUP BY 1, 2""",
+        "marked", best=_BEST,
+    ),
+)
+def route_hit_polygons(spark, d):
+    points, vertices = s.geo_points(spark, d), s.geo_vertices(spark, d)
+    best = containment.most_exposed(containment.mark_inside(points, vertices)).first()
+    return containment.overlay_polygons(points, vertices, best["flightid"])
+
+
+_WINDOW = "dt_radar >= 1704844800000 AND dt_radar < 1704844800000 + 6 * 3600000"
+
+
+@_add(
+    "most_exposed_hour",
+    sql(
+        f"""SELECT flightid, dt_radar, lon, lat, inside, CAST(dt_radar = min(dt_radar) OVER () AS INT) AS is_start,
+        CAST(dt_radar = max(dt_radar) OVER () AS INT) AS is_end FROM marked WHERE {_WINDOW} AND flightid IN (SELECT flightid FROM best)""",
+        "marked", best=_BEST.replace("FROM marked", f"FROM marked WHERE {_WINDOW}"),
+    ),
+)
+def most_exposed_hour(spark, d):
+    """The flight with most points in storm polygons within six hours from 2024-01-10, and its points in them."""
+    points = s.geo_points(spark, d).withColumn("dt_radar", F.timestamp_millis("dt_radar"))
+    _, shown = storms.most_exposed_flight(points, s.geo_vertices(spark, d), "2024-01-10 00:00:00", 6)
+    return shown.withColumn("dt_radar", F.unix_millis("dt_radar")).drop("bucket")

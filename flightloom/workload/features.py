@@ -115,26 +115,48 @@ def scoring_features(spark, d):
     return _shown(features.scoring_table(s.scoring_set(spark, d), _tables(spark, d, flights), features.dictionaries(flights)))
 
 
-@_add(
-    "picture_storm_exposure",
-    sql(
-        """SELECT flightid, CAST(sum(hit) AS BIGINT) AS "sum(flight_through_area)" FROM (
-            SELECT p.flightid, p.dt_radar, max(CASE WHEN c.poly IS NULL THEN 0 ELSE 1 END) AS hit FROM points p LEFT JOIN cells c
-            ON date_trunc('hour', make_timestamp(p.dt_radar * 1000)) = c.hour_ts
-            AND 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(c.lat - p.lat) / 2), 2)
-                + cos(radians(p.lat)) * cos(radians(c.lat)) * pow(sin(radians(c.lon - p.lon) / 2), 2)))) <= c.radius_km
-            GROUP BY 1, 2) GROUP BY 1""",
-        "points", "pixel_vertices",
-        edges="""SELECT a.image, a.poly, a.x::DOUBLE AS x1, a.y::DOUBLE AS y1, b.x::DOUBLE AS x2, b.y::DOUBLE AS y2
+_PICTURES = dict(
+    edges="""SELECT a.image, a.poly, a.x::DOUBLE AS x1, a.y::DOUBLE AS y1, b.x::DOUBLE AS x2, b.y::DOUBLE AS y2
             FROM pixel_vertices a JOIN pixel_vertices b ON a.image = b.image AND a.poly = b.poly AND b.vertice = (a.vertice + 1) % 32""",
-        cells="""SELECT poly, TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(poly % 720 AS INT)) AS hour_ts, area / 40 AS radius_km,
+    cells="""SELECT poly, TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(poly % 720 AS INT)) AS hour_ts, area / 40 AS radius_km,
             8.0 + (cy + 740.0 - 740.0) * ((-51.848798 - 8.0) / (2192.0 - 740.0)) AS lat,
             -76.538633 + (cx + 940.0 - 940.0) * ((-28.966528 + 76.538633) / (2092.0 - 940.0)) AS lon
             FROM (SELECT poly, abs(sum(x1 * y2 - x2 * y1)) / 2 AS area, sum((x1 + x2) * (x1 * y2 - x2 * y1)) / (3 * sum(x1 * y2 - x2 * y1)) AS cx,
                   sum((y1 + y2) * (x1 * y2 - x2 * y1)) / (3 * sum(x1 * y2 - x2 * y1)) AS cy FROM edges GROUP BY image, poly)""",
+)
+_MEETS = """date_trunc('hour', make_timestamp(p.dt_radar * 1000)) = c.hour_ts
+            AND 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(c.lat - p.lat) / 2), 2)
+                + cos(radians(p.lat)) * cos(radians(c.lat)) * pow(sin(radians(c.lon - p.lon) / 2), 2)))) <= c.radius_km"""
+
+
+def _picture_cells(spark, d):
+    at = F.timestamp_millis(F.lit(s.START_MS) + F.col("poly") % 720 * 3600000)
+    return storms.storms_by_hour(s.pixel_vertices(spark, d), at, lambda area: area / 40)
+
+
+@_add(
+    "picture_storm_exposure",
+    sql(
+        f"""SELECT flightid, CAST(sum(hit) AS BIGINT) AS "sum(flight_through_area)" FROM (
+            SELECT p.flightid, p.dt_radar, max(CASE WHEN c.poly IS NULL THEN 0 ELSE 1 END) AS hit FROM points p LEFT JOIN cells c
+            ON {_MEETS} GROUP BY 1, 2) GROUP BY 1""",
+        "points", "pixel_vertices", **_PICTURES,
     ),
 )
 def picture_storm_exposure(spark, d):
-    at = F.timestamp_millis(F.lit(s.START_MS) + F.col("poly") % 720 * 3600000)
-    cells = storms.storms_by_hour(s.pixel_vertices(spark, d), at, lambda area: area / 40)
-    return storms.training_exposure(s.points(spark, d), cells)
+    return storms.training_exposure(s.points(spark, d), _picture_cells(spark, d))
+
+
+@_add(
+    "picture_scoring_exposure",
+    sql(
+        f"""SELECT flightid, coalesce(hits, 0) AS flight_through_area, strftime(first, '%Y-%m-%d %H') AS first_storm_hour
+        FROM (SELECT flightid, min(hour_ts) AS first FROM (SELECT flightid, date_trunc('hour', make_timestamp(dt_radar * 1000)) AS h FROM points)
+              LEFT JOIN (SELECT DISTINCT hour_ts FROM cells) ON h = hour_ts GROUP BY 1)
+        LEFT JOIN (SELECT flightid, count(*) AS hits FROM points p JOIN cells c ON {_MEETS} GROUP BY 1) USING (flightid)""",
+        "points", "pixel_vertices", **_PICTURES,
+    ),
+)
+def picture_scoring_exposure(spark, d):
+    out = storms.scoring_exposure(s.points(spark, d), _picture_cells(spark, d))
+    return out.withColumn("first_storm_hour", F.date_format("first_storm_hour", "yyyy-MM-dd HH"))

@@ -132,6 +132,37 @@ def weather_stats_both_ends(spark, d):
     return out.select("flightid", *[r(F.col(f"`{n}`"), 4).alias(n) for n in names])
 
 
+_BLOCKS = (("wo", "_x", "origem", "dep_hour"), ("wo", "_y", "destino", "arr_hour"), ("wf", "_fx", "origem", "dep_hour"), ("wf", "_fy", "destino", "arr_hour"))
+
+
+def _block_cells() -> str:
+    return ", ".join(q(f'{side[1:]}."{n}"', 4, f'"{n}{side}"') for _, side, _, _ in _BLOCKS for n in weather_names(""))
+
+
+def _block_joins() -> str:
+    return " ".join(f"LEFT JOIN {w} {side[1:]} ON {side[1:]}.aero = {place} AND {side[1:]}.hour_ts = {hour}" for w, side, place, hour in _BLOCKS)
+
+
+@_add(
+    "weather_four_blocks",
+    sql(
+        f"SELECT flightid, {_block_cells()} FROM flights {_block_joins()}",
+        "flights", "tidied", "tidied_forecasts", observed=parsed_sql("tidied"), forecast=parsed_sql("tidied_forecasts"),
+        wo=stats_sql("observed", ""), wf=stats_sql("forecast", ""),
+    ),
+)
+def weather_four_blocks(spark, d):
+    """Observed and forecast weather at both ends of each flight: four blocks of 24 statistics."""
+    hourly = {
+        "wo": weather.hourly_weather(weather.parse_reports(s.reports(spark, d), "metar")),
+        "wf": weather.hourly_weather(weather.parse_reports(s.forecasts(spark, d), "metaf")),
+    }
+    out = movements(spark, d)
+    for table, side, place, hour in _BLOCKS:
+        out = weather.attach_weather(out, hourly[table], place, hour, side)
+    return out.select("flightid", *[r(F.col(f"`{n}{side}`"), 4).alias(n + side) for _, side, _, _ in _BLOCKS for n in weather_names("")])
+
+
 _FILLED = ", ".join(f'coalesce("{c}", -99) AS "{c}"' for c in NUMERIC_FIELDS)
 
 
