@@ -103,6 +103,17 @@ def _checked(size: int, percent: int):
     return run
 
 
+def _listed(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [found.view(np.int64) for _, found in W.text_shingles(batch.column("content"), size)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc"), batch.column("label"), pa.array(lists, pa.list_(pa.int64()))], names=["doc", "label", "shingles"]
+            )
+
+    return run
+
+
 def _alike(percent: int):
     """Leaves out pairs whose signatures agree in so few slots that the sets can't be alike.
 
@@ -127,6 +138,15 @@ def _with(pairs: DataFrame, side: str, table: DataFrame, value: str) -> DataFram
     return pairs.join(table.select(F.col("doc").alias(side), F.col(value).alias(f"{value}_{side}")), side)
 
 
+def sharing(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """``docs`` (doc, n, label) with ``common``: how many shingles of each some document of another label has too."""
+    lists = docs.select("doc", "label").join(members, "doc").mapInArrow(_listed(size), "doc long, label long, shingles array<bigint>")
+    each = cut_lineage(lists).select("doc", "label", F.explode("shingles").alias("shingle"))
+    both = each.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    common = each.join(both.select("shingle"), "shingle").groupBy("doc").agg(F.count("*").alias("common"))
+    return docs.join(common, "doc")
+
+
 def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 3, percent: int = 85) -> DataFrame:
     """One row per document: key, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -137,8 +157,9 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
     1. Every text gets its SuperMinHash signature, cut into bands. 2. Equal sets become one class. 3. Classes
     that share a band are candidates. In the first rounds, each group of linked classes proposes its candidate with
     most bands in common, out of one hub per band, so that a band shared by very many copies takes one link each.
-    Then every pair of a band that is still in different groups is tested, so no link is lost to the hubs.
-    4. Links are confirmed on full sets, from the texts. 5. Linked classes are united.
+    Then, for every class in a band of several groups, its shingles are counted that a class of another group has
+    too: a class with too few of them can be linked with none of them, whichever it is. All pairs of a band that this leaves, in
+    different groups, are tested, so no link is lost to the hubs. 4. Links are confirmed on full sets, from the texts. 5. Linked classes are united.
 
     NULL or blank texts have no shingles and are linked with nothing. Rows without a key come out with
     NULL ``component_id`` and are kept. Rows that repeat a key must repeat its text; they come out once each.
@@ -155,11 +176,11 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
     # One row per class and band, for bands that classes share.
     heads = full.join(classes.select(F.col("class").alias("doc")), "doc", "left_semi").dropDuplicates(["doc"])
     rungs = heads.select("doc", "n", F.explode("bands").alias("band"))
-    shared = rungs.groupBy("band").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last")
-    rungs = cut_lineage(rungs.join(shared.select("band"), "band"))
-    members = cut_lineage(
-        keyed.join(rungs.select("doc").distinct(), "doc").dropDuplicates(["doc"])
-    )
+    shared = rungs.groupBy("band").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("size"))
+    shared = shared.where("first <> last")
+    rungs = cut_lineage(rungs.join(shared.select("band", "size"), "band"))
+    weights = cut_lineage(rungs.groupBy("doc").agg(F.sum("size").alias("weight")))  # the middle of a family of copies has most
+    members = cut_lineage(keyed.join(weights.select("doc"), "doc").dropDuplicates(["doc"]))
     near = f"100 * least(n, n_b) >= {percent} * greatest(n, n_b)"
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -170,7 +191,7 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
 
     def labelled(links: DataFrame | None) -> DataFrame:
         if links is None:
-            return rungs.withColumn("label", F.col("doc"))
+            return rungs.join(weights, "doc").withColumn("label", F.col("doc"))
         roots = components(links)
         return rungs.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select(
             "doc", "n", "band", F.coalesce("root", "doc").alias("label")
@@ -179,7 +200,8 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
     links = tested = None
     for turn in range(STAR_ROUNDS):
         now = labelled(links)
-        order = F.struct((F.xxhash64("doc", F.lit(turn)) if turn else F.col("doc")).alias("o"), "doc", "n", "label")
+        first = F.xxhash64("doc", F.lit(turn)) if turn else -F.col("weight")
+        order = F.struct(first.alias("o"), "doc", "n", "label")
         hub = now.groupBy("band").agg(F.min(order).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"))
         hub = hub.where("low <> high").select("band", F.col("hub.doc").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.label").alias("label_b"))
         wanted = now.join(hub, "band").where(f"label <> label_b AND {near}")
@@ -194,10 +216,14 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
     now = cut_lineage(labelled(links))
     sizes = now.groupBy("band", "label").agg(F.count("*").alias("c"))
     main = sizes.groupBy("band").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("k")).where("k > 1")
-    main = main.select("band", F.col("m.label").alias("main"))
-    mixed = now.join(main, "band")
-    others = mixed.where("label <> main").select("band", F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-    apart = mixed.join(others, "band").where(f"label <> label_b AND (label = main OR doc < b) AND {near}")
+    mixed = cut_lineage(now.join(main.select("band", F.col("m.label").alias("main")), "band"))
+    able = cut_lineage(sharing(mixed.select("doc", "n", "label").distinct(), members, size).where(f"100 * common >= {percent} * n"))
+    mixed = mixed.join(able.select("doc", "common"), "doc")
+    others = mixed.where("label <> main").select(
+        "band", F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), F.col("common").alias("common_b")
+    )
+    enough = f"(100 + {percent}) * least(common, common_b) >= {percent} * (n + n_b)"
+    apart = mixed.join(others, "band").where(f"label <> label_b AND (label = main OR doc < b) AND {enough}")
     apart = apart.select(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b")).distinct()
     seen = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     apart = apart.join(seen, ["a", "b"], "left_anti")
