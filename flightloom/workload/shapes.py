@@ -169,23 +169,46 @@ def _spread_vertices(spark, d):
     return s.pixel_vertices(spark, d, SPREAD, 10000)
 
 
+_COMPONENTS = dict(
+    px=f"SELECT image, poly, CAST(floor(x * {SPREAD}) AS INT) AS x, CAST(floor(y * {SPREAD}) AS INT) AS y FROM vertices",
+    near="""SELECT DISTINCT a.image, a.poly, b.poly AS other FROM px a JOIN px b ON a.image = b.image
+        AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 400""",
+    reach="""SELECT image, poly, other FROM near
+        UNION SELECT r.image, r.poly, n.other FROM reach r JOIN near n ON r.image = n.image AND r.other = n.poly""",
+)
+
+
 @_add(
     "proximity_components",
-    sql(
-        "SELECT image, poly, min(other) AS component FROM reach GROUP BY image, poly",
-        "vertices",
-        px=f"SELECT image, poly, CAST(floor(x * {SPREAD}) AS INT) AS x, CAST(floor(y * {SPREAD}) AS INT) AS y FROM vertices",
-        near="""SELECT DISTINCT a.image, a.poly, b.poly AS other FROM px a JOIN px b ON a.image = b.image
-            AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 400""",
-        reach="""SELECT image, poly, other FROM near
-            UNION SELECT r.image, r.poly, n.other FROM reach r JOIN near n ON r.image = n.image AND r.other = n.poly""",
-    ),
+    sql("SELECT image, poly, min(other) AS component FROM reach GROUP BY image, poly", "vertices", **_COMPONENTS),
 )
 def proximity_components(spark, d):
     return proximity.proximity_components(_spread_vertices(spark, d))
 
 
-@_add("proximity_hulls")
+# A pixel is a corner if the directions to all others leave a gap of more than half a turn; corners are ordered
+# by their direction from the leftmost one.
+_CORNERS = dict(
+    pixels="""SELECT DISTINCT image, component, x::BIGINT + 10000 AS x, y::BIGINT + 10000 AS y
+        FROM px JOIN (SELECT image, poly, min(other) AS component FROM reach GROUP BY image, poly) USING (image, poly)""",
+    ways="""SELECT a.*, atan2(b.y - a.y, b.x - a.x) AS way FROM pixels a JOIN pixels b
+        ON a.image = b.image AND a.component = b.component AND (a.x <> b.x OR a.y <> b.y)""",
+    gaps="""SELECT image, component, x, y, coalesce(lead(way) OVER w, first_value(way) OVER w + 2 * pi()) - way AS gap
+        FROM ways WINDOW w AS (PARTITION BY image, component, x, y ORDER BY way)""",
+    corners="""SELECT image, component, x, y FROM gaps GROUP BY ALL HAVING max(gap) > pi() + 1e-12
+        UNION SELECT image, component, min(x), min(y) FROM pixels GROUP BY image, component HAVING count(*) = 1""",
+    starts="SELECT image, component, min(x) AS x0, arg_min(y, (x, y)) AS y0 FROM corners GROUP BY image, component",
+)
+
+
+@_add(
+    "proximity_hulls",
+    sql(
+        """SELECT image, component, CAST(row_number() OVER (PARTITION BY image, component
+        ORDER BY x <> x0 OR y <> y0, atan2(y - y0, x - x0)) - 1 AS INT) AS vertice, x, y FROM corners JOIN starts USING (image, component)""",
+        "vertices", **_COMPONENTS, **_CORNERS,
+    ),
+)
 def proximity_hulls(spark, d):
     vertices = _spread_vertices(spark, d)
     return proximity.proximity_hulls(vertices, proximity.proximity_components(vertices))
