@@ -7,7 +7,7 @@ import importlib
 
 from ..session import tune
 
-MODULES = ("tracks", "calendars", "reports", "tables", "encoding", "statistics", "shapes", "exposures", "models", "features", "files")
+MODULES = ("tracks", "calendars", "reports", "tables", "encoding", "statistics", "shapes", "exposures", "models", "features", "files", "split")
 
 
 def _tuned(fn):
