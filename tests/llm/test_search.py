@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flightloom.llm import substrings, top_k
+from flightloom.llm import substrings, top_k, words
 
 
 def vectors():
@@ -95,6 +95,6 @@ def test_passages_without_rows(no_docs):
 def test_running_least(repeated):
     rng = np.random.default_rng(5)
     for n, run in ((7, 7), (50, 6), (46, 46), (200, 46)):
-        values = rng.integers(0, 9 if repeated else 2**60, n).astype(np.uint64)
+        values = words.mix(rng.integers(0, 9 if repeated else 2**60, n).astype(np.uint64))
         want = [i + int(np.argmin(values[i : i + run])) for i in range(n - run + 1)]
         assert substrings.running_least(values, run).tolist() == want
