@@ -10,21 +10,22 @@ import functools
 import heapq
 import json
 from collections.abc import Iterator
-from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..workload.registry import Registry
+from . import words as W
 
 REGISTRY = Registry()
 
 # Fixed value: the pattern that splits text before merges.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces of up to this many bytes are remembered, up to so many of them in each worker.
-REMEMBERED_BYTES, REMEMBERED = 48, 400_000
+REMEMBERED_BYTES, REMEMBERED = 48, 300_000
 
 
 def byte_letters() -> list[str]:
@@ -111,31 +112,35 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-def _encoded(path: str):
+def _encoded(path: str, back: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in batches:
+        for batch in W.portions(batches, "content"):
             ids = [bpe.encode(t or "") for t in batch.column("content").to_pylist()]
-            sizes = pa.array([len(x) // 4 for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), sizes, pa.array(ids, pa.binary())], names=["doc", "n_tokens", "ids"])
+            columns = [batch.column("doc"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+            if back:
+                columns.append(pa.array([bpe.decode(np.frombuffer(x, "<u4")) for x in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "n_tokens", "ids", "decoded"][: len(columns)])
 
     return run
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", back: bool = False) -> DataFrame:
     """Key, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit) of every whole text; NULL is empty.
 
-    One row per row, repeated keys and NULL keys too; an empty text has no ids. Other columns are not read.
+    One row per row, repeated keys and NULL keys too; an empty text has no ids. With ``back`` the ids are decoded again in
+    the same pass, as ``decoded``. Other columns are not read.
     """
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.selectExpr(f"`{key}` AS doc", f"`{text}` AS content")
-    return rows.mapInArrow(_encoded(path), f"doc {kind}, n_tokens long, ids binary").withColumnRenamed("doc", key)
+    schema = f"doc {kind}, n_tokens long, ids binary" + ", decoded string" * back
+    return rows.mapInArrow(_encoded(path, back), schema).withColumnRenamed("doc", key)
 
 
 def _decoded(path: str, ids: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in batches:
+        for batch in W.portions(batches, ids):
             texts = [bpe.decode(np.frombuffer(x or b"", "<u4")) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
@@ -148,18 +153,10 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     return encoded.mapInArrow(_decoded(path, ids), f"{schema}, decoded string")
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hashes = [pa.array([sha256(x).hexdigest() for x in batch.column(c).cast(pa.binary()).to_pylist()]) for c in ("ids", "decoded")]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("n_tokens"), *hashes], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-        )
-
-
 @REGISTRY.add("op8_bpe")
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    rows = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path), path)
-    return rows.mapInArrow(_digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, back=True)
+    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

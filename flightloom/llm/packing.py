@@ -21,13 +21,14 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from ..workload.registry import Registry
+from . import words as W
 
 REGISTRY = Registry()
 
 #: Tokens in a unit of the histogram: a sequence wastes less than this per piece.
 UNIT = 8
 #: Word ids that a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Pieces of one rank window.
 WINDOW = 20_000
 
@@ -69,7 +70,7 @@ def _cut(path: str, end_id: int, size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_ids(path)
-        for batch in batches:
+        for batch in W.portions(batches, "content"):
             at, start, length, crc, total, ids = [], [], [], [], [], []
             for row, text in enumerate(batch.column("content").to_pylist()):
                 tokens = encode(text or "") + last

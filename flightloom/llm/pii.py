@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from ..workload.registry import Registry
+from . import words as W
 
 REGISTRY = Registry()
 
@@ -147,7 +148,7 @@ _SPANS_ARROW = pa.list_(pa.struct([(n, pa.int32()) for n in ("kind", "start", "s
 
 def _examined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [f.name for f in _SPANS_ARROW.value_type]
-    for batch in batches:
+    for batch in W.portions(batches, "content"):
         found = [examine(t or "") for t in batch.column("content").to_pylist()]
         spans = pa.array([[dict(zip(names, s, strict=True)) for s in all_spans] for _, all_spans in found], _SPANS_ARROW)
         yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([len(b) for b, _ in found], pa.int32()), spans], names=["doc", "n_base", "spans"])
@@ -274,7 +275,7 @@ def redact(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     model = train(examined(docs, text, key), threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.portions(batches, text):
             at = batch.schema.get_field_index(text)
             clean = [t if t is None else masked(t, model) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, text, pa.array(clean, pa.string()))

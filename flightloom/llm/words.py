@@ -71,6 +71,18 @@ def slices(column: pa.Array, most: int = STEP) -> Iterator[tuple[int, int, np.nd
         first = last
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 * STEP) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes of text, for work that makes Python objects of them."""
+    for batch in batches:
+        texts = batch.column(column).cast(pa.large_binary())
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        first = 0
+        while first < len(batch):
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + most, "right")) - 1)
+            yield batch.slice(first, min(last, len(batch)) - first)
+            first = last
+
+
 def spans(buf: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words, in bytes, and for each text the number of words before it (one more entry than texts)."""
     word = np.zeros(len(buf) + 1, bool)
