@@ -21,7 +21,7 @@ from . import words as W
 
 REGISTRY = Registry()
 
-#: Bounds of the labelled sample that the driver fits the model on, in documents and in words.
+#: Bounds of the labelled sample that one task fits the model on, in documents and in words.
 MAX_DOCUMENTS, MAX_WORDS = 8_000, 2_000_000
 #: A word or beginning must be in so many sampled documents to become a feature.
 MIN_DOCUMENTS = 4
@@ -142,13 +142,22 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     made = cut_lineage(sample.mapInArrow(_features, "doc long, label int, n_words long, words binary, first binary"))
     running = F.expr("sum(n_words) OVER (ORDER BY xxhash64(doc, 11), doc, words)")
     sizes = made.select("doc", "n_words", "words", "first", "label", running.alias("so_far"))  # a bounded sample, so one task
-    got = sizes.where(F.col("so_far") <= MAX_WORDS).orderBy("so_far", "doc").select("label", "words", "first").toArrow()
-    return fit(
-        [
-            (np.frombuffer(w, W.U).reshape(-1, EACH), np.frombuffer(f, np.int64), y)
-            for y, w, f in zip(*(got.column(c).to_pylist() for c in ("label", "words", "first")), strict=True)
-        ]
-    )
+    bounded = sizes.where(F.col("so_far") <= MAX_WORDS).select("label", "words", "first", "so_far", "doc")
+    fitted = bounded.repartition(1).sortWithinPartitions("so_far", "doc").mapInArrow(_fitted, "keys binary, weights binary, bias double")
+    row = fitted.first()
+    return Model(np.frombuffer(row.keys, W.U), np.frombuffer(row.weights), row.bias) if row else fit([])
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of the bounded sample, fitted in one task; only keys and weights reach the driver."""
+    docs = []
+    for batch in batches:
+        for y, w, f in zip(*(batch.column(c).to_pylist() for c in ("label", "words", "first")), strict=True):
+            docs.append((np.frombuffer(w, W.U).reshape(-1, EACH), np.frombuffer(f, np.int64), y))
+    if docs:
+        model = fit(docs)
+        columns = [pa.array([model.keys.tobytes()]), pa.array([model.weights.tobytes()]), pa.array([model.bias])]
+        yield pa.RecordBatch.from_arrays(columns, names=["keys", "weights", "bias"])
 
 
 def _scored(model: Model, least: float):
