@@ -65,26 +65,19 @@ def band_keys(signature: np.ndarray, in_band: int = IN_BAND) -> np.ndarray:
 def _sketches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, ids, bands, sketch = [], [], [], []
+            n, ids, bands = [], [], []
             for _, found in W.text_shingles(batch.column("content"), size):
                 n.append(len(found))
                 ids.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                if len(found):
-                    signature = super_min_hash(found)
-                    bands.append(band_keys(signature))
-                    sketch.append(W.mix(signature.view(W.U)).astype(np.uint8).tobytes())
-                else:
-                    bands.append(None)
-                    sketch.append(None)
+                bands.append(band_keys(super_min_hash(found)) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc"),
                     pa.array(n, pa.int64()),
                     pa.array(ids, pa.binary()),
                     pa.array(bands, pa.list_(pa.int64())),
-                    pa.array(sketch, pa.binary()),
                 ],
-                names=["doc", "n", "set_id", "bands", "sketch"],
+                names=["doc", "n", "set_id", "bands"],
             )
 
     return run
@@ -114,37 +107,22 @@ def _listed(size: int):
     return run
 
 
-def _alike(percent: int):
-    """Leaves out pairs whose signatures agree in so few slots that the sets can't be alike.
-
-    The slots of a pair at the threshold agree with that probability each; 5 standard deviations below the
-    mean are a chance of less than 1e-6, and only for pairs just at the threshold.
-    """
-    p = percent / 100
-    least = int(np.floor(SLOTS * p - 5 * np.sqrt(SLOTS * p * (1 - p))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            sides = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SLOTS) for c in ("sketch_a", "sketch_b")]
-            same = (sides[0] == sides[1]).sum(axis=1) >= least
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(same))
-
-    return run
-
-
 def _with(pairs: DataFrame, side: str, table: DataFrame, value: str) -> DataFrame:
     return pairs.join(table.select(F.col("doc").alias(side), F.col(value).alias(f"{value}_{side}")), side)
 
 
-def sharing(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """``docs`` (doc, n, label) with ``common``: how many shingles of each some document of another label has too."""
+def rarest(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc, n, label, shingle, at): the shingles of each of ``docs`` that are rarest among them, with their rank from 0.
+
+    Alike sets share at least ``percent`` of either, so the rarest shingle that they share has at most the rest before it in
+    each: two sets that have none of these in common can't be alike. Shingles of one document only are left out.
+    """
     lists = docs.select("doc", "label").join(members, "doc").mapInArrow(_listed(size), "doc long, label long, shingles array<bigint>")
-    each = cut_lineage(lists).select("doc", "label", F.explode("shingles").alias("shingle"))
-    both = each.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    common = each.join(both.select("shingle"), "shingle").groupBy("doc").agg(F.count("*").alias("common"))
-    return docs.join(common, "doc")
+    each = cut_lineage(lists).select("doc", F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("often"))
+    placed = each.join(often, "shingle").withColumn("at", F.expr("row_number() OVER (PARTITION BY doc ORDER BY often, shingle) - 1"))
+    few = placed.where("often > 1").join(docs, "doc").where(f"100 * at <= (100 - {percent}) * n")
+    return cut_lineage(few.select("doc", "n", "label", "shingle", "at"))
 
 
 def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 3, percent: int = 85) -> DataFrame:
@@ -157,9 +135,9 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
     1. Every text gets its SuperMinHash signature, cut into bands. 2. Equal sets become one class. 3. Classes
     that share a band are candidates. In the first rounds, each group of linked classes proposes its candidate with
     most bands in common, out of one hub per band, so that a band shared by very many copies takes one link each.
-    Then, for every class in a band of several groups, its shingles are counted that a class of another group has
-    too: a class with too few of them can be linked with none of them, whichever it is. All pairs of a band that this leaves, in
-    different groups, are tested, so no link is lost to the hubs. 4. Links are confirmed on full sets, from the texts. 5. Linked classes are united.
+    Then all pairs of different groups that share a band somewhere are tested by their rarest shingles: alike
+    sets must share one that is rare in both, which leaves few pairs and loses none, so no link is lost to the hubs.
+    4. Links are confirmed on full sets, from the texts. 5. Linked classes are united.
 
     NULL or blank texts have no shingles and are linked with nothing. Rows without a key come out with
     NULL ``component_id`` and are kept. Rows that repeat a key must repeat its text; they come out once each.
@@ -168,7 +146,7 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
     rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("content"))
     keyed = rows.where("doc IS NOT NULL")
     sketches = cut_lineage(
-        rows.mapInArrow(_sketches(size), "doc long, n long, set_id binary, bands array<bigint>, sketch binary")
+        rows.mapInArrow(_sketches(size), "doc long, n long, set_id binary, bands array<bigint>")
     )
     full = sketches.where("doc IS NOT NULL AND n > 0")
     classes = cut_lineage(full.groupBy("set_id").agg(F.min("doc").alias("class"), F.min("n").alias("n")))
@@ -212,24 +190,17 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
         links = found if links is None else links.union(found)
         tested = pairs if tested is None else tested.union(pairs)
 
-    # What is still apart in a band: all others against all of it, the largest group's own pairs left out.
+    # What is still apart in a band: pairs of different groups that share a shingle which is rare enough in both.
     now = cut_lineage(labelled(links))
-    sizes = now.groupBy("band", "label").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("band").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("k")).where("k > 1")
-    mixed = cut_lineage(now.join(main.select("band", F.col("m.label").alias("main")), "band"))
-    able = cut_lineage(sharing(mixed.select("doc", "n", "label").distinct(), members, size).where(f"100 * common >= {percent} * n"))
-    mixed = mixed.join(able.select("doc", "common"), "doc")
-    others = mixed.where("label <> main").select(
-        "band", F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), F.col("common").alias("common_b")
-    )
-    enough = f"(100 + {percent}) * least(common, common_b) >= {percent} * (n + n_b)"
-    apart = mixed.join(others, "band").where(f"label <> label_b AND (label = main OR doc < b) AND {enough}")
-    apart = apart.select(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b")).distinct()
+    mixed = now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
+    mixed = cut_lineage(now.join(mixed, "band").select("doc", "n", "label").distinct())
+    left = rarest(mixed, members, size, percent)
+    right = left.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("doc", "n", "label", "at")))
+    enough = " AND ".join(f"{100 + percent} * (n{s} - at{s}) >= {percent} * (n + n_b)" for s in ("", "_b"))
+    apart = left.join(right, "shingle").where(f"doc < doc_b AND label <> label_b AND {near} AND {enough}")
+    apart = apart.select(F.col("doc").alias("a"), F.col("doc_b").alias("b")).distinct()
     seen = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    apart = apart.join(seen, ["a", "b"], "left_anti")
-    sketched = heads.select("doc", "sketch")
-    likely = _with(_with(apart, "a", sketched, "sketch"), "b", sketched, "sketch").mapInArrow(_alike(percent), "a long, b long")
-    links = links.union(confirmed(cut_lineage(likely)))
+    links = links.union(confirmed(cut_lineage(apart.join(seen, ["a", "b"], "left_anti"))))
 
     roots = components(links).withColumnRenamed("node", "class")
     groups = classes.select("set_id", "class").join(roots, "class", "left").select("set_id", F.coalesce("root", "class").alias("root"))
@@ -248,6 +219,22 @@ def drop_near(docs: DataFrame, text: str = "text", key: str = "doc_id", size: in
     return docs.join(gone, F.col(key) == F.col("__gone"), "left_anti")
 
 
-@REGISTRY.add("op9_near_dedup")
+@REGISTRY.add(
+    "op9_near_dedup",
+    """
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+    k AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, least(len(ws), 1)) + 1)) AS i FROM w),
+    s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS shingle FROM k),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 85 * (x.n + y.n - m)),
+    e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+    r AS (SELECT doc_id AS d, doc_id AS o FROM documents UNION SELECT r.d, e.b FROM r JOIN e ON r.o = e.a),
+    c AS (SELECT d AS doc_id, min(o) AS component_id FROM r GROUP BY 1)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+    """,
+)
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
