@@ -27,8 +27,8 @@ REGISTRY = Registry()
 
 #: Tokens in a unit of the histogram: a sequence wastes less than this per piece.
 UNIT = 8
-#: Word ids that a worker remembers.
-REMEMBERED = 300_000
+#: Words whose ids a worker remembers, in each of two generations.
+REMEMBERED = 500_000
 #: Pieces of one rank window.
 WINDOW = 20_000
 
@@ -42,21 +42,23 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the words remembered before ``known`` was begun
 
     def __call__(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
-        known = self.known
-        new = list({w for w in words if w not in known})
-        fresh = {}
-        if new:
+        known, older = self.known, self.older
+        fresh = {w: older.get(w) for w in words if w not in known}
+        if fresh:
+            new = [w for w, ids in fresh.items() if ids is None]
             found = self.tokenizer.encode_batch(new, add_special_tokens=False)
-            fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, found, strict=True)}
+            fresh.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found, strict=True))
+            packed = b"".join([known[w] if w in known else fresh[w] for w in words])
             if len(known) + len(fresh) > REMEMBERED:
-                fresh |= {w: known[w] for w in set(words) if w in known}
-                known = self.known = {"": b""}
-            known.update((w, ids) for w, ids in fresh.items() if len(w) <= 40)
-        return b"".join([known[w] if w in known else fresh[w] for w in words])
+                self.older, self.known = known, {}
+            self.known.update((w, ids) for w, ids in fresh.items() if len(w) <= 40)
+            return packed
+        return b"".join([known[w] for w in words])
 
 
 @functools.lru_cache(maxsize=2)
