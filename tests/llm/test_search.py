@@ -98,3 +98,23 @@ def test_running_least(repeated):
         values = words.mix(rng.integers(0, 9 if repeated else 2**60, n).astype(np.uint64))
         want = [i + int(np.argmin(values[i : i + run])) for i in range(n - run + 1)]
         assert substrings.running_least(values, run).tolist() == want
+
+
+def alike(a, b):
+    left, right = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+    return len(left & right) >= 0.8 * len(left | right)
+
+
+def test_passages_with_few_common_signatures(spark):
+    """All share 37 words; pairs share 13 more with one word changed: the whole passage of 50 words is barely alike."""
+    rng = random.Random(18)
+    part = [f"c{i}" for i in range(37)]
+    texts = []
+    for i in range(400):
+        own = [f"p{i // 2}_{j}" for j in range(13)]
+        own[6] += "x" * (i % 2)
+        texts.append(" ".join([f"r{rng.random()}" for _ in range(20)] + part + own + [f"s{rng.random()}" for _ in range(20)]))
+    assert alike(texts[0].split()[20:70], texts[1].split()[20:70])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.other_id) for r in substrings.repeated_passages(df).collect()}
+    assert got == {(i, i ^ 1) for i in range(400)}
