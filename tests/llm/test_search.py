@@ -118,3 +118,16 @@ def test_passages_with_few_common_signatures(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {(r.doc_id, r.other_id) for r in substrings.repeated_passages(df).collect()}
     assert got == {(i, i ^ 1) for i in range(400)}
+
+
+def test_passages_partly_inside_another(spark):
+    """Many share 60 words; pairs share the last 44 of them and 6 more, which is too little of it to be alike to the others' words."""
+    rng = random.Random(28)
+    part = [f"c{i}" for i in range(60)]
+    texts = []
+    for i in range(120):
+        own = [f"p{i // 2}_{j}" for j in range(6)]
+        texts.append(" ".join([f"r{rng.random()}" for _ in range(20)] + part + own + [f"s{rng.random()}" for _ in range(20)]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.other_id) for r in substrings.repeated_passages(df).collect() if r.start <= 36 and r.stop >= 86}
+    assert got == {(i, i ^ 1) for i in range(120)}
