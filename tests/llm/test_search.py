@@ -131,3 +131,15 @@ def test_passages_partly_inside_another(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {(r.doc_id, r.other_id) for r in substrings.repeated_passages(df).collect() if r.start <= 36 and r.stop >= 86}
     assert got == {(i, i ^ 1) for i in range(120)}
+
+
+def test_passages_at_all_places(spark):
+    """A text that holds a passage several times has a row for each place, also where the first one is a part only."""
+    rng = random.Random(38)
+    noise = lambda n: [f"r{rng.random()}" for _ in range(n)]
+    licence = [f"c{i}" for i in range(70)]
+    texts = [noise(10) + licence + noise(30) + licence + noise(20) + licence, noise(15) + licence + noise(5), noise(5) + licence[12:58] + noise(40) + licence + noise(9)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = [(r.doc_id, r.start, r.stop) for r in substrings.repeated_passages(df).collect()]
+    for doc, start, stop in ((0, 10, 80), (0, 110, 180), (0, 200, 270), (1, 15, 85), (2, 91, 161)):
+        assert any(d == doc and start - 5 <= x <= start and stop <= y <= stop + 5 for d, x, y in got)
