@@ -23,6 +23,8 @@ REGISTRY = Registry()
 
 #: Bounds of the labelled sample that one task fits the model on, in documents and in words.
 MAX_DOCUMENTS, MAX_WORDS = 8_000, 2_000_000
+#: Documents of more than this part of the words take only what shorter ones leave of the bound.
+SHARE = 100
 #: A word or beginning must be in so many sampled documents to become a feature.
 MIN_DOCUMENTS = 4
 #: Longer words also count by their first bytes, of these numbers.
@@ -132,6 +134,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
     """The model from a bounded sample of labelled documents, in the order of a hash of the key.
 
+    A document that does not fit into the bound of words is left out, and the ones after it are still looked at. Those of more than
+    a ``SHARE``-th of the bound come after all others, so that no single row uses up the sample.
     Rows without a key or a label are left out; a key with several labels takes the largest.
     """
     order = F.xxhash64("doc", F.lit(11))
@@ -139,15 +143,36 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     known = known.groupBy("doc").agg(F.max("label").alias("label")).orderBy(order, "doc").limit(MAX_DOCUMENTS)
     rows = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("content"))
     sample = rows.join(F.broadcast(known), "doc")  # at most MAX_DOCUMENTS rows of two numbers
-    made = cut_lineage(sample.mapInArrow(_features, "doc long, label int, n_words long, words binary, first binary"))
-    running = F.expr("sum(n_words) OVER (ORDER BY xxhash64(doc, 11), doc, words)")
-    sizes = made.select("doc", "n_words", "words", "first", "label", running.alias("so_far"))  # a bounded sample, so one task
-    bounded = sizes.where(F.col("so_far") <= MAX_WORDS).select("label", "words", "first", "so_far", "doc")
-    fitted = bounded.repartition(1).sortWithinPartitions("so_far", "doc").mapInArrow(_fitted, "keys binary, weights binary, bias double")
+    made = sample.mapInArrow(_features, "doc long, label int, n_words long, words binary, first binary")
+    made = cut_lineage(made.withColumn("row", F.monotonically_increasing_id()))  # written, so a row keeps its number
+    sizes = made.select("row", "doc", "n_words", order.alias("o"), F.xxhash64("words").alias("w")).repartition(1)
+    chosen = sizes.sortWithinPartitions("o", "doc", "w", "row").mapInArrow(_chosen(MAX_WORDS), "row long, place long")
+    bounded = made.join(chosen, "row").select("label", "words", "first", "place")
+    fitted = bounded.repartition(1).sortWithinPartitions("place").mapInArrow(_fitted, "keys binary, weights binary, bias double")
     row = fitted.first()
     return Model(np.frombuffer(row.keys, W.U), np.frombuffer(row.weights), row.bias) if row else fit([])
 
 
+def _chosen(most: int):
+    """Numbers of the rows that fit into ``most`` words, and their places in the order; only numbers come to this one task."""
+
+    def do(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = [(b.column("row").to_numpy(), b.column("n_words").to_numpy()) for b in batches]
+        if not table:
+            return
+        rows, sizes = (np.concatenate(c) for c in zip(*table, strict=True))
+        is_long = sizes * SHARE > most
+        kept, room = [], most
+        for place in np.concatenate([np.flatnonzero(~is_long), np.flatnonzero(is_long)]):
+            if sizes[place] <= room:
+                room -= int(sizes[place])
+                kept.append(place)
+        kept = np.array(kept, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[kept]), pa.array(kept)], names=["row", "place"])
+
+    return do
+
+
 def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The model of the bounded sample, fitted in one task; only keys and weights reach the driver."""
     docs = []

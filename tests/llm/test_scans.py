@@ -157,3 +157,15 @@ def test_digest_of_base(spark, tmp_path):
     assert (got.n_email, got.n_ip, got.n_card, got.n_phone) == (1, 1, 0, 0)
     assert got.base_sha256 == sha256(b"email:5:11,ip:16:23").hexdigest()
     assert rows(secrets.op2_secrets(spark, str(tmp_path)).select("n_assign", "spans")) == [(0, "")]
+
+
+def test_one_long_document_does_not_use_up_the_sample(spark, monkeypatch):
+    data = toxic_corpus()
+    monkeypatch.setattr(toxicity, "MAX_WORDS", sum(len(t.split()) for _, t, _ in data) + 5000)
+    first = spark.range(10_000, 20_000).orderBy(F.xxhash64("id", F.lit(11))).first().id
+    for n in (100_000, 4_000):  # one that doesn't fit, and one that nearly does
+        docs = spark.createDataFrame([(i, t) for i, t, _ in data] + [(first, "word " * n)], "doc_id long, text string")
+        labels = spark.createDataFrame([(i, y) for i, _, y in data] + [(first, 0)], "doc_id long, toxic int")
+        model = toxicity.train(docs, labels)
+        got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+        assert len(model.keys) and np.mean([(got[i] >= 0.3) == bool(y) for i, _, y in data]) > 0.95
