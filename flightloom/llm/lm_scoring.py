@@ -4,7 +4,7 @@ A target model is counted on documents of the wanted kind, a background model on
 one vocabulary, one smoothing and one set of events, so that their per-token losses can be subtracted: a low
 score marks a document that the target model expects better than the background model does.
 
-The table of bigram counts grows with the corpus and is joined, never broadcast: documents are dealt into chunks of about
+The tables of bigram and word counts grow with the corpus and are joined, never broadcast; all words count: documents are dealt into chunks of about
 ``CHUNK`` tokens, each chunk asks for the counts of its distinct bigrams, and is scored with the answers.
 """
 
@@ -23,8 +23,8 @@ from . import words as W
 
 REGISTRY = Registry()
 
-#: Words of the shared vocabulary: the most frequent ones of all documents. All others are one more, unknown word.
-VOCABULARY = 4096
+#: Ids of the unknown word, the begin and the end; all other ids are hashes of words.
+UNKNOWN, BEGIN, END = (int(x) for x in W.seeds(3, 900).view(np.int64))
 #: Tokens of a chunk.
 CHUNK = 2_000_000
 #: Weight of the bigram's own frequency, and what is added to each word's count.
@@ -52,71 +52,66 @@ def vocabulary(rows: DataFrame, size: int) -> np.ndarray:
     return np.sort(top.to_numpy(np.int64).view(W.U))
 
 
-def _numbered(words: np.ndarray):
+def _numbered(words: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = []
             for n, hashes, before in _hashed(batch.column("content")):
-                if len(words):
-                    at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-                    known = np.where(words[at] == hashes, at, len(words)).astype("<u2")
-                else:
-                    known = np.zeros(len(hashes), "<u2")
+                known = hashes.view(np.int64) if words is None else np.where(np.isin(hashes, words), hashes.view(np.int64), UNKNOWN)
                 ids += [known[before[d] : before[d + 1]].tobytes() for d in range(n)]
-            sizes = pa.array([len(x) // 2 for x in ids], pa.int64())
+            sizes = pa.array([len(x) // 8 for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc"), sizes, pa.array(ids, pa.binary())], names=["doc", "n_tokens", "ids"])
 
     return run
 
 
-def events(ids: pa.ChunkedArray | pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bigram codes of all texts, each with a begin before its words and an end after them, and how many each text has."""
-    begin, end = width - 2, width - 1
-    rows = [np.frombuffer(x, "<u2").astype(np.int64) for x in ids.to_pylist()]
+def events(ids: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both words of the bigrams of all texts, each with a begin before its words and an end after them, and how many each text has."""
+    rows = [np.frombuffer(x, np.int64) for x in ids.to_pylist()]
     sizes = np.array([len(r) + 1 for r in rows], np.int64)
-    parts = [x for r in rows for x in ([begin], r, [end])]
-    line = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    codes = line[:-1] * width + line[1:] if len(line) else line
-    return codes[line[:-1] != end] if len(line) else codes, sizes
+    line = np.concatenate([x for r in rows for x in ([BEGIN], r, [END])]).astype(np.int64) if rows else np.zeros(0, np.int64)
+    inside = line[:-1] != END
+    return line[:-1][inside], line[1:][inside], sizes
 
 
-def _asked(width: int):
-    def run(table: pa.Table) -> pa.Table:
-        codes, n = np.unique(events(table.column("ids"), width)[0], return_counts=True)
-        chunk = pa.array(np.full(len(codes), table.column("chunk")[0].as_py(), np.int64))
-        return pa.table({"chunk": chunk, "code": pa.array(codes), "n": pa.array(n.astype(np.int64))})
+def pair_codes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return W.mix(W.mix(first.view(W.U)) + second.view(W.U))
 
-    return run
 
+def _distinct(ids: pa.ChunkedArray | pa.Array) -> list[pa.Array]:
+    first, second, _ = events(ids)
+    _, at, n = np.unique(pair_codes(first, second), return_index=True, return_counts=True)
+    return [pa.array(first[at]), pa.array(second[at]), pa.array(n.astype(np.int64))]
 
-def _target(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes, n = np.unique(events(batch.column("ids"), width)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64))], names=["code", "n"])
 
-    return run
+def _asked(table: pa.Table) -> pa.Table:
+    first, second, n = _distinct(table.column("ids"))
+    chunk = pa.array(np.full(len(n), table.column("chunk")[0].as_py(), np.int64))
+    return pa.table({"chunk": chunk, "first": first, "second": second, "n": n})
+
+
+def _target(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays(_distinct(batch.column("ids")), names=["first", "second", "n"])
 
 
-def losses(codes: np.ndarray, pair: np.ndarray, words: np.ndarray, width: int) -> np.ndarray:
-    """Loss of each bigram code, from its own count and the counts of all words (as first ones of bigrams, and as second ones)."""
-    first, second = codes // width, codes % width
-    base = (words[1][second] + ADDED) / (words[1].sum() + ADDED * (width - 1))  # every word but the begin
-    own = np.where(words[0][first] > 0, pair / np.maximum(words[0][first], 1), base)
+def losses(pair: np.ndarray, first: np.ndarray, second: np.ndarray, total: int, kinds: int) -> np.ndarray:
+    """Losses of bigrams, from their own counts and those of their words (as first ones of bigrams, and as second ones)."""
+    base = (second + ADDED) / (total + ADDED * kinds)  # every word but the begin
+    own = np.where(first > 0, pair / np.maximum(first, 1), base)
     return -np.log(BIGRAM_WEIGHT * own + (1 - BIGRAM_WEIGHT) * base)
 
 
-def _scored(width: int, background: np.ndarray, target: np.ndarray):
+def _scored(background: int, target: int, kinds: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        codes, sizes = events(docs.column("ids"), width)
-        known = answers.column("code").to_numpy()
+        first, second, sizes = events(docs.column("ids"))
+        known = pair_codes(*(np.ascontiguousarray(answers.column(c).to_numpy()) for c in ("first", "second")))
         order = np.argsort(known)
-        known = known[order]
-        at = np.searchsorted(known, codes)
+        at = order[np.searchsorted(known[order], pair_codes(first, second))]
         out = {"doc": docs.column("doc"), "n_tokens": docs.column("n_tokens")}
         bounds = np.concatenate([[0], np.cumsum(sizes)])
-        for name, column, words in (("target_loss", "t", target), ("background_loss", "n", background)):
-            each = losses(known, answers.column(column).to_numpy()[order].astype(float), words, width)[at]
+        for name, c, total in (("target_loss", "t", target), ("background_loss", "n", background)):
+            each = losses(*(answers.column(x).to_numpy().astype(float) for x in (c, f"{c}_first", f"{c}_second")), total, kinds)[at]
             out[name] = pa.array(np.add.reduceat(each, bounds[:-1]) / sizes)
         return pa.table(out)
 
@@ -124,39 +119,36 @@ def _scored(width: int, background: np.ndarray, target: np.ndarray):
 
 
 def cross_entropy_difference(
-    docs: DataFrame, target: DataFrame, text: str = "text", key: str = "doc_id", size: int = VOCABULARY, chunk: int = CHUNK
+    docs: DataFrame, target: DataFrame, text: str = "text", key: str = "doc_id", size: int | None = None, chunk: int = CHUNK
 ) -> DataFrame:
     """One row per document: key, ``n_tokens``, ``target_loss``, ``background_loss`` and ``score``, their difference, per token.
 
     ``target`` holds the keys of the target documents; a key counts once however often it is there. Words end at white space, A-Z
     is lower-cased. P(b | a) = w * c(ab) / c(a) + (1 - w) * (c(b) + d) / (N + d * words), over the words of a whole text with a
-    begin and an end; an empty or NULL text is the one event begin-end. With no target documents the target model is uniform.
+    begin and an end; all words count, or with ``size`` the most frequent ones and the others as one. An empty or NULL text is the one event begin-end. With no target documents the target model is uniform.
     Rows that repeat a key and rows with a NULL key come out once each; no rows give no rows; other columns are not read.
     """
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("content"))
-    words = vocabulary(rows, size)
-    width = len(words) + 3  # known words, the unknown one, begin and end
+    words = None if size is None else vocabulary(rows, size)
     tokens = cut_lineage(rows.mapInArrow(_numbered(words), f"doc {kind}, n_tokens long, ids binary"))
     total = tokens.agg(F.sum(F.col("n_tokens") + 1)).first()[0] or 0
     tokens = tokens.withColumn("chunk", F.pmod(F.xxhash64("doc", "ids"), F.lit(max(1, -(-total // chunk)))))
 
-    asked = cut_lineage(tokens.groupBy("chunk").applyInArrow(_asked(width), "chunk long, code long, n long"))
+    pair = ["first", "second"]
+    asked = cut_lineage(tokens.groupBy("chunk").applyInArrow(_asked, "chunk long, first long, second long, n long"))
     wanted = tokens.join(target.select(F.col(key).alias("doc")).distinct(), "doc", "left_semi")
-    wanted = wanted.select("ids").mapInArrow(_target(width), "code long, n long").groupBy("code").agg(F.sum("n").alias("t"))
-    counts = asked.groupBy("code").agg(F.sum("n").alias("n"))
-    model = cut_lineage(counts.join(wanted, "code", "left").select("code", "n", F.coalesce("t", F.lit(0).cast("long")).alias("t")))
-
-    sides = []
-    for expression in (f"code div {width}", f"code % {width}"):  # at most ``width`` rows each
-        sides.append(model.groupBy(F.expr(expression).alias("w")).agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toPandas())
-    known = {c: np.zeros((2, width)) for c in ("n", "t")}
-    for i, side in enumerate(sides):
-        for c in known:
-            known[c][i, side["w"].to_numpy(np.int64)] = side[c].to_numpy(float)
-    answers = asked.select("chunk", "code").join(model, "code")
+    wanted = wanted.select("ids").mapInArrow(_target, "first long, second long, n long").groupBy(*pair).agg(F.sum("n").alias("t"))
+    counts = asked.groupBy(*pair).agg(F.sum("n").alias("n"))
+    model = cut_lineage(counts.join(wanted, pair, "left").select(*pair, "n", F.coalesce("t", F.lit(0).cast("long")).alias("t")))
+    sides = {c: cut_lineage(model.groupBy(c).agg(F.sum("n").alias(f"n_{c}"), F.sum("t").alias(f"t_{c}"))) for c in pair}
+    sums = sides["second"].agg(F.sum("n_second").alias("n"), F.sum("t_second").alias("t"), F.count("*").alias("words")).first()
+    kinds = (sums.words - 1 if words is None else len(words)) + 2  # and the unknown word and the end
+    for c in pair:
+        model = model.join(sides[c], c)
+    answers = asked.select("chunk", *pair).join(model, pair)
     scored = tokens.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        _scored(width, known["n"], known["t"]), f"doc {kind}, n_tokens long, target_loss double, background_loss double"
+        _scored(sums.n or 0, sums.t or 0, kinds), f"doc {kind}, n_tokens long, target_loss double, background_loss double"
     )
     return scored.withColumn("score", F.col("target_loss") - F.col("background_loss")).withColumnRenamed("doc", key)
 

@@ -166,3 +166,14 @@ def test_losses_without_rows(spark, no_docs, docs, corpus):
     none = spark.createDataFrame([], "doc_id long")
     assert lm_scoring.cross_entropy_difference(no_docs, none).count() == 0
     assert lm_scoring.cross_entropy_difference(docs, none).count() == len(corpus)
+
+
+def test_rare_words_count(spark):
+    """Documents that differ only in words outside the most frequent 4,096 have their own losses."""
+    texts = [" ".join(f"w{i}" for i in range(4200))] * 2 + ["rare words here", "other terms there"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm_scoring.cross_entropy_difference(df, spark.createDataFrame([(2,)], "doc_id long")).collect()}
+    assert got[2] < got[3] - 1
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = lm_scoring.cross_entropy_difference(df, spark.createDataFrame([(2,)], "doc_id long")).collect()
+    assert np.allclose(sorted((r.target_loss, r.background_loss) for r in got), brute_losses(rows, {2}, None))
