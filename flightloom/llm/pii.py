@@ -89,7 +89,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def proposals(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the looser patterns."""
     out = []
-    if "dot" in text or "(at)" in text or "[at]" in text:
+    if any(x in text for x in ("@", " at ", "(at)", "[at]")) and ("." in text or "dot" in text):
         out += [(0, *m.span()) for m in SPELT.finditer(text)]
     out += [(1, *m.span()) for m in IP.finditer(text)]
     if ":" in text:

@@ -169,3 +169,9 @@ def test_one_long_document_does_not_use_up_the_sample(spark, monkeypatch):
         model = toxicity.train(docs, labels)
         got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
         assert len(model.keys) and np.mean([(got[i] >= 0.3) == bool(y) for i, _, y in data]) > 0.95
+
+
+def test_spelt_addresses_do_not_depend_on_other_words():
+    for address in ("jane at example.com", "jane @ example.com", "jane (at) example dot com"):
+        for rest in ("", " and a dotted line"):
+            assert (0, 5, 5 + len(address)) in pii.proposals(f"ask: {address}{rest and ';' + rest}")
