@@ -221,7 +221,9 @@ def with_periods(text: Column, number: Column) -> Column:
     g = F.floor(h / 10)
     a = (g % n).cast("int")
     p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
-    made = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p))), " ")
+    rest = (n - a).cast("int")
+    again = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil(rest / p).cast("int")))
+    made = F.array_join(F.concat(F.slice(words, F.lit(1), a), F.slice(again, F.lit(1), rest)), " ")
     return F.when((h % 10 == 0) & (n > 0), made).otherwise(text)
 
 
