@@ -7,7 +7,7 @@ import importlib
 
 from ..session import tune
 
-MODULES = ("exact_dedup", "near_dedup", "top_k", "bpe", "secrets", "pii", "toxicity", "packing", "substrings", "lm_scoring", "runs", "repair")
+MODULES = ("exact_dedup", "near_dedup", "top_k", "bpe", "secrets", "pii", "toxicity", "packing", "substrings", "lm_scoring", "runs", "repair", "warc")
 
 
 def _tuned(fn):

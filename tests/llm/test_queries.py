@@ -21,7 +21,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_numbers_of_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in llm_queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in llm_queries()) == list(range(1, 14))
     assert "pipeline" in queries()
 
 
