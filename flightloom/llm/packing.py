@@ -9,7 +9,9 @@ value most. Rounded patterns are then dealt out to the ranked documents of each
 from __future__ import annotations
 
 import functools
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,19 +24,48 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from ..workload.registry import Registry
 from . import words as W
+from .bpe import byte_letters
 
 REGISTRY = Registry()
 
 #: Tokens in a unit of the histogram: a sequence wastes less than this per piece.
 UNIT = 8
-#: Words whose ids a worker remembers, in each of two generations.
-REMEMBERED = 500_000
+#: Pieces of words, and words in other letters, whose ids a worker remembers, in each of two generations (and those of one portion of texts more); about
+#: 150 bytes each.
+REMEMBERED = 100_000
+#: Texts of these letters only are cut and lower-cased here: composed letters, the same in all versions of Unicode.
+PLAIN = r"[\t-\r -~\u00a1-\u012f\u0131-\u017f]*+"
+# Letters and numbers among them, in the lower case; and the tokenizer's pattern for pieces, said in these.
+_LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+PIECES = f"[{_LETTERS}]+|[{_NUMBERS}]|'(?:[stmd]|re|ve|ll)|[^\\s{_LETTERS}{_NUMBERS}]+"
 #: Pieces of one rank window.
 WINDOW = 20_000
 
 
+class Remembered:
+    """Ids by text in two generations; the older one goes when the newer one is full."""
+
+    def __init__(self, make) -> None:
+        self.make, self.known, self.older = make, {}, {}
+
+    def learn(self, texts: set[str]) -> dict[str, bytes]:
+        """A table that has all of ``texts``; ``make`` gets those that are not remembered."""
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        new = texts.difference(self.known)
+        back = [t for t in new if t in self.older]
+        self.known.update((t, self.older[t]) for t in back)
+        new = list(new.difference(back))
+        self.known.update(zip(new, self.make(new), strict=True))
+        return self.known
+
+
 class WordIds:
-    """Ids of texts by a public tokenizer whose tokens never reach over white space, word by word and remembered."""
+    """Ids of texts by a public tokenizer whose tokens never reach over white space or its pieces, piece by piece and remembered.
+
+    Texts in the letters of ``PLAIN`` are cut here, and the tokenizer's model only gets new pieces. Other texts go word by word, and
+    their words with other letters through the whole tokenizer.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -42,23 +73,41 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}  # the words remembered before ``known`` was begun
-
-    def __call__(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        known, older = self.known, self.older
-        fresh = {w: older.get(w) for w in words if w not in known}
-        if fresh:
-            new = [w for w, ids in fresh.items() if ids is None]
-            found = self.tokenizer.encode_batch(new, add_special_tokens=False)
-            fresh.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found, strict=True))
-            packed = b"".join([known[w] if w in known else fresh[w] for w in words])
-            if len(known) + len(fresh) > REMEMBERED:
-                self.older, self.known = known, {}
-            self.known.update((w, ids) for w, ids in fresh.items() if len(w) <= 40)
-            return packed
-        return b"".join([known[w] for w in words])
+        self.model = self.tokenizer.model
+        self.cut, self.plain, self.letters = re.compile(PIECES).findall, re.compile(PLAIN).fullmatch, byte_letters()
+        self.pieces, self.words = Remembered(self._of_pieces), Remembered(self._of_words)
+
+    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
+        spelt = [p if p.isascii() else "".join([self.letters[b] for b in p.encode()]) for p in pieces]
+        return [array("I", [t.id for t in self.model.tokenize(p)]).tobytes() for p in spelt]
+
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def _is_plain(self, text: str) -> bool:
+        return self.plain(text) is not None and "<|" not in text
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        cut: list[list[str]] = []
+        odd: set[str] = set()
+        for text in texts:
+            if self._is_plain(text):
+                cut.append(self.cut(text.lower()))
+                continue
+            pieces: list[str] = []
+            for word in text.replace("\n", " ").split(" "):
+                if self._is_plain(word):
+                    pieces += self.cut(word.lower())
+                elif word:
+                    pieces.append(word)
+                    odd.add(word)
+            cut.append(pieces)
+        known = self.pieces.learn(set().union(*cut) - odd)
+        if not odd:
+            return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        strange = self.words.learn(odd)
+        return [b"".join([strange[p] if p in odd else known[p] for p in pieces]) for pieces in cut]
 
 
 @functools.lru_cache(maxsize=2)
@@ -74,8 +123,8 @@ def _cut(path: str, end_id: int, size: int):
         encode = word_ids(path)
         for batch in W.portions(batches, "content"):
             at, start, length, crc, total, ids = [], [], [], [], [], []
-            for row, text in enumerate(batch.column("content").to_pylist()):
-                tokens = encode(text or "") + last
+            for row, tokens in enumerate(encode([t or "" for t in batch.column("content").to_pylist()])):
+                tokens += last
                 for begin in range(0, len(tokens), 4 * size):
                     piece = tokens[begin : begin + 4 * size]
                     at.append(row)
@@ -219,15 +268,15 @@ def _dealt(deal: Plan):
 def assign(cut: DataFrame, size: int = 4096, unit: int = UNIT) -> DataFrame:
     """``cut`` without ids, with ``sequence_id`` and ``offset``: pieces of a sequence follow each other without gaps.
 
-    Pieces of a length class are ranked in hash buckets of about ``WINDOW`` rows, and the buckets by their sizes, so a length
-    that a third of all documents share is never in one task.
+    Pieces of a length class are ranked in hash buckets of about ``WINDOW`` rows, as many as the class needs, and the buckets by
+    their sizes, so a length that a third of all documents share is never in one task.
     """
     rows = cut.drop("ids").withColumn("units", F.ceil(F.col("length") / unit).cast("int"))
-    total = rows.count()
-    slots = max(1, -(-total // WINDOW))
-    rows = rows.withColumn("slot", F.pmod(F.xxhash64("piece"), F.lit(slots)).cast("int"))
+    # One row per length class; a class gets as many buckets as its own rows need.
+    counts = {r["units"]: r["n"] for r in rows.groupBy("units").agg(F.count("*").alias("n")).collect()}
+    slots = F.element_at(F.create_map(*[F.lit(x) for s, n in sorted(counts.items()) for x in (s, -(-n // WINDOW))]), F.col("units"))
+    rows = rows.withColumn("slot", F.pmod(F.xxhash64("piece"), slots).cast("int") if counts else F.lit(0))
     sizes = cut_lineage(rows.groupBy("units", "slot").agg(F.count("*").alias("n")))
-    counts = {r["units"]: r["n"] for r in sizes.groupBy("units").agg(F.sum("n").alias("n")).collect()}  # at most size / unit rows
     deal = plan(counts, size // unit)
     before = sizes.withColumn("before", F.expr("sum(n) OVER (PARTITION BY units ORDER BY slot) - n")).drop("n")
     ranked = rows.withColumn("own", F.expr("row_number() OVER (PARTITION BY units, slot ORDER BY piece) - 1"))
