@@ -85,13 +85,13 @@ def _sketches(size: int):
 
 def _checked(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = np.zeros(len(batch), bool)
-            pairs = zip(W.text_shingles(batch.column("text_a"), size), W.text_shingles(batch.column("text_b"), size), strict=True)
-            for (row, left), (_, right) in pairs:
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                good[row] = 100 * both >= percent * (len(left) + len(right) - both)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good))
+        for whole in batches:
+            for batch in W.portions(W.portions([whole], "text_a"), "text_b"):
+                good = []
+                for texts in zip(*(batch.column(c).cast(pa.large_binary()).to_pylist() for c in ("text_a", "text_b")), strict=True):
+                    left, right, both = W.shared_shingles(tuple(t or b"" for t in texts), size)
+                    good.append(100 * both >= percent * (left + right - both))
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
@@ -137,7 +137,7 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
     most bands in common, out of one hub per band, so that a band shared by very many copies takes one link each.
     Then all pairs of different groups that share a band somewhere are tested by their rarest shingles: alike
     sets must share one that is rare in both, which leaves few pairs and loses none, so no link is lost to the hubs.
-    4. Links are confirmed on full sets, from the texts. 5. Linked classes are united.
+    4. Links are confirmed on full sets of words, from the texts, not on hashes. 5. Linked classes are united.
 
     NULL or blank texts have no shingles and are linked with nothing. Rows without a key come out with
     NULL ``component_id`` and are kept. Rows that repeat a key must repeat its text; they come out once each.
@@ -215,8 +215,8 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
 
 def drop_near(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group of near duplicates, with all its columns; rows without a key stay."""
-    gone = near_groups(docs, text, key, size, percent).where("NOT kept").select(F.col(key).alias("__gone")).distinct()
-    return docs.join(gone, F.col(key) == F.col("__gone"), "left_anti")
+    gone = near_groups(docs, text, key, size, percent).where("NOT kept").select(key).distinct()
+    return docs.join(gone, key, "left_anti").select(docs.columns)
 
 
 @REGISTRY.add(

@@ -8,9 +8,8 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_BASE = U(0x9E3779B97F4A7C55)  # odd, so that it has an inverse modulo 2**64
-_INVERSE = U(pow(int(_BASE), -1, 1 << 64))
-_POWERS: dict[str, np.ndarray] = {}
+#: Places in a word that have a random number for each byte; bytes beyond are scrambled with their place.
+PLACES = 64
 STEP = 1 << 20
 
 
@@ -27,22 +26,12 @@ def seeds(n: int, start: int = 1) -> np.ndarray:
     return mix(np.arange(start, start + n, dtype=U) * U(0xD1342543DE82EF95))
 
 
-def _powers(name: str, n: int) -> np.ndarray:
-    have = _POWERS.get(name)
-    if have is None or len(have) < n:
-        base = np.full(max(n, STEP + 4096), _BASE if name == "up" else _INVERSE, U)
-        base[0] = 1
-        _POWERS[name] = have = np.multiply.accumulate(base)
-    return have
-
-
 def letters(fold: bool) -> np.ndarray:
-    """One random number per byte; with ``fold``, A-Z share those of a-z."""
-    table = seeds(256, 1000)
+    """A random number for each place and byte, one after the other; with ``fold``, A-Z share those of a-z."""
+    table = seeds(PLACES * 256, 1000).reshape(PLACES, 256)
     if fold:
-        table = table.copy()
-        table[65:91] = table[97:123]
-    return table
+        table[:, 65:91] = table[:, 97:123]
+    return table.ravel()
 
 
 def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
@@ -104,8 +93,21 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np
     return range_hashes(buf, starts, ends, [ends], table)[0]
 
 
+def _place_values(buf: np.ndarray, starts: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """For each byte, the random number of its place in its word and of itself; ``starts`` count from the first byte."""
+    place = np.arange(len(buf)) - np.repeat(starts, np.diff(np.append(starts, len(buf))))
+    values = table[((place & (PLACES - 1)) << 8) | buf]
+    far = np.flatnonzero(place >= PLACES)
+    if len(far):
+        values[far] = mix(values[far] ^ ((place[far] // PLACES).astype(U) * U(0xD6E8FEB86659FD93)))
+    return values
+
+
 def range_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, stops: list[np.ndarray], table: np.ndarray) -> list[np.ndarray]:
-    """For each list of stops, hashes of the bytes of words from their start to there; summed up a megabyte at a time."""
+    """For each list of stops, hashes of the bytes of words from their start to there; summed up a megabyte at a time.
+
+    The numbers of the bytes' places are random and not powers of one base, so no family of words shares a hash by its build.
+    """
     out = [np.empty(len(starts), U) for _ in stops]
     i = 0
     while i < len(starts):
@@ -113,11 +115,10 @@ def range_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, stops: l
         j = max(i + 1, int(np.searchsorted(starts, low + STEP)))
         high = int(ends[j - 1])
         sums = np.zeros(high - low + 1, U)
-        np.cumsum(table[buf[low:high]] * _powers("up", high - low)[: high - low], out=sums[1:])
         at = starts[i:j] - low
-        down = _powers("down", high - low)[at]
+        np.cumsum(_place_values(buf[low:high], at, table), out=sums[1:])
         for made, stop in zip(out, stops, strict=True):
-            made[i:j] = (sums[stop[i:j] - low] - sums[at]) * down
+            made[i:j] = sums[stop[i:j] - low] - sums[at]
         i = j
     return [mix(made + (stop - starts).astype(U)) for made, stop in zip(out, stops, strict=True)]
 
@@ -151,3 +152,32 @@ def text_shingles(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray
         made, after = shingle_hashes(word_hashes(buf, starts, ends, table), before, size)
         for d in range(last - first):
             yield first + d, np.unique(made[after[d] : after[d + 1]])
+
+
+def shared_shingles(texts: tuple[bytes, bytes], size: int) -> tuple[int, int, int]:
+    """Of two texts, how many distinct shingles each has and how many both have; compared word by word, not by hashes."""
+    seen: dict[bytes, int] = {}
+    words = [t.lower().split() for t in texts]  # bytes: only A-Z is lower-cased, and white space is as in SPACE
+    ids = [np.fromiter(map(seen.setdefault, w, range(k, k + len(w))), np.int64, len(w)) for k, w in ((0, words[0]), (len(words[0]), words[1]))]
+    length = min(size, *map(len, ids))
+    if min(map(len, ids)) < size and len(ids[0]) != len(ids[1]):
+        # A short text is one shingle of its own length, which a text of another length can't have.
+        return *(min(len(i), 1) if len(i) < size else len(_distinct(i, size)) for i in ids), 0
+    both = np.concatenate(ids)
+    starts = [len(i) - length + 1 if len(i) else 0 for i in ids]
+    code = _codes(both, length)
+    left, right = np.unique(code[: starts[0]]), np.unique(code[len(ids[0]) : len(ids[0]) + starts[1]])
+    return len(left), len(right), len(np.intersect1d(left, right, assume_unique=True))
+
+
+def _codes(ids: np.ndarray, length: int) -> np.ndarray:
+    """A number for each run of ``length`` numbers, the same for the same run only."""
+    n = max(len(ids) - length + 1, 0)
+    code = ids[:n] if length else np.zeros(n, np.int64)
+    for k in range(1, length):
+        code = np.unique(code * (int(ids.max(initial=0)) + 1) + ids[k : k + n], return_inverse=True)[1]
+    return code
+
+
+def _distinct(ids: np.ndarray, size: int) -> np.ndarray:
+    return np.unique(_codes(ids, size))

@@ -119,3 +119,25 @@ def test_word_hashes_over_blocks(monkeypatch):
     whole = words.word_hashes(buf, *words.spans(buf, offsets)[:2], words.letters(True))
     monkeypatch.setattr(words, "STEP", 64)
     assert (words.word_hashes(buf, *words.spans(buf, offsets)[:2], words.letters(True)) == whole).all()
+
+
+def test_words_of_one_build_have_hashes_of_their_own(spark):
+    """Words of two letters that polynomial hashes modulo a power of two can't tell apart."""
+    plain = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    other = plain.translate(str.maketrans("ab", "ba"))
+    corpus = [(1, plain), (2, other), (3, f"x {plain} y z"), (4, f"x {other} y z"), (5, plain.upper()), (6, "a" * 200), (7, "a" * 264)]
+    got = near_dedup.near_groups(spark.createDataFrame(corpus, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1, 6: 6, 7: 7}
+
+
+def test_shared_shingles_are_those_of_the_words():
+    rng = np.random.default_rng(4)
+    for _ in range(400):
+        texts = [" ".join(rng.choice(["a", "B", "b", "é", "cc"], rng.integers(0, 9))) for _ in range(2)]
+        size = int(rng.integers(1, 5))
+        sets = []
+        for text in texts:
+            w = text.replace("B", "b").split()
+            sets.append({tuple(w[i : i + size]) for i in range(max(len(w) - size + 1, 1))} if w else set())
+        want = len(sets[0]), len(sets[1]), len(sets[0] & sets[1])
+        assert words.shared_shingles(tuple(t.encode() for t in texts), size) == want, texts
