@@ -1,143 +1,122 @@
-"""Which track points lie within reach of a storm cell of the same hour."""
+"""Which track points lie within reach of a storm cell of the same hour.
+
+A storm's circle is laid out on nested squares, as far as these hold points: a square that lies wholly inside is a count for all its points, at
+whatever level it is found; only squares on the rim are divided further, and only points in rim squares of the smallest size are compared
+with the storm itself. So a storm that covers half the globe costs some hundred squares and not a row per point.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from .skew import hot_keys, null_safe_join, skew_join
+from .skew import hot_keys, skew_join
+
+KM_PER_DEGREE = geo.EARTH_KM * math.pi / 180.0
+#: Sides of the squares in degrees; each square has 64 of the next size.
+SIDES = tuple(45.0 / 8**k for k in range(3))
+#: Kilometres by which a square must be inside or outside to need no comparison; above the rounding of any distance.
+SLACK = 0.001
+_CELL = ["hour_ts", "_row", "_col"]
+_STORM = ["s_lat", "s_lon", "radius_km"]
 
-KM_PER_DEGREE = 6371.0 * 3.141592653589793 / 180.0
-# Grid sizes in degrees. A storm is laid out on the finest grid that is coarser than its reach.
-GRIDS = (2.0, 12.0, 180.0)
-_CELL = ["_grid", "hour_ts", "_row", "_col"]
 
+def _stand(side: float) -> Column:
+    """0 for a square outside of the storm, 1 on its rim, 2 inside: by the distance of the middle and the half diagonal.
 
-def _row_of(lat: Column, size: float) -> Column:
-    return F.floor((lat + 90.0) / F.lit(size)).cast("int")
+    A centre beyond a pole (a polygon at the edge of the picture may have one) is at the same place of the globe.
+    """
+    lat, lon = F.lit(-90.0) + (F.col("row") + 0.5) * side, F.lit(-180.0) + (F.col("col") + 0.5) * side
+    wide = F.cos(F.radians(F.greatest(F.abs(lat) - side / 2, F.lit(0.0))))
+    half = side / 2 * F.sqrt(1 + wide * wide) * KM_PER_DEGREE + SLACK
+    far = geo.great_circle_km(lat, lon, F.col("s_lat"), F.col("s_lon"))
+    radius = F.col("radius_km")
+    inside = (far + half <= radius) | (radius > geo.EARTH_KM * math.pi + SLACK)
+    return F.when(inside, 2).when(far - half > radius, 0).otherwise(1)
 
 
-def _wrap(lon: Column) -> Column:
-    return F.pmod(lon + 180.0, F.lit(360.0))
+def _judged(met: DataFrame, side: float) -> DataFrame:
+    """Rows of squares and storms without those outside; storms that cover a square become one row without a storm, and their number."""
+    stand = F.when(F.col("radius_km").isNull(), 2).otherwise(_stand(side))
+    met = met.withColumn("_stand", stand).where("_stand > 0")
+    storm = [F.when(F.col("_stand") == 1, F.col(c)).alias(c) for c in _STORM]
+    return met.select("hour_ts", "row", "col", *storm, "n").groupBy("hour_ts", "row", "col", *_STORM).agg(F.sum("n").alias("n"))
 
 
-def _storm_cells(storms: DataFrame, grids: Sequence[float]) -> DataFrame:
-    """Each storm once per grid square its circle can touch; longitudes wrap around.
+def storms_of_cells(cells: DataFrame, storms: DataFrame) -> DataFrame:
+    """(hour, cell, storm, n) for each cell with points: one row without a storm for all that cover it, one for each that may reach into it.
 
-    A centre beyond a pole (a polygon at the edge of the picture may have one) is laid out
-    at the same place of the globe.
+    ``cells``: distinct hour_ts, _row, _col of the smallest squares. From the largest size on, the squares that hold points meet what
+    their parent square has met.
     """
-    lat = F.degrees(F.asin(F.sin(F.radians("s_lat"))))
-    lon = F.col("s_lon") + F.when(F.cos(F.radians("s_lat")) < 0, 180.0).otherwise(0.0)
-    reach = F.col("radius_km") / F.lit(KM_PER_DEGREE) + F.lit(1e-6)
-    level = F.lit(len(grids) - 1)
-    for i in range(len(grids) - 2, -1, -1):
-        level = F.when(reach <= grids[i], F.lit(i)).otherwise(level)
-    sized = storms.withColumns({"_reach": reach, "_grid": level})
-    size = F.element_at(F.array(*[F.lit(g) for g in grids]), F.col("_grid") + 1)
-    south = F.greatest(lat - F.col("_reach"), F.lit(-90.0))
-    north = F.least(lat + F.col("_reach"), F.lit(90.0))
-    # Half width in degrees of longitude; the whole circle of latitude once a pole is inside.
-    sine = F.sin(F.radians("_reach")) / F.cos(F.radians(lat))
-    polar = (F.abs(lat) + F.col("_reach") >= 89.9) | (F.col("_reach") >= 89.9)
-    wide = F.when(polar | (sine >= 1.0), F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(sine, F.lit(1.0)))) + 1e-6)
-    columns = F.ceil(F.lit(360.0) / size).cast("int")
-    first = F.floor((lon + 180.0 - wide) / size).cast("int")
-    last = F.floor((lon + 180.0 + wide) / size).cast("int")
-    rows = F.sequence(F.floor((south + 90.0) / size).cast("int"), F.floor((north + 90.0) / size).cast("int"))
-    # Never more than once around, so that no square comes up twice.
-    ends = sized.withColumns({"_first": first, "_last": F.least(last, first + columns - 1), "_columns": columns})
-    out = ends.withColumn("_row", F.explode(rows)).withColumn("_c", F.explode(F.sequence("_first", "_last")))
-    out = out.withColumn("_col", F.pmod("_c", "_columns"))
-    return out.drop("_reach", "_c", "_first", "_last", "_columns")
-
-
-def _point_cells(points: DataFrame, grids: Sequence[float], used: Sequence[int]) -> DataFrame:
-    """Each point once per grid that holds any storm."""
-    cells = [
-        F.struct(
-            F.lit(i).alias("_grid"),
-            _row_of(F.col("lat"), grids[i]).alias("_row"),
-            F.floor(_wrap(F.col("lon")) / F.lit(grids[i])).cast("int").alias("_col"),
-        )
-        for i in used
-    ]
-    return points.withColumn("_cell", F.explode(F.array(*cells))).select(
-        *points.columns, "_cell._grid", "_cell._row", "_cell._col"
-    )
+    levels = [cells.select("hour_ts", F.col("_row").alias("row"), F.col("_col").alias("col"))]
+    for _ in SIDES[1:]:
+        levels.append(levels[-1].select("hour_ts", F.shiftright("row", 3).alias("row"), F.shiftright("col", 3).alias("col")).distinct())
+    sides = storms.select("hour_ts", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), "radius_km")
+    sides = sides.where("radius_km >= 0 AND s_lat IS NOT NULL AND s_lon IS NOT NULL")
+    met = _judged(levels.pop().join(sides.withColumn("n", F.lit(1).cast("long")), "hour_ts"), SIDES[0])
+    for side in SIDES[1:]:
+        above = met.withColumnsRenamed({"row": "_row", "col": "_col"})
+        squares = levels.pop().withColumns({"_row": F.shiftright("row", 3), "_col": F.shiftright("col", 3)})
+        met = _judged(squares.join(above, _CELL), side)
+    return met.withColumnsRenamed({"row": "_row", "col": "_col"})
+
+
+def _cells(points: DataFrame) -> DataFrame:
+    """The points with their smallest square."""
+    rows, cols = round(180 / SIDES[-1]), round(360 / SIDES[-1])
+    row = F.floor((F.col("lat") + 90.0) / SIDES[-1]).cast("int")
+    col = F.floor(F.pmod(F.col("lon") + 180.0, F.lit(360.0)) / SIDES[-1]).cast("int")
+    return points.withColumns({"_row": F.least(row, F.lit(rows - 1)), "_col": F.least(col, F.lit(cols - 1))})
+
+
+def _met(points: DataFrame, storms: DataFrame, rows_per_task: int | None) -> DataFrame:
+    """Every point, once for each candidate of its cell or once without one, and ``n``, the storms of that candidate that reach it.
+
+    With ``rows_per_task``, copies of a point become one row first and crowded cells are dealt to several tasks.
+    """
+    placed = _cells(points)
+    copies = F.lit(1).cast("long")
+    hot = None
+    if rows_per_task:
+        placed = placed.groupBy(*placed.columns).agg(F.count("*").alias("_copies"))
+        copies = F.col("_copies")
+        hot = hot_keys(placed, _CELL, rows_per_task)
+    cells = placed.select(_CELL).where("hour_ts IS NOT NULL AND _row IS NOT NULL AND _col IS NOT NULL").distinct()
+    candidates = storms_of_cells(cells, storms).withColumnRenamed("n", "_storms")
+    pairs = skew_join(placed, candidates, _CELL, "left", rows_per_task, hot=hot)
+    near = geo.great_circle_km(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon")) <= F.col("radius_km")
+    n = F.when(F.col("_storms").isNotNull() & (F.col("radius_km").isNull() | near), F.col("_storms") * copies).otherwise(F.lit(0))
+    return pairs.select(*points.columns, n.cast("long").alias("n"))
 
 
-def _collapse_hot(keyed: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """Count copies of a point instead of repeating them, where a crowded square needs it.
+def storm_hits(points: DataFrame, storms: DataFrame, rows_per_task: int | None = None) -> DataFrame:
+    """The points that storms of the same hour reach; the sum of ``n`` over a point's rows is the number of (point, storm) pairs.
 
-    Rows of a crowded square are later dealt to tasks by their content, which copies share.
-    """
-    if hot is None:
-        return keyed
-    crowded = F.broadcast(hot.drop("_rows"))
-    calm = null_safe_join(keyed, crowded, _CELL, "left_anti")
-    rest = null_safe_join(keyed, crowded, _CELL, "left_semi")
-    return calm.unionByName(rest.groupBy(*[c for c in keyed.columns if c != "n"]).agg(F.sum("n").alias("n")))
-
-
-def storm_hits(
-    points: DataFrame,
-    storms: DataFrame,
-    grids: Sequence[float] = GRIDS,
-    rows_per_task: int | None = None,
-) -> DataFrame:
-    """Every (point, storm) pair of the same hour within the storm's radius, with a count ``n`` of copies.
-
-    ``points``: lat (within ±90), lon (degrees), hour_ts and any further columns. ``storms``: hour_ts,
-    lat, lon, radius_km. Points meet storms by hour and grid square instead of by hour
-    alone; a storm appears once per square and a point lies in one square per grid, so no
-    pair is found twice. Grids must divide 360.
+    ``points``: lat (within ±90), lon (degrees), hour_ts and any further columns. ``storms``: hour_ts, lat, lon, radius_km.
     """
-    sides = storms.select(
-        "hour_ts", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), "radius_km"
-    ).where(F.col("radius_km") >= 0)
-    # The storms are few next to the points; dealing them out evenly shares the work of laying them out.
-    cells = _storm_cells(sides.repartition("hour_ts", "s_lat", "s_lon"), grids)
-    # At most one row per grid.
-    used = sorted(r[0] for r in cells.select("_grid").distinct().collect())
-    placed = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).withColumn("n", F.lit(1).cast("long"))
-    keyed = _point_cells(placed, grids, used or [0])
-    hot = hot_keys(keyed, _CELL, rows_per_task)
-    pairs = skew_join(_collapse_hot(keyed, hot), cells, _CELL, "inner", rows_per_task, hot=hot)
-    near = geo.great_circle_km(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon")) <= F.col("radius_km")
-    return pairs.where(near).select(*points.columns, "n")
+    return _met(points, storms, rows_per_task).where("n > 0")
 
 
 _POINT = ["flightid", "dt_radar", "hour_ts", "lat", "lon"]
 
 
-def point_exposure(points: DataFrame, storms: DataFrame, rows_per_task: int | None = None, **how) -> DataFrame:
+def point_exposure(points: DataFrame, storms: DataFrame, rows_per_task: int | None = None) -> DataFrame:
     """Per (flight, time): 1 if any storm of the hour reaches the point, else 0."""
-    hits = storm_hits(points.select(_POINT), storms, rows_per_task=rows_per_task, **how)
-    name = "flight_through_area"
-    marked = points.select("flightid", "dt_radar", F.lit(0).alias(name)).unionByName(
-        hits.select("flightid", "dt_radar", F.lit(1).alias(name))
-    )
-    return marked.groupBy("flightid", "dt_radar").agg(F.max(name).alias(name))
+    met = _met(points.select(_POINT), storms, rows_per_task)
+    return met.groupBy("flightid", "dt_radar").agg(F.max((F.col("n") > 0).cast("int")).alias("flight_through_area"))
 
 
-def flight_exposure(points: DataFrame, storms: DataFrame, rows_per_task: int | None = None, **how) -> DataFrame:
+def flight_exposure(points: DataFrame, storms: DataFrame, rows_per_task: int | None = None) -> DataFrame:
     """Per flight: number of (point, storm) hits and the first hour in which there was any storm."""
-    hits = storm_hits(points.select(_POINT), storms, rows_per_task=rows_per_task, **how)
-    hours = points.select("hour_ts", "flightid").distinct()
-    stormy = skew_join(hours, storms.select("hour_ts").distinct(), ["hour_ts"], "left_semi", rows_per_task)
-    none = F.lit(None).cast("timestamp")
-    zero = F.lit(0).cast("long").alias("hits")
-    parts = (
-        points.select("flightid", zero, none.alias("first_hour"))
-        .unionByName(hits.select("flightid", F.col("n").alias("hits"), none.alias("first_hour")))
-        .unionByName(stormy.select("flightid", zero, F.col("hour_ts").alias("first_hour")))
-    )
-    return parts.groupBy("flightid").agg(
-        F.sum("hits").alias("flight_through_area"), F.min("first_hour").alias("first_storm_hour")
+    hours = _met(points.select(_POINT), storms, rows_per_task).groupBy("flightid", "hour_ts").agg(F.sum("n").alias("n"))
+    stormy = storms.select("hour_ts", F.lit(True).alias("_stormy")).distinct()
+    hours = skew_join(hours, stormy, ["hour_ts"], "left", rows_per_task)
+    return hours.groupBy("flightid").agg(
+        F.sum("n").alias("flight_through_area"), F.min(F.when(F.col("_stormy"), F.col("hour_ts"))).alias("first_storm_hour")
     )
 
 

@@ -194,3 +194,20 @@ def test_storm_centre_beyond_the_pole(spark):
     s = spark.createDataFrame([(100.0, 30.0, 50.0)], "lat double, lon double, radius_km double")
     got = exposure.point_exposure(p.select("*", hour), s.select("*", hour))
     assert rows(got, "flightid", "flight_through_area") == [("a", 1), ("b", 0)]
+
+
+def test_rim_candidates_are_few(spark):
+    """At a radius of thousands of kilometres, rows compared with a storm are at most three times the hits among them."""
+    rng = random.Random(8)
+    hour = F.timestamp_seconds(F.lit(0)).alias("hour_ts")
+    points = [(f"f{i}", i, rng.uniform(-60, 60), rng.uniform(-180, 180)) for i in range(3000)]
+    storms = [(rng.uniform(-50, 50), rng.uniform(-180, 180), rng.choice([900.0, 2500.0, 7000.0, 30000.0])) for _ in range(12)]
+    p = spark.createDataFrame(points, "flightid string, dt_radar long, lat double, lon double").select("*", hour)
+    s = spark.createDataFrame(storms, "lat double, lon double, radius_km double").select("*", hour)
+    placed = exposure._cells(p)
+    pairs = placed.join(exposure.storms_of_cells(placed.select("hour_ts", "_row", "_col").distinct(), s), ["hour_ts", "_row", "_col"])
+    compared = pairs.where("radius_km IS NOT NULL").collect()
+    hits = sum(_km((r.lat, r.lon), (r.s_lat, r.s_lon)) <= r.radius_km for r in compared)
+    every = sum(_km((a, b), (c, d)) <= r for _, _, a, b in points for c, d, r in storms)
+    assert sum(r["n"] for r in exposure.storm_hits(p, s).collect()) == every
+    assert hits < every / 4 and len(compared) <= 3 * hits
