@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans import features, storms
+from ..plans.submission import linear_submission
 from ..sources.schemas import FEATURES
 from . import standins as s
 from .exposures import _NEAR, _PER_POINT
@@ -160,3 +161,60 @@ def picture_storm_exposure(spark, d):
 def picture_scoring_exposure(spark, d):
     out = storms.scoring_exposure(s.points(spark, d), _picture_cells(spark, d))
     return out.withColumn("first_storm_hour", F.date_format("first_storm_hour", "yyyy-MM-dd HH"))
+
+
+# The whole way from features to predictions: sums of products per fold, and elimination on them.
+_FOLDS = 5
+_SYSTEM = len(FEATURES) * 2 + 1
+
+
+def _row_sql(fold: str, last: str) -> str:
+    cells = [f'coalesce("{c}"::DOUBLE, -99)' for c in FEATURES] + [f'("{c}" IS NULL)::INT::DOUBLE' for c in FEATURES]
+    return f"SELECT t.flightid, {fold} AS fold, s.same, [1.0::DOUBLE, {', '.join(cells)}{last}] AS v"
+
+
+_FULL = dict(
+    same="SELECT flightid, origem = destino AS same FROM flights",
+    train=_feature_sql("arr_hour", "f.flightid, f.target"),
+    test=_feature_sql("dep_hour", "f.flightid"),
+    learned=_row_sql(f"CAST(CAST('0x' || substr(md5(t.flightid || '-42'), 1, 8) AS BIGINT) % {_FOLDS} AS INT)", ", target::DOUBLE")
+    + " FROM train t JOIN same s USING (flightid) WHERE NOT s.same",
+    cols=f"SELECT fold, j, list(v[j] ORDER BY flightid) AS c FROM learned, range(1, {_SYSTEM + 2}) r(j) GROUP BY fold, j",
+    own="SELECT a.fold, a.j AS i, b.j AS j, list_inner_product(a.c, b.c) AS g FROM cols a JOIN cols b ON a.fold = b.fold",
+    whole="SELECT i, j, sum(g) AS g FROM own GROUP BY i, j",
+    size="SELECT g AS n FROM whole WHERE i = 1 AND j = 1",
+    spreads="""SELECT d.j, o.g / n AS m, CASE WHEN d.j = 1 THEN 1.0 WHEN d.g / n - (o.g / n) ** 2 > 1e-9 * greatest((o.g / n) ** 2, 1e-3)
+        THEN sqrt(greatest(d.g / n - (o.g / n) ** 2, 0)) ELSE 1.0 END AS s
+        FROM (SELECT * FROM whole WHERE i = j) d JOIN (SELECT * FROM whole WHERE i = 1) o ON o.j = d.j, size""",
+    rest="SELECT o.fold AS k, o.i, o.j, w.g - o.g AS g FROM own o JOIN whole w ON w.i = o.i AND w.j = o.j",
+    edge="SELECT k, j, g FROM rest WHERE i = 1",
+    scaled=f"""SELECT r.k, r.i, r.j,
+        (r.g - CASE WHEN r.i > 1 THEN a.m * ej.g ELSE 0 END - CASE WHEN r.j BETWEEN 2 AND {_SYSTEM} THEN b.m * ei.g ELSE 0 END
+         + CASE WHEN r.i > 1 AND r.j BETWEEN 2 AND {_SYSTEM} THEN a.m * b.m * e.g ELSE 0 END)
+        / (a.s * CASE WHEN r.j <= {_SYSTEM} THEN b.s ELSE 1 END) + CASE WHEN r.i = r.j AND r.i > 1 THEN 1e-3 * e.g ELSE 0 END AS g
+        FROM rest r JOIN spreads a ON a.j = r.i JOIN spreads b ON b.j = r.j JOIN edge ei ON ei.k = r.k AND ei.j = r.i
+        JOIN edge ej ON ej.k = r.k AND ej.j = r.j JOIN edge e ON e.k = r.k AND e.j = 1 WHERE r.i <= {_SYSTEM}""",
+    steps=f"""SELECT k, i, list(g ORDER BY j) AS line, 1 AS s FROM scaled GROUP BY k, i
+        UNION ALL
+        SELECT k, i, CASE WHEN i = s THEN list_transform(line, lambda x: x / line[s])
+            ELSE list_transform(list_zip(line, top_line), lambda z: z[1] - line[s] / top_line[s] * z[2]) END, s + 1
+        FROM (SELECT *, any_value(line) FILTER (WHERE i = s) OVER (PARTITION BY k) AS top_line FROM steps WHERE s <= {_SYSTEM})""",
+    slopes=f"SELECT t.i, avg(t.line[{_SYSTEM + 1}]) / any_value(p.s) AS w, any_value(p.m) AS m FROM steps t JOIN spreads p ON p.j = t.i WHERE t.s = {_SYSTEM + 1} GROUP BY t.i",
+    weights="SELECT list(w ORDER BY i) AS w, sum(CASE WHEN i > 1 THEN w * m ELSE 0 END) AS shift FROM slopes",
+    scored=_row_sql("0", "") + " FROM test t JOIN same s USING (flightid)",
+)
+
+
+@_add(
+    "submission_full",
+    sql(f"""SELECT flightid AS "ID", {q('CASE WHEN same THEN 0.0 ELSE list_inner_product(v, w) - shift END', 3, 'solution')} FROM scored, weights""", *_BASE, **_PARTS, **_FULL),
+)
+def submission_full(spark, d):
+    """All features of the contract with missing-value columns, five fold models, one prediction per flight to score."""
+    flights = features.flight_table(s.movements(spark, d))
+    tables, codes = _tables(spark, d, flights), features.dictionaries(flights)
+    same = flights.select("flightid", (F.col("origem") == F.col("destino")).alias("same"))
+    train = _shown(features.training_table(flights, tables, codes)).join(same, "flightid")
+    test = _shown(features.scoring_table(s.scoring_set(spark, d), tables, codes)).join(same, "flightid")
+    solution, _ = linear_submission(train, test, FEATURES, _FOLDS)
+    return solution.withColumn("solution", r("solution", 3))

@@ -81,3 +81,35 @@ def test_submission_is_zero_for_round_trips(table):
     got = {r["ID"]: r["solution"] for r in solution.collect()}
     assert len(got) == 300 and all(got[i] == 0.0 for i in range(0, 300, 10))
     assert error.first()["mean_rmse"] == pytest.approx(0, abs=1e-6)
+
+
+def test_fold_lines_equal_separate_fits(spark):
+    import numpy as np
+
+    from flightloom.ml import gram
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 3)) * [1, 50, 0.1] + [0, 1000, -99]
+    x = np.column_stack([x, np.full(400, 7.0)])
+    y = x[:, :3] @ [2.0, 0.1, 30.0] + rng.normal(size=400)
+    fold = rng.integers(0, 4, 400)
+    rows = [(int(f), *map(float, r), float(t)) for f, r, t in zip(fold, x, y)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, c double, d double, y double").repartition(5)
+    lines, errors = gram.fit_folds(gram.fold_products(df, "k", ["a", "b", "c", "d", "y"]))
+    mean, spread = x.mean(axis=0), np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1.0)
+    z = np.column_stack([np.ones(400), (x - mean) / spread])
+    for k in range(4):
+        left = z[fold != k]
+        want = np.linalg.solve(left.T @ left + gram.SHRINK * len(left) * np.diag([0, 1, 1, 1, 1]), left.T @ y[fold != k])
+        guess = z[fold == k] @ want
+        assert np.allclose(lines[k].intercept + x[fold == k] @ lines[k].slopes, guess, atol=1e-6)
+        assert abs(errors[k] - np.sqrt(np.mean((guess - y[fold == k]) ** 2))) < 1e-6
+    shown = df.select("y", gram.mean_line(lines).predict(["a", "b", "c", "d"]).alias("p")).toPandas()
+    assert np.sqrt(np.mean((shown.y - shown.p) ** 2)) < 1.1
+
+
+def test_missing_numbers_are_flagged_before_scaling(spark):
+    rows = [(f"f{i}", "A", "B", None if i % 7 == 0 else float(i % 13), 5.0 + (100.0 if i % 7 == 0 else float(i % 13))) for i in range(200)]
+    flights = spark.createDataFrame(rows, "flightid string, origem string, destino string, a double, target double")
+    solution, error = submission(flights, flights, ["a"], models.linear(), 4)
+    assert error.first()[0] < 0.5 and solution.count() == 200
