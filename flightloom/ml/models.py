@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -13,8 +15,10 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
+from pyspark.util import inheritable_thread_target
 
 from ..operators.stats import rmse
+from ..session import cut_lineage
 from .prepare import assemble
 
 TARGET = "target"
@@ -46,36 +50,54 @@ def forest(trees: int = 100, **params) -> RandomForestRegressor:
     return RandomForestRegressor(labelCol=TARGET, numTrees=trees, seed=1, **params)
 
 
+#: Fits that run at the same time; their jobs share the executors and the rows kept for them.
+AT_ONCE = 4
+
+
+@contextmanager
+def _kept(*tables: DataFrame) -> Iterator[tuple[DataFrame, ...]]:
+    """The tables, kept on the executors for as many fits as need them, and released afterwards."""
+    kept = tuple(t.persist(StorageLevel.MEMORY_AND_DISK) for t in tables)
+    try:
+        yield kept
+    finally:
+        for t in kept:
+            t.unpersist()
+
+
+def _together(spark, tasks: Sequence[Callable]) -> list:
+    """Results of independent fits, a few at a time; small late stages of one fit leave room that the others use."""
+    with ThreadPool(min(AT_ONCE, len(tasks)) or 1) as pool:
+        return pool.map(lambda task: inheritable_thread_target(spark)(task)(), tasks)
+
+
 def score(predictions: DataFrame) -> float:
     return predictions.agg(rmse(F.col(TARGET), F.col("prediction")).alias("rmse")).first()["rmse"]
 
 
 def compare(models: Mapping[str, Estimator], train: DataFrame, held_out: DataFrame) -> DataFrame:
     """(model, rmse) on the held-out rows, best first."""
-    parts = [
-        estimator.fit(train).transform(held_out).agg(
-            F.lit(name).alias("model"), rmse(F.col(TARGET), F.col("prediction")).alias("rmse")
-        )
-        for name, estimator in models.items()
-    ]
-    return reduce(DataFrame.unionByName, parts).orderBy("rmse", "model")
+    with _kept(train, held_out) as (train, held_out):
+        tasks = [lambda n=n, e=e: (n, score(e.fit(train).transform(held_out))) for n, e in models.items()]
+        rows = _together(train.sparkSession, tasks)
+    return train.sparkSession.createDataFrame(rows, "model string, rmse double").orderBy("rmse", "model")
 
 
 def cross_fit(train: DataFrame, estimator: Estimator, folds: int, key: str, other: DataFrame | None = None):
     """Fit once per fold on the other folds.
 
     Returns the held-out predictions (key, fold, target, prediction) and, if another table
-    is given, each fold model's predictions for it (key, fold, prediction).
+    is given, each fold model's predictions for it (key, fold, prediction); both as written tables.
     """
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    held, extra = [], []
-    for k in range(folds):
-        model = estimator.fit(train.where(F.col("fold") != k))
-        held.append(model.transform(train.where(F.col("fold") == k)).select(key, "fold", TARGET, "prediction"))
-        if other is not None:
-            extra.append(model.transform(other).select(key, F.lit(k).alias("fold"), "prediction"))
-    joined = reduce(DataFrame.unionByName, held)
-    return joined, (reduce(DataFrame.unionByName, extra) if extra else None)
+    with _kept(train) as (rows,):
+        fitted = _together(train.sparkSession, [lambda k=k: estimator.fit(rows.where(F.col("fold") != k)) for k in range(folds)])
+        held = [m.transform(rows.where(F.col("fold") == k)).select(key, "fold", TARGET, "prediction") for k, m in enumerate(fitted)]
+        joined = cut_lineage(reduce(DataFrame.unionByName, held))
+    if other is None:
+        return joined, None
+    with _kept(other) as (rows,):
+        extra = [m.transform(rows).select(key, F.lit(k).alias("fold"), "prediction") for k, m in enumerate(fitted)]
+        return joined, cut_lineage(reduce(DataFrame.unionByName, extra))
 
 
 def ensemble(predictions: DataFrame, key: str) -> DataFrame:
@@ -98,17 +120,16 @@ def stack(
 
     The base models add one column each to the same rows, so no join by id is needed.
     """
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
     named = _named(bases)
     inputs = [f"p_{n}" for n in named]
-    parts = []
-    for k in range(folds):
-        models = [e.fit(train.where(F.col("fold") != k)) for e in named.values()]
-        parts.append(_apply(models, train.where(F.col("fold") == k)))
-    level_one = reduce(DataFrame.unionByName, parts).drop("features")
-    fitted = meta.fit(assemble(level_one, inputs))
-    full = _apply([e.fit(train) for e in named.values()], held_out).drop("features")
-    return fitted.transform(assemble(full, inputs))
+    with _kept(train) as (rows,):
+        fits = [lambda e=e, k=k: e.fit(rows if k is None else rows.where(F.col("fold") != k)) for k in [*range(folds), None] for e in named.values()]
+        fitted = _together(train.sparkSession, fits)
+        models = [fitted[i : i + len(named)] for i in range(0, len(fitted), len(named))]
+        parts = [_apply(models[k], rows.where(F.col("fold") == k)) for k in range(folds)]
+        level_one = cut_lineage(reduce(DataFrame.unionByName, parts).drop("features"))
+    final = meta.fit(assemble(level_one, inputs))
+    return final.transform(assemble(_apply(models[-1], held_out).drop("features"), inputs))
 
 
 def grid_search(
@@ -123,7 +144,8 @@ def grid_search(
         estimator=estimator, estimatorParamMaps=points, numFolds=folds, foldCol="fold", parallelism=parallelism,
         evaluator=RegressionEvaluator(labelCol=TARGET, metricName="rmse"),
     )
-    means = search.fit(train.persist(StorageLevel.MEMORY_AND_DISK)).avgMetrics
+    with _kept(train) as (kept,):
+        means = search.fit(kept).avgMetrics
     rows = [
         (", ".join(f"{p.name}={v}" for p, v in sorted(point.items(), key=lambda i: i[0].name)), float(m))
         for point, m in zip(points, means)
@@ -136,15 +158,18 @@ def random_search(
 ) -> DataFrame:
     """(setting, rmse) of settings drawn uniformly from (low, high) ranges, best first."""
     draw = random.Random(seed)
-    train, rows = train.persist(StorageLevel.MEMORY_AND_DISK), []
-    for _ in range(tries):
-        point = {
-            n: draw.randint(low, high) if isinstance(low, int) and isinstance(high, int) else draw.uniform(low, high)
-            for n, (low, high) in space.items()
-        }
+    points = [
+        {n: draw.randint(low, high) if isinstance(low, int) and isinstance(high, int) else draw.uniform(low, high) for n, (low, high) in space.items()}
+        for _ in range(tries)
+    ]
+
+    def tried(point: dict, train: DataFrame, held_out: DataFrame) -> tuple[str, float]:
         params = {estimator.getParam(n): str(v) if n == "featureSubsetStrategy" else v for n, v in point.items()}
         setting = ", ".join(f"{n}={round(v, 4)}" for n, v in sorted(point.items()))
-        rows.append((setting, score(estimator.fit(train, params).transform(held_out))))
+        return setting, score(estimator.fit(train, params).transform(held_out))
+
+    with _kept(train, held_out) as (kept, rest):
+        rows = _together(train.sparkSession, [lambda p=p: tried(p, kept, rest) for p in points])
     return train.sparkSession.createDataFrame(rows, "setting string, rmse double").orderBy("rmse", "setting")
 
 

@@ -109,15 +109,15 @@ def gbt_until_flat(spark, d):
 @_add("model_compare")
 def model_compare(spark, d):
     train, held_out = _halves(spark, d)
-    candidates = {"linear": models.linear(), "boosted": models.boosted_shallow(5), "forest": models.forest(5)}
+    candidates = {"linear": models.linear(), "boosted": models.boosted_shallow(), "forest": models.forest()}
     return rounded(models.compare(candidates, train, held_out), 4)
 
 
 @_add("rf_stack")
 def rf_stack(spark, d):
     train, held_out = _halves(spark, d)
-    bases = {"linear": models.linear(), "boosted": models.boosted_shallow(3), "forest": models.forest(3)}
-    out = models.stack(train, held_out, bases, models.forest(3), 3)
+    bases = {"linear": models.linear(), "boosted": models.boosted_shallow(3), "forest": models.forest()}
+    out = models.stack(train, held_out, bases, models.forest(), 3)
     return rounded(out.select("flightid", "target", "prediction"), 4)
 
 
@@ -136,5 +136,5 @@ def random_search(spark, d):
 
 @_add("feature_importance")
 def feature_importance(spark, d):
-    model = models.forest(5).fit(_table(spark, d))
+    model = models.forest().fit(_table(spark, d))
     return models.importance(model, _FEATURES, spark)
