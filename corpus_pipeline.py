@@ -7,7 +7,6 @@ returns the pieces of the packed sequences. A stage works on all rows that its p
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +39,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 4096 tokens, with their ids (operator 3)."""
+    import public_tokenizers  # the vocabulary is needed by this stage only
+
     tune(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
