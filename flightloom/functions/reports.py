@@ -24,7 +24,8 @@ TEMPERATURE = r" (M?[0-9]{2})/(M?[0-9]{2})?([ =]|$)"
 WIND = r" ([0-9]{3}|VRB)([0-9]{2,3})(G[0-9]{2,3})?(KT|MPS|KMH) "
 METRES = r" ([0-9]{4})([NSEW]{1,2}|NDV)?([ =]|$)"
 MILES = r" (?:M|P)?(?:([0-9]{1,2}) ?)?(?:([0-9])/([0-9]{1,2}))?SM([ =]|$)"
-# What follows is a forecast or a remark, not observed weather.
+# What follows is a forecast or a remark, not observed weather; it begins with one of these words.
+TREND_WORDS = (" TEMPO", " BECMG", " NOSIG", " RMK", " PROB", " FM")
 TREND = r" (TEMPO|BECMG|NOSIG|RMK|PROB[0-9]{2}|FM[0-9]{4,6})( .*|=.*|$)"
 METRES_IN_MILE, HECTOPASCAL_IN_INCH = 1609.344, 33.8638866667
 CLEAR = r" CAVOK([ =]|$)"
@@ -44,11 +45,14 @@ def tidy(report: Column) -> Column:
 
 def observed(report: Column) -> Column:
     """The report up to its trend or remarks."""
-    return F.regexp_replace(report, TREND, "=")
+    marked = F.lit(False)
+    for word in TREND_WORDS:
+        marked = marked | report.contains(word)
+    return F.when(marked, F.regexp_replace(report, TREND, "=")).otherwise(report)
 
 
-def _group(pattern: str, number: int) -> Column:
-    return F.nullif(F.regexp_extract("_text", pattern, number), F.lit(""))
+def _group(pattern: str, number: int, text: str = "_text") -> Column:
+    return F.nullif(F.regexp_extract(text, pattern, number), F.lit(""))
 
 
 def _all_groups(pattern: str) -> Column:
@@ -56,23 +60,28 @@ def _all_groups(pattern: str) -> Column:
     return F.nullif(join_list(found), F.lit(""))
 
 
-# One search per group of the report.
+# One search of the whole report per group; a group's parts are then read from the few letters that were found.
 _RAW = {
     "parse_ok": lambda: F.coalesce(F.col("_text").rlike(HEADER), F.lit(False)),
-    "_temperature": lambda: _group(TEMPERATURE, 1),
-    "_dew": lambda: _group(TEMPERATURE, 2),
-    "_speed": lambda: _group(WIND, 2),
-    "_direction": lambda: _group(WIND, 1),
+    "_found_temperature": lambda: _group(TEMPERATURE, 0),
+    "_found_wind": lambda: _group(WIND, 0),
     "_metres": lambda: _group(METRES, 1),
-    "_miles": lambda: _group(MILES, 1),
-    "_over": lambda: _group(MILES, 2),
-    "_under": lambda: _group(MILES, 3),
+    "_found_miles": lambda: F.when(F.col("_text").contains("SM"), _group(MILES, 0)),
     "_clear": lambda: F.col("_text").rlike(CLEAR),
     "_hectopascal": lambda: _group(HECTOPASCAL, 1),
     "_inches": lambda: _group(INCHES, 1),
     "_weather": lambda: _all_groups(WEATHER),
     "_sky": lambda: _all_groups(SKY),
 }
+_PARTS = {
+    "_temperature": lambda: _group(TEMPERATURE, 1, "_found_temperature"),
+    "_dew": lambda: _group(TEMPERATURE, 2, "_found_temperature"),
+    "_speed": lambda: _group(WIND, 2, "_found_wind"),
+    "_direction": lambda: _group(WIND, 1, "_found_wind"),
+    "_miles": lambda: _group(MILES, 1, "_found_miles"),
+    "_over": lambda: _group(MILES, 2, "_found_miles"),
+    "_under": lambda: _group(MILES, 3, "_found_miles"),
+}
 
 
 def _number(name: str) -> Column:
@@ -90,7 +99,7 @@ def add_report_columns(df: DataFrame, report: str) -> DataFrame:
     Visibility is in metres and pressure in hectopascal, also where the report has miles (with
     fractions) or inches. Trends and remarks after the observation are not read.
 
-    Three projections, each using the columns of the one before, so that the text is
+    Four projections, each using the columns of the one before, so that the text is
     tidied once and each pattern is searched once per row.
     """
     part = _number("_over") / F.nullif(_number("_under"), F.lit(0.0))
@@ -108,5 +117,6 @@ def add_report_columns(df: DataFrame, report: str) -> DataFrame:
         "Céu": F.col("_sky"),
     }
     searched = df.withColumn("_text", observed(tidy(F.col(report)))).withColumns({n: c() for n, c in _RAW.items()})
+    searched = searched.withColumns({n: c() for n, c in _PARTS.items()})
     read = searched.withColumns({n: F.when(F.col("parse_ok"), c) for n, c in fields.items()})
-    return read.drop("_text", *[n for n in _RAW if n != "parse_ok"])
+    return read.drop("_text", *[n for n in (*_RAW, *_PARTS) if n != "parse_ok"])
