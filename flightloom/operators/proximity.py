@@ -6,8 +6,10 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import cut_lineage
 from .skew import hot_keys, skew_join
@@ -15,6 +17,9 @@ from .skew import hot_keys, skew_join
 # Squares are numbered by row and column, each within ±_OFFSET, in one negative long.
 _OFFSET = 1 << 30
 
+#: Squares along a side of a tile, which one task solves; a usual picture lies in one tile.
+TILE = 256
+
 # Fixed value: vertices this many pixels apart or less join their polygons.
 REACH = 20
 
@@ -24,12 +29,11 @@ def _pixels(vertices: DataFrame) -> DataFrame:
     return vertices.select("image", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).distinct()
 
 
-def _links(vertices: DataFrame, reach: int) -> DataFrame:
-    """Graph edges (image, a, b) whose components are the components of the polygons.
+def _links(vertices: DataFrame, reach: int) -> tuple[DataFrame, DataFrame]:
+    """(image, poly, square): the squares of each polygon. (image, a, b): squares that are near each other.
 
-    Nodes are polygons (their numbers, from 0) and small squares (negative). Any two pixels of one square are within reach, so
-    a polygon links to the squares it has vertices in, and no pairs inside a square are
-    needed. Two squares link if some pixel of one is within reach of some pixel of the
+    Any two pixels of one small square are within reach, so a polygon belongs to the squares it has vertices in, and no pairs inside
+    a square are needed. Two squares are near if some pixel of one is within reach of some pixel of the
     other; a square has at most side² distinct pixels however many vertices lie on them.
     """
     side = max(1, int(reach / math.sqrt(2)) + 1)
@@ -42,9 +46,7 @@ def _links(vertices: DataFrame, reach: int) -> DataFrame:
     def square(i, j):
         return -1 - ((i + _OFFSET) * (2 * _OFFSET) + (j + _OFFSET))
 
-    own = vertices.select(
-        "image", F.col("poly").cast("long").alias("a"), square(cell("x"), cell("y")).alias("b")
-    ).distinct()
+    own = vertices.select("image", F.col("poly").cast("long").alias("poly"), square(cell("x"), cell("y")).alias("square")).distinct()
     pixels = _pixels(vertices).withColumns({"ci": cell("x"), "cj": cell("y")})
     ring = math.ceil(reach / side)
     forward = [
@@ -61,7 +63,63 @@ def _links(vertices: DataFrame, reach: int) -> DataFrame:
     dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
     near = looking.join(other, ["image", "ci", "cj"]).where(dx * dx + dy * dy <= reach * reach)
     across = near.select("image", square(F.col("fi"), F.col("fj")).alias("a"), square(F.col("ci"), F.col("cj")).alias("b"))
-    return own.unionByName(across.distinct())
+    return own, across.distinct()
+
+
+def _tile(square: str) -> list:
+    """Row and column of the tile of a square."""
+    number = -1 - F.col(square)
+    row = F.floor(number / F.lit(2 * _OFFSET)) - _OFFSET
+    return [F.floor(row / TILE).cast("long"), F.floor((F.pmod(number, F.lit(2 * _OFFSET)) - _OFFSET) / TILE).cast("long")]
+
+
+def _united(kind: pa.DataType):
+    """Smallest square of each component within a tile; rows are sorted by tile, and only one tile's squares are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parent = None, {}
+
+        def top(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        def done() -> pa.RecordBatch:
+            nodes = list(parent)
+            columns = [pa.array([at[0]] * len(nodes), kind), pa.array(nodes, pa.int64()), pa.array(list(map(top, nodes)), pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["image", "node", "root"])
+
+        for batch in batches:
+            for *tile, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if tile != at:
+                    if at is not None:
+                        yield done()
+                    at, parent = tile, {}
+                a, b = top(a), top(b)
+                parent[max(a, b)] = min(a, b)
+        if at is not None:
+            yield done()
+
+    return run
+
+
+def _square_labels(edges: DataFrame, rows_per_task: int | None) -> DataFrame:
+    """(image, node, label) of all squares in ``edges``: each tile is solved in one task, and rounds of joins run only on what crosses tiles."""
+    tiled = cut_lineage(edges.select("image", "a", "b", (_tile("a")[0] == _tile("b")[0]).alias("_rows"), (_tile("a")[1] == _tile("b")[1]).alias("_cols")))
+    inside = tiled.where("_rows AND _cols").select("image", _tile("a")[0].alias("ti"), _tile("a")[1].alias("tj"), "a", "b")
+    inside = inside.repartition("image", "ti", "tj").sortWithinPartitions("image", "ti", "tj")
+    kind = edges.schema["image"].dataType
+    local = cut_lineage(inside.mapInArrow(_united(to_arrow_type(kind)), f"image {kind.simpleString()}, node long, root long"))
+    crossing = tiled.where("NOT (_rows AND _cols)").select("image", "a", "b")
+    for end in ("a", "b"):
+        roots = local.select("image", F.col("node").alias(end), F.col("root").alias("_root"))
+        crossing = crossing.join(roots, ["image", end], "left").withColumn(end, F.coalesce("_root", end)).drop("_root")
+    crossing = cut_lineage(crossing.distinct())
+    if crossing.isEmpty():
+        return local.withColumnRenamed("root", "label")
+    upper = connected_labels(crossing, rows_per_task).select("image", F.col("node").alias("root"), F.col("label").alias("_label"))
+    every = local.unionByName(upper.select("image", F.col("root").alias("node"), "root")).distinct()
+    return every.join(upper, ["image", "root"], "left").select("image", "node", F.coalesce("_label", "root").alias("label"))
 
 
 def connected_labels(links: DataFrame, rows_per_task: int | None = None) -> DataFrame:
@@ -96,8 +154,12 @@ def connected_labels(links: DataFrame, rows_per_task: int | None = None) -> Data
 
 def proximity_components(vertices: DataFrame, reach: int = REACH, rows_per_task: int | None = None) -> DataFrame:
     """(image, poly, component): component is the smallest polygon number in it."""
-    labels = connected_labels(_links(vertices, reach), rows_per_task)
-    polys = labels.where(F.col("node") >= 0).select("image", F.col("node").alias("poly"), "label")
+    own, near = _links(vertices, reach)
+    own = cut_lineage(own)
+    anchors = cut_lineage(own.groupBy("image", "poly").agg(F.min("square").alias("a")))
+    spread = own.join(anchors, ["image", "poly"]).select("image", "a", F.col("square").alias("b")).distinct()
+    labels = _square_labels(spread.unionByName(near), rows_per_task).withColumnRenamed("node", "a")
+    polys = skew_join(anchors, labels, ["image", "a"], "inner", rows_per_task).select("image", "poly", "label")
     smallest = polys.groupBy("image", "label").agg(F.min("poly").alias("component"))
     return skew_join(polys, smallest, ["image", "label"], "inner", rows_per_task).select("image", "poly", "component")
 

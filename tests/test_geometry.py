@@ -211,3 +211,13 @@ def test_rim_candidates_are_few(spark):
     every = sum(_km((a, b), (c, d)) <= r for _, _, a, b in points for c, d, r in storms)
     assert sum(r["n"] for r in exposure.storm_hits(p, s).collect()) == every
     assert hits < every / 4 and len(compared) <= 3 * hits
+
+
+@pytest.mark.parametrize("tile", [1, 3])
+def test_components_across_tiles(spark, monkeypatch, tile):
+    rng = random.Random(tile)
+    data = [(f"i{k % 2}", k, rng.randrange(-300, 300), rng.randrange(0, 300), v) for k in range(60) for v in range(2)]
+    table = spark.createDataFrame(data, "image string, poly int, x int, y int, vertice int")
+    whole = rows(proximity.proximity_components(table))
+    monkeypatch.setattr(proximity, "TILE", tile)
+    assert rows(proximity.proximity_components(table)) == whole and len({r[2] for r in whole}) < 60
