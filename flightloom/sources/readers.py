@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str | None = None, sep: str = ",") -> DataFrame:
-    """Headered CSV. With a schema the columns are found by name, whatever their order; without one all are text.
+def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str | None = None, sep: str = ",", infer: bool = False) -> DataFrame:
+    """Headered CSV. With a schema the columns are found by name, whatever their order; without one all are text, or with
+    ``infer`` of the narrowest type that all of their cells have, which takes one more pass over all rows.
 
     A column that the header lacks is an error, and so is a file whose header differs from that of the first one.
     Columns beyond the schema are not returned. A cell that is not of its type is NULL.
@@ -18,7 +19,7 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str | None
     paths = path if isinstance(path, str) else list(path)
     reader = spark.read.option("header", True).option("sep", sep)
     if not schema:
-        return reader.csv(paths)
+        return reader.option("inferSchema", infer).option("samplingRatio", 1.0).csv(paths)
     wanted = StructType.fromDDL(schema)
     there = reader.csv(paths).columns
     missing = [f.name for f in wanted if f.name not in there]

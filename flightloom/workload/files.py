@@ -18,6 +18,8 @@ from .standins import q, rounded, sql
 REGISTRY = Registry()
 _add = REGISTRY.add
 
+_RECORDS_IN_FILE = 1000
+
 
 def _folder(spark, name: str) -> str:
     """A new folder that the driver and all executors reach."""
@@ -49,13 +51,23 @@ def csv_as_text(spark, d):
     return readers.read_csv(spark, path)
 
 
-@_add("csv_one_file", "SELECT n_nationkey, n_name, 1::BIGINT AS files FROM nation")
+@_add("csv_inferred", sql("SELECT flightid, origem, dt_dep, CAST(dt_dep / 7 AS DOUBLE) AS part, CASE WHEN dt_dep % 3 = 0 THEN 'x' ELSE '12' END AS mixed FROM movements", "movements"))
+def csv_inferred(spark, d):
+    """Types from the cells of all rows: numbers, fractions, and text where any cell is text."""
+    path = _folder(spark, "csv")
+    moves = s.movements(spark, d).select("flightid", "origem", "dt_dep")
+    mixed = F.when(F.col("dt_dep") % 3 == 0, "x").otherwise("12")
+    sinks.write_csv(moves.withColumns({"part": F.col("dt_dep") / 7, "mixed": mixed}), path)
+    return readers.read_csv(spark, path, infer=True)
+
+
+@_add("csv_one_file", "SELECT o_orderkey, o_orderpriority, 1::BIGINT AS files FROM orders")
 def csv_one_file(spark, d):
     path = _folder(spark, "csv")
-    nation = s.read(spark, d, "nation").select("n_nationkey", "n_name")
+    orders = s.read(spark, d, "orders").select("o_orderkey", "o_orderpriority")
     for _ in range(2):  # the second writing replaces the first
-        sinks.write_csv(nation, path, mode="overwrite", single_file=True)
-    back = readers.read_csv(spark, path, "n_nationkey INT, n_name STRING")
+        sinks.write_csv(orders, path, mode="overwrite", single_file=True)
+    back = readers.read_csv(spark, path, "o_orderkey LONG, o_orderpriority STRING")
     return back.withColumn("files", F.lit(len(back.inputFiles())).cast("long"))
 
 
@@ -84,8 +96,10 @@ def dictionary_table(spark, d):
 def json_records(spark, d):
     """Files that each hold an array of records, with the fields in another order than the schema's."""
     path = _folder(spark, "json")
-    customer = s.read(spark, d, "customer").withColumn("part", F.pmod(F.xxhash64("c_custkey"), F.lit(64)))
-    records = F.collect_list(F.struct("c_nationkey", "c_name", "c_custkey"))  # about a 64th of the table in a file
+    customer = s.read(spark, d, "customer")
+    files = customer.count() // _RECORDS_IN_FILE + 1
+    customer = customer.withColumn("part", F.pmod(F.xxhash64("c_custkey"), F.lit(files)))
+    records = F.collect_list(F.struct("c_nationkey", "c_name", "c_custkey"))  # about so many records, at any size of the table
     arrays = customer.groupBy("part").agg(F.to_json(records).alias("value"))
     arrays.repartition("part").write.partitionBy("part").text(path)
     return readers.read_json(spark, path, "c_custkey LONG, c_name STRING, c_nationkey INT").select("c_custkey", "c_name", "c_nationkey")
