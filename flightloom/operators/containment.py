@@ -130,18 +130,22 @@ def most_exposed(marked: DataFrame) -> DataFrame:
     return hits_per_flight(marked).orderBy(F.desc("inside"), F.desc("points"), "flightid").limit(1)
 
 
+def _points_of(points: DataFrame, flight: DataFrame) -> DataFrame:
+    """The points of the flight in a table of one row; the row goes to the tasks, not to the driver."""
+    return points.join(F.broadcast(flight.select("flightid").limit(1)), "flightid", "left_semi")
+
+
 def overlay_polygons(
-    points: DataFrame, vertices: DataFrame, flight, keys: Sequence[str] = ("poly",), size: float = 2.5
+    points: DataFrame, vertices: DataFrame, flight: DataFrame, keys: Sequence[str] = ("poly",), size: float = 2.5
 ) -> DataFrame:
-    """The polygons that hold points of one flight (given by its id), with the number of these points."""
-    own = points.where(F.col("flightid") == F.lit(flight))
-    found = containments(own, ring_edges(vertices, ["bucket", *keys]), keys, size)
+    """The polygons that hold points of one flight (the first row of ``flight``), with the number of these points."""
+    found = containments(_points_of(points, flight), ring_edges(vertices, ["bucket", *keys]), keys, size)
     return found.groupBy("bucket", *keys).agg(F.sum("copies").alias("points"))
 
 
-def overlay(points: DataFrame, vertices: DataFrame, flight, size: float = 2.5) -> DataFrame:
-    """Points of one flight (given by its id) in time order, with inside flag and start/end marks."""
-    own = cut_lineage(mark_inside(points.where(F.col("flightid") == F.lit(flight)), vertices, size=size))
+def overlay(points: DataFrame, vertices: DataFrame, flight: DataFrame, size: float = 2.5) -> DataFrame:
+    """Points of one flight (the first row of ``flight``) in time order, with inside flag and start/end marks."""
+    own = cut_lineage(mark_inside(_points_of(points, flight), vertices, size=size))
     # One row: there is one flight.
     ends = own.groupBy("flightid").agg(F.min("dt_radar").alias("_first"), F.max("dt_radar").alias("_last"))
     return own.join(F.broadcast(ends), "flightid").select(

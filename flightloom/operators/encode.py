@@ -51,22 +51,39 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], approximate: bool = F
     return df.agg(*[count(F.col(f"`{c}`")).alias(c) for c in columns])
 
 
+def _few_levels(df: DataFrame, columns: Sequence[str], most: int) -> dict[str, list]:
+    """The levels of each column that has at most ``most`` of them, in order.
+
+    A sketch of all columns rules out the others in one pass: with so few values it is off by much less than one. The levels of the
+    columns that are left come from one more job; columns with more levels than that leave it before the driver sees them.
+    """
+    sketch = distinct_counts(df, columns, approximate=True).first()
+    left = [c for c in columns if sketch[c] <= most + 1]
+    if not left:
+        return {}
+    cells = [F.struct(F.lit(i).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for i, c in enumerate(left)]
+    levels = df.select(F.explode(F.array(*cells)).alias("_c")).select("_c.*").where("value IS NOT NULL").distinct()
+    few = levels.groupBy("column").agg(F.collect_set("value").alias("values")).where(F.size("values") <= most)
+    found = {r["column"]: sorted(r["values"]) for r in few.collect()}  # at most ``most`` values for each column
+    return {c: found.get(i, []) for i, c in enumerate(left) if i in found or sketch[c] == 0}
+
+
 def low_cardinality(df: DataFrame, columns: Sequence[str], most: int = 4) -> list[str]:
-    row = distinct_counts(df, columns).first()
-    return [c for c in columns if row[c] <= most]
+    """The columns with at most ``most`` distinct non-null values."""
+    few = _few_levels(df, columns, most)
+    return [c for c in columns if c in few]
 
 
 def one_hot(df: DataFrame, columns: Sequence[str], most: int = 4) -> DataFrame:
-    """Replace each column with at most ``most`` levels by 0/1 columns ``<column>_<level>``."""
+    """Replace each column with at most ``most`` levels by 0/1 columns ``<column>_<level>``; a column with more is an error."""
+    few = _few_levels(df, columns, most)
     out = df
     for column in columns:
-        # At most ``most`` rows, checked below.
-        levels = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(most + 1).collect()]
-        if len(levels) > most:
+        if column not in few:
             raise ValueError(f"{column} has more than {most} levels")
-        for level in levels:
-            hit = F.when(F.col(column) == F.lit(level), 1).otherwise(0)
-            out = out.withColumn(f"{column}_{safe_name(str(level))}", hit)
+        for level in few[column]:
+            hit = F.when(F.col(f"`{column}`").cast("string") == F.lit(level), 1).otherwise(0)
+            out = out.withColumn(f"{column}_{safe_name(level)}", hit)
         out = out.drop(column)
     return out
 

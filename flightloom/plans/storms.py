@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import times
 from ..operators import containment, exposure, polygons
 from ..operators.tracks import degrees_of
+from ..session import cut_lineage
 
 
 def storms_by_hour(vertices: DataFrame, time, radius=None) -> DataFrame:
@@ -39,7 +40,8 @@ def most_exposed_flight(points: DataFrame, vertices: DataFrame, start: str, hour
     """
     begin = F.lit(start).cast(points.schema["dt_radar"].dataType)
     window = points.where((F.col("dt_radar") >= begin) & (F.col("dt_radar") < times.add_hours(begin, hours)))
-    best = containment.most_exposed(containment.mark_inside(window, vertices, size=size)).first()
-    if best is None:
+    best = cut_lineage(containment.most_exposed(containment.mark_inside(window, vertices, size=size)))
+    named = best.first()
+    if named is None:
         raise ValueError("no track points in the window")
-    return best["flightid"], containment.overlay(window, vertices, best["flightid"], size)
+    return named["flightid"], containment.overlay(window, vertices, best, size)

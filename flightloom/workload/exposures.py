@@ -104,8 +104,7 @@ def most_exposed(spark, d):
 )
 def route_overlay(spark, d):
     points, vertices = s.geo_points(spark, d), s.geo_vertices(spark, d)
-    best = containment.most_exposed(containment.mark_inside(points, vertices)).first()
-    return containment.overlay(points, vertices, best["flightid"])
+    return containment.overlay(points, vertices, containment.most_exposed(containment.mark_inside(points, vertices)))
 
 
 @_add(
@@ -118,8 +117,7 @@ def route_overlay(spark, d):
 )
 def route_hit_polygons(spark, d):
     points, vertices = s.geo_points(spark, d), s.geo_vertices(spark, d)
-    best = containment.most_exposed(containment.mark_inside(points, vertices)).first()
-    return containment.overlay_polygons(points, vertices, best["flightid"])
+    return containment.overlay_polygons(points, vertices, containment.most_exposed(containment.mark_inside(points, vertices)))
 
 
 _WINDOW = "dt_radar >= 1704844800000 AND dt_radar < 1704844800000 + 6 * 3600000"
