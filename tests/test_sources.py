@@ -77,3 +77,24 @@ def test_tracks_by_day_and_dictionary(spark, tmp_path):
 
 def test_contract_has_seventy_three_columns():
     assert len(schemas.FEATURES) == len(set(schemas.FEATURES)) == 73
+
+
+def test_csv_types_from_all_rows(spark, tmp_path):
+    lines = "\n".join(f"{i},{i / 2},{'x' if i == 499 else i}" for i in range(500))
+    (tmp_path / "a.csv").write_text(f"n,half,mixed\n{lines}\n")
+    got = readers.read_csv(spark, str(tmp_path / "a.csv"), infer=True)
+    assert [f.dataType.simpleString() for f in got.schema] == ["int", "double", "string"] and got.count() == 500
+
+
+def test_one_csv_file_has_all_rows_in_order(spark, tmp_path):
+    path = str(tmp_path / "one")
+    df = spark.range(5000, numPartitions=7).withColumn("a,b", F.concat(F.lit('say "x", '), F.col("id").cast("string")))
+    sinks.write_csv(df, path, single_file=True)
+    back = readers.read_csv(spark, path)
+    assert back.columns == ["id", "a,b"] and len(back.inputFiles()) == 1
+    assert [int(r[0]) for r in back.collect()] == list(range(5000))
+    assert [p.name for p in tmp_path.iterdir()] == ["one"]
+    with pytest.raises(ValueError, match="there already"):
+        sinks.write_csv(df, path, single_file=True)
+    sinks.write_csv(df.limit(0), path, mode="overwrite", single_file=True)
+    assert readers.read_csv(spark, path).count() == 0 and readers.read_csv(spark, path).columns == ["id", "a,b"]
