@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from ..functions.geo import ray_crosses
 from ..session import cut_lineage
 from .polygons import ring_edges
-from .skew import collapse_copies, hot_keys, skew_join
+from .skew import deal, hot_keys, skew_join
 
 _CELL = ["bucket", "_cx", "_cy"]
 
 # Slack when an edge is called left or right of a whole square.
 _SLACK = 1e-9
 
+#: Points of a square that one task solves at once, and comparisons of points and edges held at a time.
+SQUARE_ROWS = 500_000
+_PAIRS = 1_000_000
+
 
 def _edge_cells(edges: DataFrame, keys: Sequence[str], size: float, rows_per_task: int | None) -> DataFrame:
     """What the points of each grid square may meet on their right, per polygon.
@@ -64,29 +71,79 @@ def _in_squares(points: DataFrame, size: float) -> DataFrame:
     return known.withColumns({n: c.cast("int") for n, c in squares.items()})
 
 
+def _polygon_cells(edges: DataFrame, keys: Sequence[str], size: float, rows_per_task: int | None) -> DataFrame:
+    """One row per grid square and polygon: the edges to test, and whether those met by all points of the square are odd in number."""
+    edge = F.when(~F.col("always"), F.struct("x1", "y1", "x2", "y2"))
+    cells = _edge_cells(edges, ["bucket", *keys], size, rows_per_task)
+    return cells.groupBy(*_CELL, *keys).agg(F.collect_list(edge).alias("edges"), F.max("always").alias("odd"))
+
+
+def _held(points: pa.Table, polygons: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """For some points after the other: the first one's number, and a table of points and polygons, true where the polygon holds the point."""
+    lists = polygons["edges"].combine_chunks()
+    sizes = np.asarray(pc.list_value_length(lists))
+    edges = lists.flatten()
+    x1, y1, x2, y2 = (np.asarray(edges.field(c))[None, :] for c in ("x1", "y1", "x2", "y2"))
+    odd = polygons["odd"].to_numpy()
+    filled = sizes > 0
+    starts = (np.cumsum(sizes) - sizes)[filled]
+    step = max(1, _PAIRS // max(1, x1.size))
+    lon, lat = (points[c].to_numpy()[:, None] for c in ("lon", "lat"))
+    for at in range(0, points.num_rows, step):
+        px, py = lon[at : at + step], lat[at : at + step]
+        held = np.repeat(odd[None, :], len(px), axis=0)
+        if starts.size:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                crossed = ((y1 > py) != (y2 > py)) & (px < (x2 - x1) * (py - y1) / (y2 - y1) + x1)
+            held[:, filled] ^= np.logical_xor.reduceat(crossed, starts, axis=1)
+        yield at, held
+
+
+def _per_square(points: DataFrame, edges: DataFrame, keys: Sequence[str], size: float, rows_per_task: int | None, solve, schema) -> DataFrame:
+    """``solve`` applied to the distinct points of a square, with ``copies``, and the polygons it may meet.
+
+    The points are shuffled once, by square (crowded squares to several tasks); copies are counted and polygons met where that puts them,
+    so no row per crossing, nor per point and polygon, is written anywhere.
+    """
+    limit = rows_per_task or SQUARE_ROWS
+    squares = _in_squares(points.select(_POINT), size)
+    cells = _polygon_cells(edges, keys, size, rows_per_task)
+    dealt, repeated = deal(squares, cells, _CELL, hot_keys(squares, _CELL, limit), limit)
+    at = [*_CELL, "_slice"]
+    once = dealt.repartition(*at).groupBy("_cx", "_cy", "_slice", *_POINT).agg(F.count(F.lit(1)).alias("copies"))
+    return once.groupBy(*at).cogroup(repeated.groupBy(*at)).applyInArrow(solve, schema)
+
+
 def containments(
-    points: DataFrame, edges: DataFrame, keys: Sequence[str], size: float, rows_per_task: int | None = None
+    points: DataFrame, edges: DataFrame, keys: Sequence[str], size: float, rows_per_task: int | None = None, per_point: bool = True
 ) -> DataFrame:
     """(point, copies, polygon keys) for each polygon of the same bucket that holds the point.
 
     ``points``: flightid, dt_radar, lon, lat, bucket; equal points are counted as copies.
     ``edges``: bucket, the keys, vertice, x1, y1, x2, y2. An odd number of crossed edges
-    means inside. Both sides are shuffled by square (no broadcast), so that all crossings
-    of a point lie in one task and are counted there without another shuffle.
+    means inside. Without ``per_point`` only (bucket, polygon keys, points), the sum of copies per square and polygon.
     """
-    cells = _edge_cells(edges, ["bucket", *keys], size, rows_per_task)
-    hot = hot_keys(_in_squares(points.select(_POINT), size), _CELL, rows_per_task)
-    keyed = _in_squares(distinct_points(points), size)
-    met = skew_join(keyed, cells.hint("merge"), _CELL, "inner", rows_per_task, hot=hot)
-    crosses = ray_crosses(*[F.col(c) for c in ("lon", "lat", "x1", "y1", "x2", "y2")])
-    # Grouping by the square as well keeps the rows where the join has put them.
-    found = met.where(F.col("always") | crosses).groupBy("_cx", "_cy", *_POINT, "copies", *keys)
-    odd = found.agg((F.count(F.lit(1)) % 2).alias("_odd")).where(F.col("_odd") == 1)
-    return odd.select(*_POINT, "copies", *keys)
+    polygon = ["bucket", *keys]
+    kinds = [edges.schema[c] for c in polygon]
 
+    def pairs(here: pa.Table, polygons: pa.Table) -> pa.Table:
+        none = np.zeros(0, int)
+        found = [(at + p, q) for at, held in _held(here, polygons) for p, q in [np.nonzero(held)]]
+        point, poly = (np.concatenate([f[i] for f in found] or [none]) for i in (0, 1))
+        columns = [*(here[c].take(point) for c in (*_POINT, "copies")), *(polygons[k].take(poly) for k in keys)]
+        return pa.table(columns, names=[*_POINT, "copies", *keys])
 
-def distinct_points(points: DataFrame) -> DataFrame:
-    return collapse_copies(points.select(_POINT), "copies")
+    def numbers(here: pa.Table, polygons: pa.Table) -> pa.Table:
+        copies, total = here["copies"].to_numpy(), np.zeros(polygons.num_rows, np.int64)
+        for at, held in _held(here, polygons):
+            total += copies[at : at + len(held)] @ held
+        hit = np.nonzero(total)[0]
+        return pa.table([*(polygons[c].take(hit) for c in polygon), pa.array(total[hit])], names=[*polygon, "points"])
+
+    if not per_point:
+        return _per_square(points, edges, keys, size, rows_per_task, numbers, StructType([*kinds, StructField("points", LongType())]))
+    schema = StructType([*(points.schema[c] for c in _POINT), StructField("copies", LongType()), *kinds[1:]])
+    return _per_square(points, edges, keys, size, rows_per_task, pairs, schema)
 
 
 def mark_inside(
@@ -96,13 +153,18 @@ def mark_inside(
 
     ``vertices``: bucket, keys, vertice, x (longitude), y (latitude).
     """
-    found = containments(points, ring_edges(vertices, ["bucket", *keys]), keys, size, rows_per_task)
-    once = F.lit(1).cast("long").alias("copies")
-    none = F.lit(0).cast("long").alias("copies")
-    marked = points.select(*_POINT, once, F.lit(0).alias("inside")).unionByName(
-        found.select(*_POINT, none, F.lit(1).alias("inside"))
-    )
-    return marked.groupBy(*_POINT).agg(F.sum("copies").alias("copies"), F.max("inside").alias("inside"))
+
+    def solve(here: pa.Table, polygons: pa.Table) -> pa.Table:
+        inside = [held.any(axis=1) for _, held in _held(here, polygons)] or [np.zeros(0, bool)]
+        marked = here.select([*_POINT, "copies"])
+        return marked.append_column("inside", pa.array(np.concatenate(inside).astype(np.int32)))
+
+    edges = ring_edges(vertices, ["bucket", *keys])
+    schema = StructType([points.schema[c] for c in _POINT])
+    schema = schema.add("copies", LongType()).add("inside", IntegerType())
+    placed = _per_square(points, edges, keys, size, rows_per_task, solve, schema)
+    nowhere = points.where("lon IS NULL OR lat IS NULL").groupBy(*_POINT).agg(F.count(F.lit(1)).alias("copies"), F.lit(0).alias("inside"))
+    return placed.unionByName(nowhere)
 
 
 def hits_per_flight(marked: DataFrame) -> DataFrame:
@@ -116,10 +178,8 @@ def polygons_hit(
 ) -> DataFrame:
     """Each polygon with the number of points in it and a 0/1 hit flag."""
     edges = ring_edges(vertices, ["bucket", *keys])
-    found = containments(points, edges, keys, size, rows_per_task)
-    both = edges.select("bucket", *keys, F.lit(0).cast("long").alias("points")).unionByName(
-        found.select("bucket", *keys, F.col("copies").alias("points"))
-    )
+    found = containments(points, edges, keys, size, rows_per_task, per_point=False)
+    both = edges.select("bucket", *keys, F.lit(0).cast("long").alias("points")).unionByName(found)
     return both.groupBy("bucket", *keys).agg(F.sum("points").alias("points")).withColumn(
         "hit", F.when(F.col("points") > 0, 1).otherwise(0)
     )
@@ -139,8 +199,8 @@ def overlay_polygons(
     points: DataFrame, vertices: DataFrame, flight: DataFrame, keys: Sequence[str] = ("poly",), size: float = 2.5
 ) -> DataFrame:
     """The polygons that hold points of one flight (the first row of ``flight``), with the number of these points."""
-    found = containments(_points_of(points, flight), ring_edges(vertices, ["bucket", *keys]), keys, size)
-    return found.groupBy("bucket", *keys).agg(F.sum("copies").alias("points"))
+    found = containments(_points_of(points, flight), ring_edges(vertices, ["bucket", *keys]), keys, size, per_point=False)
+    return found.groupBy("bucket", *keys).agg(F.sum("points").alias("points"))
 
 
 def overlay(points: DataFrame, vertices: DataFrame, flight: DataFrame, size: float = 2.5) -> DataFrame:

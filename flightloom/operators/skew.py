@@ -57,7 +57,15 @@ def skew_join(
         hot = hot_keys(left, keys, limit) if rows_per_task else None
     if hot is None:
         return left.join(right, list(keys), how)
-    plan = hot.withColumn("_slices", F.ceil(F.col("_rows") / F.lit(limit)).cast("int")).drop("_rows")
+    dealt, repeated = deal(left, right, keys, hot, limit)
+    return dealt.join(repeated, [*keys, "_slice"], how).drop("_slice")
+
+
+def deal(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: DataFrame | None, rows_per_task: int | None = None):
+    """Both sides with a column ``_slice``: left rows of a hot key are dealt to its slices, right rows stand in each; 0 for other keys."""
+    if hot is None:
+        return left.withColumn("_slice", F.lit(0)), right.withColumn("_slice", F.lit(0))
+    plan = hot.withColumn("_slices", F.ceil(F.col("_rows") / F.lit(rows_per_task or ROWS_PER_TASK)).cast("int")).drop("_rows")
     slices = F.coalesce("_slices", F.lit(1))
     dealt = null_safe_join(left, plan, keys, "left").select(
         *left.columns, F.pmod(F.xxhash64(*left.columns), slices).cast("int").alias("_slice")
@@ -65,4 +73,4 @@ def skew_join(
     repeated = null_safe_join(right, plan, keys, "left").select(
         *right.columns, F.explode(F.sequence(F.lit(0), slices - 1)).alias("_slice")
     )
-    return dealt.join(repeated, [*keys, "_slice"], how).drop("_slice")
+    return dealt, repeated

@@ -131,6 +131,24 @@ def test_containment_equals_brute_force(spark, seed, limit, size):
     assert {(r["bucket"], r["poly"]): r["points"] for r in found.collect()} == hits
 
 
+def test_crossings_are_not_rows(spark):
+    """Points are shuffled once, by square, and meet the polygons there: nothing is grouped by point and polygon."""
+    ring = [(0, p, k, x + p / 9, y) for p in range(5) for k, (x, y) in enumerate([(0.0, 0.0), (9.0, 1.0), (8.0, 9.0), (1.0, 8.0)])]
+    vertices = spark.createDataFrame(ring, "bucket int, poly int, vertice int, x double, y double")
+    data = [("f", i, float(i % 10), float(i % 7), 0) for i in range(70)] + [("g", 1, None, 1.0, 0), ("g", 1, None, 1.0, 0), ("g", 2, 1.0, 1.0, None)]
+    points = spark.createDataFrame(data, "flightid string, dt_radar long, lon double, lat double, bucket int")
+    marked = containment.mark_inside(points, vertices)
+    plan = marked._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Aggregate [_cx" in plan and "poly" not in plan[: plan.index("FlatMapCoGroupsInArrow")]
+    assert rows(marked.where("flightid = 'g'"), "dt_radar", "copies", "inside") == [(1, 2, 0), (2, 1, 0)]
+    edges = polygons.ring_edges(vertices, ["bucket", "poly"])
+    found = containment.containments(points, edges, ["poly"], 2.5)
+    sums = found.groupBy("bucket", "poly").agg(F.sum("copies").alias("points"))
+    assert found.columns == ["flightid", "dt_radar", "lon", "lat", "bucket", "copies", "poly"]
+    summed = containment.containments(points, edges, ["poly"], 2.5, per_point=False).groupBy("bucket", "poly").agg(F.sum("points"))
+    assert rows(sums) == rows(summed) and len(rows(sums)) == 5
+
+
 def test_most_exposed_falls_back_to_densest(spark):
     marked = spark.createDataFrame([("a", 0, 1), ("b", 0, 1), ("b", 0, 2)], "flightid string, inside int, copies long")
     assert containment.most_exposed(marked).first()["flightid"] == "b"
