@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..session import cut_lineage
 from .skew import hot_keys, skew_join
 
 KM_PER_DEGREE = geo.EARTH_KM * math.pi / 180.0
@@ -55,9 +56,7 @@ def storms_of_cells(cells: DataFrame, storms: DataFrame) -> DataFrame:
     levels = [cells.select("hour_ts", F.col("_row").alias("row"), F.col("_col").alias("col"))]
     for _ in SIDES[1:]:
         levels.append(levels[-1].select("hour_ts", F.shiftright("row", 3).alias("row"), F.shiftright("col", 3).alias("col")).distinct())
-    sides = storms.select("hour_ts", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), "radius_km")
-    sides = sides.where("radius_km >= 0 AND s_lat IS NOT NULL AND s_lon IS NOT NULL")
-    met = _judged(levels.pop().join(sides.withColumn("n", F.lit(1).cast("long")), "hour_ts"), SIDES[0])
+    met = _judged(levels.pop().join(_known(storms).withColumn("n", F.lit(1).cast("long")), "hour_ts"), SIDES[0])
     for side in SIDES[1:]:
         above = met.withColumnsRenamed({"row": "_row", "col": "_col"})
         squares = levels.pop().withColumns({"_row": F.shiftright("row", 3), "_col": F.shiftright("col", 3)})
@@ -104,10 +103,109 @@ def storm_hits(points: DataFrame, storms: DataFrame, rows_per_task: int | None =
 _POINT = ["flightid", "dt_radar", "hour_ts", "lat", "lon"]
 
 
+def _known(storms: DataFrame) -> DataFrame:
+    sides = storms.select("hour_ts", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), "radius_km")
+    return sides.where("hour_ts IS NOT NULL AND radius_km >= 0 AND s_lat IS NOT NULL AND s_lon IS NOT NULL")
+
+
+def _spans(storms: DataFrame, side: float) -> DataFrame:
+    """Storms with a ``row`` of squares: the columns ``_west`` to ``_east`` that a storm may reach there, and ``_from`` to ``_to``, which it covers.
+
+    Columns count on beyond the ends of the globe; none are nulls. The middle of a square is as far as :func:`_stand` allows.
+    """
+    lat = F.lit(-90.0) + (F.col("row") + 0.5) * side
+    wide = F.cos(F.radians(F.greatest(F.abs(lat) - side / 2, F.lit(0.0))))
+    half = (side / 2 * F.sqrt(1 + wide * wide) * KM_PER_DEGREE + SLACK) / geo.EARTH_KM
+    placed = storms.withColumns(
+        {
+            "_angle": F.col("radius_km") / geo.EARTH_KM,
+            "_half": half,
+            "_up": F.sin(F.radians(lat)) * F.sin(F.radians("s_lat")),
+            "_flat": F.greatest(F.cos(F.radians(lat)) * F.abs(F.cos(F.radians("s_lat"))), F.lit(1e-15)),
+            # A centre beyond a pole lies on the other side of the globe.
+            "_lon": F.col("s_lon") + F.when(F.cos(F.radians("s_lat")) < 0, 180.0).otherwise(0.0),
+        }
+    )
+    near, far = F.col("_angle") - F.col("_half"), F.col("_angle") + F.col("_half")
+    reach = F.when(far >= math.pi, -2.0).otherwise((F.cos(far) - F.col("_up")) / F.col("_flat"))
+    cover = F.when(near >= math.pi, -2.0).when(near >= 0, (F.cos(near) - F.col("_up")) / F.col("_flat"))
+    placed = placed.withColumns({"_reach": reach, "_cover": cover})
+
+    def wide_by(c: str, slack: float) -> Column:
+        return F.when(F.col(c) <= -1, 360.0).when(F.col(c) <= 1, F.degrees(F.acos(c)) + slack)
+
+    placed = placed.withColumns({"_reach": wide_by("_reach", 1e-6), "_cover": wide_by("_cover", -1e-6)})
+    ends = {}
+    for west, east, c in (("_west", "_east", "_reach"), ("_from", "_to", "_cover")):
+        ends[west] = F.ceil((F.col("_lon") - F.col(c) + 180.0) / side - 0.5)
+        ends[east] = F.floor((F.col("_lon") + F.col(c) + 180.0) / side - 0.5)
+    return placed.withColumns(ends).drop("_angle", "_half", "_up", "_flat", "_lon", "_reach", "_cover")
+
+
+def _rows(storms: DataFrame, side: float, low: Column, high: Column) -> DataFrame:
+    """Each storm once for each row of squares from ``low`` to ``high`` that it may reach."""
+    reach = F.degrees(F.col("radius_km") / geo.EARTH_KM) + 1e-6
+    lat = F.degrees(F.asin(F.sin(F.radians("s_lat"))))
+    first = F.greatest(low, F.floor((lat - reach + 90.0) / side)).cast("int")
+    last = F.least(high, F.floor((lat + reach + 90.0) / side)).cast("int")
+    return storms.withColumns({"_low": first, "_high": last}).where("_low <= _high").withColumn("row", F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
+
+
+def _bits(west: str, east: str) -> Column:
+    """The columns of a row of 64 squares as bits; 0 for none."""
+    some = f"shiftrightunsigned(-1L, CAST(63 - {east} + {west} AS INT))"
+    at = f"CAST(pmod({west}, 64) AS INT)"
+    turned = f"(shiftleft({some}, {at}) | shiftrightunsigned({some}, 64 - {at}))"
+    return F.expr(f"CASE WHEN {west} IS NULL OR {east} < {west} THEN 0L WHEN {east} - {west} >= 63 THEN -1L ELSE {turned} END")
+
+
+def _within(df: DataFrame, covered: DataFrame, row: Column, col: Column) -> DataFrame:
+    """The rows with ``_in``, whether their square is among the covered ones, which come as one row of 64 bits per hour and row."""
+    bits = covered.select("hour_ts", F.col("row").alias("_r"), "_bits")
+    joined = df.withColumns({"_r": row, "_c": col}).join(bits, ["hour_ts", "_r"], "left")
+    bit = F.expr("shiftright(_bits, _c) & 1")
+    return joined.withColumn("_in", F.coalesce(bit == 1, F.lit(False))).drop("_r", "_c", "_bits")
+
+
 def point_exposure(points: DataFrame, storms: DataFrame, rows_per_task: int | None = None) -> DataFrame:
-    """Per (flight, time): 1 if any storm of the hour reaches the point, else 0."""
-    met = _met(points.select(_POINT), storms, rows_per_task)
-    return met.groupBy("flightid", "dt_radar").agg(F.max((F.col("n") > 0).cast("int")).alias("flight_through_area"))
+    """Per (flight, time): 1 if any storm of the hour reaches the point, else 0.
+
+    A square that some storm covers is settled for all its points, whatever else reaches into it: the squares of middle size are 64 bits per
+    hour and row, and only in squares that no storm covers are storms laid out on the smallest squares and compared with points.
+    """
+    middle, small = SIDES[-2], SIDES[-1]
+    parts = round(middle / small)
+    # Few large files would leave the storms to few tasks.
+    known = _known(storms).repartition("hour_ts", "s_lat", "s_lon")
+    laid = _spans(_rows(known, middle, F.lit(0), F.lit(round(180 / middle) - 1)), middle)
+    laid = laid.select("hour_ts", "row", *_STORM, _bits("_west", "_east").alias("_met"), _bits("_from", "_to").alias("_bits"))
+    covered = cut_lineage(laid.where("_bits != 0").groupBy("hour_ts", "row").agg(F.bit_or("_bits").alias("_bits")))
+    rim = laid.drop("_bits").join(covered, ["hour_ts", "row"], "left")
+    rim = rim.withColumn("_met", F.expr("_met & ~coalesce(_bits, 0L)")).where("_met != 0").withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    rim = rim.where(F.expr("shiftright(_met, _at) & 1") == 1).withColumn("_row", F.col("row"))
+    spans = _spans(_rows(rim.drop("row"), small, F.col("_row") * parts, F.col("_row") * parts + parts - 1), small)
+    each = spans.withColumn("_col", F.explode(F.sequence(F.col("_at") * parts, F.col("_at") * parts + parts - 1)))
+    n_cols = F.lit(round(360 / small))
+
+    def among(west: str, east: str) -> Column:
+        return F.coalesce(F.pmod(F.col("_col") - F.col(west), n_cols) <= F.col(east) - F.col(west), F.lit(False))
+
+    each = each.where(among("_west", "_east"))
+    storm = [F.when(~among("_from", "_to"), F.col(c)).alias(c) for c in _STORM]
+    near = each.select("hour_ts", F.col("row").alias("_row"), "_col", *storm, F.lit(True).alias("_met")).distinct()
+
+    placed = _within(_cells(points.select(_POINT)), covered, F.floor(F.col("_row") / parts).cast("int"), F.floor(F.col("_col") / parts).cast("int"))
+    settled = placed.where("_in").select("flightid", "dt_radar", F.lit(1).alias("hit"))
+    open_ = placed.where("NOT _in").drop("_in")
+    hot = None
+    if rows_per_task:
+        open_ = open_.distinct()
+        hot = hot_keys(open_, _CELL, rows_per_task)
+    pairs = skew_join(open_, near, _CELL, "left", rows_per_task, hot=hot)
+    reached = geo.great_circle_km(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon")) <= F.col("radius_km")
+    hit = F.when(F.col("_met") & (F.col("radius_km").isNull() | reached), 1).otherwise(0)
+    every = settled.unionByName(pairs.select("flightid", "dt_radar", hit.alias("hit")))
+    return every.groupBy("flightid", "dt_radar").agg(F.max("hit").alias("flight_through_area"))
 
 
 def flight_exposure(points: DataFrame, storms: DataFrame, rows_per_task: int | None = None) -> DataFrame:

@@ -231,6 +231,23 @@ def test_rim_candidates_are_few(spark):
     assert hits < every / 4 and len(compared) <= 3 * hits
 
 
+def test_covered_squares_settle_their_points(spark, monkeypatch):
+    """Where one storm covers a square, no other storm of the hour is laid out or compared there."""
+    hour = F.timestamp_seconds(F.lit(0)).alias("hour_ts")
+    storms = [(0.0, 0.0, 19000.0)] + [(a * 3.0 + 1.0, b * 7.0, 400.0) for a in range(-20, 20) for b in range(-20, 20)]
+    s = spark.createDataFrame(storms, "lat double, lon double, radius_km double").select("*", hour)
+    points = [(i, i, -80.0 + i % 160, -170.0 + i * 7 % 340) for i in range(300)] + [(900, 900, 0.5, 179.5)]
+    p = spark.createDataFrame([tuple(map(float, r)) for r in points], "flightid double, dt_radar double, lat double, lon double").select("*", hour)
+    near = []
+    join = exposure.skew_join
+    monkeypatch.setattr(exposure, "skew_join", lambda left, right, *a, **k: near.append((left, right)) or join(left, right, *a, **k))
+    got = exposure.point_exposure(p, s)
+    want = {float(f): int(any(_km((lat, lon), (c, d)) <= r for c, d, r in storms)) for f, _, lat, lon in points}
+    assert {r["flightid"]: r["flight_through_area"] for r in got.collect()} == want
+    left, right = near[0]
+    assert left.count() < 10 and right.count() < 5000
+
+
 @pytest.mark.parametrize("tile", [1, 3])
 def test_components_across_tiles(spark, monkeypatch, tile):
     rng = random.Random(tile)
