@@ -68,20 +68,23 @@ def build_tables(
     actual: DataFrame,
     exposure: DataFrame,
 ) -> Tables:
-    """Aggregate every source once. ``points`` in radians, times in epoch milliseconds."""
+    """Aggregate every source once. ``points`` in radians, times in epoch milliseconds.
+
+    Weather, history and exposure are written, since training and scoring read them both.
+    """
     held, pred, real = (calendars.with_calendar(t) for t in (holdings, predicted, actual))
     summary = tracks.with_route(tracks.track_summary(tracks.degrees_of(points)), prepared)
     return Tables(
         holdings=held,
         holding_profiles=calendars.profiles(held, calendars.mean_and_sum("esperas")),
-        weather_x=weather.hourly_weather(weather.parse_reports(observed, "metar")),
-        weather_y=weather.hourly_weather(weather.parse_reports(forecast, "metaf")),
+        weather_x=cut_lineage(weather.hourly_weather(weather.parse_reports(observed, "metar"))),
+        weather_y=cut_lineage(weather.hourly_weather(weather.parse_reports(forecast, "metaf"))),
         predicted=pred,
         predicted_profiles=calendars.profiles(pred, calendars.mean_and_sum("troca", "troca_prev_mean", "troca_prev_sum")),
         actual=real,
         actual_profiles=calendars.profiles(real, calendars.count_of("aero")),
-        history=tracks.route_history(summary).withColumnsRenamed(HISTORY_NAMES),
-        exposure=exposure,
+        history=cut_lineage(tracks.route_history(summary).withColumnsRenamed(HISTORY_NAMES)),
+        exposure=cut_lineage(exposure),
     )
 
 
