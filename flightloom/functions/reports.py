@@ -99,7 +99,7 @@ def add_report_columns(df: DataFrame, report: str) -> DataFrame:
     Visibility is in metres and pressure in hectopascal, also where the report has miles (with
     fractions) or inches. Trends and remarks after the observation are not read.
 
-    Four projections, each using the columns of the one before, so that the text is
+    Five projections, each using the columns of the one before, so that the text is
     tidied once and each pattern is searched once per row.
     """
     part = _number("_over") / F.nullif(_number("_under"), F.lit(0.0))
@@ -116,7 +116,8 @@ def add_report_columns(df: DataFrame, report: str) -> DataFrame:
         "Tempo": F.col("_weather"),
         "Céu": F.col("_sky"),
     }
-    searched = df.withColumn("_text", observed(tidy(F.col(report)))).withColumns({n: c() for n, c in _RAW.items()})
+    tidied = df.withColumn("_tidy", tidy(F.col(report))).withColumn("_text", observed(F.col("_tidy")))
+    searched = tidied.withColumns({n: c() for n, c in _RAW.items()})
     searched = searched.withColumns({n: c() for n, c in _PARTS.items()})
     read = searched.withColumns({n: F.when(F.col("parse_ok"), c) for n, c in fields.items()})
-    return read.drop("_text", *[n for n in (*_RAW, *_PARTS) if n != "parse_ok"])
+    return read.drop("_tidy", "_text", *[n for n in (*_RAW, *_PARTS) if n != "parse_ok"])

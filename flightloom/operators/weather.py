@@ -44,9 +44,23 @@ def hourly_weather(parsed: DataFrame, time_ms: str = "hora", airport: str = "aer
 
 def attach_weather(flights: DataFrame, hourly: DataFrame, airport: str, hour: str, suffix: str) -> DataFrame:
     """Add the 24 statistics of the report hour at the given airport, names ending in suffix."""
-    measured = [c for c in hourly.columns if c not in ("aero", "hour_ts")]
-    side = hourly.withColumnsRenamed({c: c + suffix for c in measured})
-    return attach(flights, side, [airport, hour], ["aero", "hour_ts"])
+    return attach_blocks(flights, [(hourly, airport, hour, suffix)])
+
+
+def attach_blocks(flights: DataFrame, blocks: Sequence[tuple[DataFrame, str, str, str]]) -> DataFrame:
+    """``attach_weather`` for each (hourly, airport, hour, suffix).
+
+    A block goes through the joins as one column, so that the wide rows are made once, after the last join.
+    """
+    out, cells, taken = flights, [], set(flights.columns)
+    for i, (hourly, airport, hour, suffix) in enumerate(blocks):
+        measured = [c for c in hourly.columns if c not in ("aero", "hour_ts")]
+        side = hourly.select("aero", "hour_ts", F.struct(*[F.col(f"`{c}`") for c in measured]).alias(f"_block{i}"))
+        out = attach(out, side, [airport, hour], ["aero", "hour_ts"])
+        names = {c: c + suffix + ("_y" if c + suffix in taken else "") for c in measured}
+        cells += [F.col(f"_block{i}").getField(c).alias(n) for c, n in names.items()]
+        taken |= set(names.values())
+    return out.select(*[F.col(f"`{c}`") for c in flights.columns], *cells)
 
 
 def first_report(reports: DataFrame, keys: Sequence[str], text: str, order: Sequence[str]) -> DataFrame:

@@ -95,8 +95,7 @@ def add_features(rows: DataFrame, tables: Tables) -> DataFrame:
     """
     out = calendars.bucket_sum(rows, tables.holdings, "esperas", "esperas")
     out = calendars.attach_profiles(out, tables.holding_profiles, "origem", HOLDING_NAMES)
-    out = weather.attach_weather(out, tables.weather_x, "destino", "report_hour", "_x")
-    out = weather.attach_weather(out, tables.weather_y, "destino", "report_hour", "_y")
+    out = weather.attach_blocks(out, [(tables.weather_x, "destino", "report_hour", "_x"), (tables.weather_y, "destino", "report_hour", "_y")])
     out = calendars.bucket_sum(out, tables.predicted, "troca", "troca")
     out = calendars.bucket_count(out, tables.actual, "trocareal", at_least=1)
     out = out.withColumn("_short", drop_prefix(F.col("origem"), 2))

@@ -64,6 +64,11 @@ def weather_names(suffix: str) -> list[str]:
     return [f"{c}{n}{suffix}" for c in NUMERIC_FIELDS for n in ("mean", "min", "max", "std")]
 
 
+def _hourly(parsed):
+    """Hourly statistics, rounded once per airport and hour; a flight's cells are copies of them."""
+    return rounded(weather.hourly_weather(parsed), 4)
+
+
 _COLUMNS = ", ".join(f'"{c}"' for c in [*NUMERIC_FIELDS, *TEXT_FIELDS])
 
 
@@ -109,9 +114,9 @@ def _stats_query(suffix: str) -> str:
     sql(_stats_query("_x"), "flights", "tidied", parsed=parsed_sql("tidied"), w=stats_sql("parsed", "_x")),
 )
 def weather_stats(spark, d):
-    hourly = weather.hourly_weather(weather.parse_reports(s.reports(spark, d), "metar"))
+    hourly = _hourly(weather.parse_reports(s.reports(spark, d), "metar"))
     out = weather.attach_weather(movements(spark, d), hourly, "destino", "arr_hour", "_x")
-    return out.select("flightid", *[r(F.col(f"`{n}`"), 4).alias(n) for n in weather_names("_x")])
+    return out.select("flightid", *[F.col(f"`{n}`") for n in weather_names("_x")])
 
 
 @_add(
@@ -125,11 +130,10 @@ def weather_stats(spark, d):
     ),
 )
 def weather_stats_both_ends(spark, d):
-    hourly = weather.hourly_weather(weather.parse_reports(s.reports(spark, d), "metar"))
-    out = weather.attach_weather(movements(spark, d), hourly, "origem", "dep_hour", "_x")
-    out = weather.attach_weather(out, hourly, "destino", "arr_hour", "_y")
+    hourly = _hourly(weather.parse_reports(s.reports(spark, d), "metar"))
+    out = weather.attach_blocks(movements(spark, d), [(hourly, "origem", "dep_hour", "_x"), (hourly, "destino", "arr_hour", "_y")])
     names = [f"{n}{side}" for side in ("_x", "_y") for n in ("Temperaturamean", "Pressãostd")]
-    return out.select("flightid", *[r(F.col(f"`{n}`"), 4).alias(n) for n in names])
+    return out.select("flightid", *[F.col(f"`{n}`") for n in names])
 
 
 _BLOCKS = (("wo", "_x", "origem", "dep_hour"), ("wo", "_y", "destino", "arr_hour"), ("wf", "_fx", "origem", "dep_hour"), ("wf", "_fy", "destino", "arr_hour"))
@@ -154,13 +158,11 @@ def _block_joins() -> str:
 def weather_four_blocks(spark, d):
     """Observed and forecast weather at both ends of each flight: four blocks of 24 statistics."""
     hourly = {
-        "wo": weather.hourly_weather(weather.parse_reports(s.reports(spark, d), "metar")),
-        "wf": weather.hourly_weather(weather.parse_reports(s.forecasts(spark, d), "metaf")),
+        "wo": _hourly(weather.parse_reports(s.reports(spark, d), "metar")),
+        "wf": _hourly(weather.parse_reports(s.forecasts(spark, d), "metaf")),
     }
-    out = movements(spark, d)
-    for table, side, place, hour in _BLOCKS:
-        out = weather.attach_weather(out, hourly[table], place, hour, side)
-    return out.select("flightid", *[r(F.col(f"`{n}{side}`"), 4).alias(n + side) for _, side, _, _ in _BLOCKS for n in weather_names("")])
+    out = weather.attach_blocks(movements(spark, d), [(hourly[table], place, hour, side) for table, side, place, hour in _BLOCKS])
+    return out.select("flightid", *[F.col(f"`{n}{side}`") for _, side, _, _ in _BLOCKS for n in weather_names("")])
 
 
 _FILLED = ", ".join(f'coalesce("{c}", -99) AS "{c}"' for c in NUMERIC_FIELDS)

@@ -250,3 +250,21 @@ def test_near_ties_and_unknown_ends_of_a_track(spark):
         assert (got.lat_first, got.lat_last, got.lon_first, got.lon_last) == (0.0, 5.0, 0.3, 0.0)
     gone = tracks.track_summary(spark.createDataFrame([("b", None, None, 1.0, 1.0, 1000)], POINTS)).first()
     assert gone.lat_first is None and gone.distancia is None
+
+
+def test_weather_blocks_stay_one_column_through_the_joins(spark):
+    f = spark.createDataFrame([(1, "A", "B", 1), (2, "B", "C", 2), (3, None, "A", None)], "flightid long, o string, d string, h long")
+    first = spark.createDataFrame([("A", 1, 1.0, None), ("B", 2, 2.0, 3.0)], "aero string, hour_ts long, t double, p double")
+    second = spark.createDataFrame([("B", 1, 5.0, 6.0)], "aero string, hour_ts long, t double, p double")
+    out = weather.attach_blocks(f, [(first, "o", "h", "_x"), (second, "d", "h", "_y")])
+    assert out.columns == ["flightid", "o", "d", "h", "t_x", "p_x", "t_y", "p_y"]
+    assert rows(out.drop("o", "d", "h")) == [(1, 1.0, None, 5.0, 6.0), (2, 2.0, 3.0, None, None), (3, None, None, None, None)]
+    last = out._jdf.queryExecution().optimizedPlan().children().head()
+    assert last.nodeName() == "Join"
+    assert last.output().size() == len(f.columns) + 2 + 2  # two blocks and the two keys of the last one, no statistics by themselves
+
+
+def test_methods_too_large_for_the_compiler_are_not_made(spark):
+    from flightloom.session import tune
+
+    assert int(tune(spark).conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
