@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import math
 import random
+import sys
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
+from dataclasses import dataclass
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark.ml import Estimator, Model
 from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.feature import Bucketizer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
@@ -47,7 +53,8 @@ def boosted_until_flat(rounds: int = 1000, tolerance: float = 0.01, flag: str =
 
 
 def forest(trees: int = 100, **params) -> RandomForestRegressor:
-    return RandomForestRegressor(labelCol=TARGET, numTrees=trees, seed=1, **params)
+    """Nodes of rows are remembered from one depth to the next, which changes no tree."""
+    return RandomForestRegressor(labelCol=TARGET, numTrees=trees, seed=1, cacheNodeIds=True, **params)
 
 
 #: Fits that run at the same time; their jobs share the executors and the rows kept for them.
@@ -71,6 +78,85 @@ def _together(spark, tasks: Sequence[Callable]) -> list:
         return pool.map(lambda task: inheritable_thread_target(spark)(task)(), tasks)
 
 
+#: From so many rows on, boosting is fitted on cells.
+CELL_ROWS = 100_000
+#: Rows whose values bound the bins of a cell, about; Spark ML's own trees look at 10,000.
+BOUND_ROWS = 20_000
+
+
+@dataclass
+class CellModel:
+    """A model of bin numbers, for rows with their features as they are."""
+
+    model: Model
+    bounds: list[list[float]]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(_assembled(_binned(df, self.bounds), self.bounds)).drop("_bins")
+
+
+def _bounds(rows: DataFrame, count: int, bins: int, features: str) -> list[list[float]]:
+    """Per feature, what lies between its values if these are at most ``bins``, else quantiles, in a bounded sample."""
+    values = rows.select(vector_to_array(features).alias("x")).sample(min(1.0, BOUND_ROWS / count), seed=1).toPandas()["x"]
+    out = []
+    for column in np.array(values.tolist()).T:
+        column = column[np.isfinite(column)]
+        kinds = np.unique(column)
+        cuts = (kinds[1:] + kinds[:-1]) / 2 if len(kinds) <= bins else np.unique(np.quantile(column, np.arange(1, bins) / bins, method="higher"))
+        out.append([-math.inf, *map(float, cuts if len(cuts) else [0.0]), math.inf])
+    return out
+
+
+def _binned(df: DataFrame, bounds: list[list[float]], features: str = "features", strict: bool = False) -> DataFrame:
+    """Bin numbers in columns _b0, _b1 and so on; NaN has the last one, since trees send it to the right.
+
+    With ``strict``, NaN and infinite values are an error, as they are where Spark ML fits trees.
+    """
+    each = vector_to_array(features)
+    raw, names = [f"_x{i}" for i in range(len(bounds))], [f"_b{i}" for i in range(len(bounds))]
+    if strict:
+        bounds = [[-sys.float_info.max, *b[1:-1], sys.float_info.max] for b in bounds]
+    cut = Bucketizer(splitsArray=bounds, inputCols=raw, outputCols=names, handleInvalid="error" if strict else "keep")
+    out = cut.transform(df.withColumns({x: each[i] for i, x in enumerate(raw)})).drop(*raw)
+    return out.withColumns({n: F.col(n) + F.lit(0.0) for n in names})  # plain numbers: as categories, bins would lose their order
+
+
+def _assembled(df: DataFrame, bounds: list[list[float]]) -> DataFrame:
+    names = [f"_b{i}" for i in range(len(bounds))]
+    return VectorAssembler(inputCols=names, outputCol="_bins").transform(df).drop(*names)
+
+
+def fit(estimator: Estimator, rows: DataFrame) -> Model | CellModel:
+    """``estimator.fit``, for boosted trees on many rows by cells: rows that fall into the same bins are one row with their mean and number.
+
+    Trees tell rows apart by their bins only, and with squared losses on all rows a split or a leaf depends on the sums and numbers of
+    its bins alone, so cells give the trees of the rows; how many cells there are does not grow with the rows. Trees that
+    draw rows (forests, sampled boosting) need each row and are fitted on rows.
+    """
+    whole = isinstance(estimator, GBTRegressor) and estimator.getLossType() == "squared" and estimator.getSubsamplingRate() == 1.0
+    if not whole or estimator.isDefined(estimator.weightCol) or estimator.isDefined(estimator.validationIndicatorCol):
+        return estimator.fit(rows)
+    count = rows.count()
+    if count < CELL_ROWS:
+        return estimator.fit(rows)
+    label = estimator.getLabelCol()
+    bounds = _bounds(rows, count, estimator.getMaxBins(), estimator.getFeaturesCol())
+    keys = [f"_b{i}" for i in range(len(bounds))]
+    known = F.count(label) == F.count(F.lit(1))  # a missing label stays missing, which the fit refuses
+    cells = _binned(rows, bounds, estimator.getFeaturesCol(), strict=True).groupBy(*keys).agg(
+        F.when(known, F.avg(label)).alias(label), F.count(F.lit(1)).cast("double").alias("_rows")
+    )
+    on_cells = estimator.copy({estimator.featuresCol: "_bins", estimator.weightCol: "_rows"})
+    with _kept(_assembled(cells, bounds)) as (kept,):
+        return CellModel(on_cells.fit(kept), bounds)
+
+
+def fit_kept(estimator: Estimator, rows: DataFrame) -> Model | CellModel:
+    """``fit`` on rows that are computed once, not once for each pass of the fit."""
+    with _kept(rows) as (kept,):
+        return fit(estimator, kept)
+
+
 def score(predictions: DataFrame) -> float:
     return predictions.agg(rmse(F.col(TARGET), F.col("prediction")).alias("rmse")).first()["rmse"]
 
@@ -78,7 +164,7 @@ def score(predictions: DataFrame) -> float:
 def compare(models: Mapping[str, Estimator], train: DataFrame, held_out: DataFrame) -> DataFrame:
     """(model, rmse) on the held-out rows, best first."""
     with _kept(train, held_out) as (train, held_out):
-        tasks = [lambda n=n, e=e: (n, score(e.fit(train).transform(held_out))) for n, e in models.items()]
+        tasks = [lambda n=n, e=e: (n, score(fit(e, train).transform(held_out))) for n, e in models.items()]
         rows = _together(train.sparkSession, tasks)
     return train.sparkSession.createDataFrame(rows, "model string, rmse double").orderBy("rmse", "model")
 
@@ -123,12 +209,12 @@ def stack(
     named = _named(bases)
     inputs = [f"p_{n}" for n in named]
     with _kept(train) as (rows,):
-        fits = [lambda e=e, k=k: e.fit(rows if k is None else rows.where(F.col("fold") != k)) for k in [*range(folds), None] for e in named.values()]
+        fits = [lambda e=e, k=k: fit(e, rows if k is None else rows.where(F.col("fold") != k)) for k in [*range(folds), None] for e in named.values()]
         fitted = _together(train.sparkSession, fits)
         models = [fitted[i : i + len(named)] for i in range(0, len(fitted), len(named))]
         parts = [_apply(models[k], rows.where(F.col("fold") == k)) for k in range(folds)]
         level_one = cut_lineage(reduce(DataFrame.unionByName, parts).drop("features"))
-    final = meta.fit(assemble(level_one, inputs))
+    final = fit_kept(meta, assemble(level_one, inputs))
     return final.transform(assemble(_apply(models[-1], held_out).drop("features"), inputs))
 
 

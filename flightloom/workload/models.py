@@ -136,5 +136,5 @@ def random_search(spark, d):
 
 @_add("feature_importance")
 def feature_importance(spark, d):
-    model = models.forest().fit(_table(spark, d))
+    model = models.fit_kept(models.forest(), _table(spark, d))
     return models.importance(model, _FEATURES, spark)

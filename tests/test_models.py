@@ -113,3 +113,48 @@ def test_missing_numbers_are_flagged_before_scaling(spark):
     flights = spark.createDataFrame(rows, "flightid string, origem string, destino string, a double, target double")
     solution, error = submission(flights, flights, ["a"], models.linear(), 4)
     assert error.first()[0] < 0.5 and solution.count() == 200
+
+
+def test_boosting_on_cells_equals_boosting_on_rows(spark, monkeypatch):
+    df = spark.range(4000).select(
+        F.col("id").alias("flightid"), (F.col("id") % 17).cast("double").alias("a"),
+        (F.col("id") * 7 % 23).cast("double").alias("b"),
+        (F.col("id") % 97 == 0).cast("double").alias("rare"),
+    )
+    df = df.withColumn("target", 3 * F.col("a") - 2 * F.col("b") + 40 * F.col("rare") + F.col("flightid") % 5)
+    ready = prepare.assemble(df, ["a", "b", "rare"])
+    of_rows = models.boosted_shallow(5).fit(ready).transform(ready).select("flightid", "prediction").orderBy("flightid").collect()
+    monkeypatch.setattr(models, "CELL_ROWS", 1000)
+    model = models.fit(models.boosted_shallow(5), ready)
+    assert isinstance(model, models.CellModel)
+    out = model.transform(ready)
+    assert out.columns == [*ready.columns, "prediction"]
+    of_cells = out.select("flightid", "prediction").orderBy("flightid").collect()
+    assert [r.prediction for r in of_cells] == pytest.approx([r.prediction for r in of_rows])
+    stacked = models.stack(prepare.with_fold(ready, "flightid", 3), ready, {"linear": models.linear(), "boosted": models.boosted_shallow(2)}, models.forest(2), 3)
+    assert stacked.count() == 4000
+
+
+def test_trees_that_draw_rows_are_fitted_on_rows(ready, monkeypatch):
+    monkeypatch.setattr(models, "CELL_ROWS", 10)
+    for estimator in (models.forest(2), models.boosted(2), models.linear()):
+        assert not isinstance(models.fit(estimator, ready), models.CellModel)
+    with pytest.raises(Exception, match="(?i)label|null"):
+        models.fit(models.boosted_shallow(2), ready.withColumn("target", F.when(F.col("flightid") > 3, F.col("target"))))
+    for bad in ("nan", "inf", "-inf"):
+        odd = ready.drop("features").withColumn("a", F.when(F.col("flightid") == 7, float(bad)).otherwise(F.col("a")))
+        with pytest.raises(Exception):
+            models.fit(models.boosted_shallow(2), prepare.assemble(odd, ["a", "b"]))
+
+
+def test_a_fit_computes_its_rows_once(spark, table):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = prepare.assemble(table.mapInArrow(count, table.schema), ["a", "b"])
+    models.fit_kept(models.forest(2), rows)
+    assert seen.value == 300
