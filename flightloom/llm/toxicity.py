@@ -7,7 +7,7 @@ come out of the fit, and the same sentence scores then locate the offending pass
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,16 +15,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_written
 from ..workload.registry import Registry
 from . import words as W
 
 REGISTRY = Registry()
 
 #: Bounds of the labelled sample that one task fits the model on, in documents and in words.
-MAX_DOCUMENTS, MAX_WORDS = 8_000, 2_000_000
+MAX_DOCUMENTS, MAX_WORDS = 20_000, 6_000_000
 #: Documents of more than this part of the words take only what shorter ones leave of the bound.
 SHARE = 100
+#: Hashes of documents that wait until they are summed up.
+STEP = 1 << 21
 #: A word or beginning must be in so many sampled documents to become a feature.
 MIN_DOCUMENTS = 4
 #: Longer words also count by their first bytes, of these numbers.
@@ -79,34 +81,57 @@ def noisy_or(logits: np.ndarray, before: np.ndarray) -> np.ndarray:
     return np.clip(-np.expm1(-(sums[before[1:]] - sums[before[:-1]])), 0.0, 1.0)
 
 
-def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 150, penalty: float = 1.0, rate: float = 0.1) -> Model:
-    """The model from (feature hashes, first words of sentences, label) of each sampled document."""
-    docs = [d for d in docs if len(d[0])]
+def _counted(parts: Iterator[tuple]) -> np.ndarray:
+    """Sorted hashes that at least ``MIN_DOCUMENTS`` documents have, summed up a few parts at a time."""
+    keys, seen = np.zeros(0, W.U), np.zeros(0, np.int64)
+    waiting: list[np.ndarray] = []
+
+    def summed() -> tuple[np.ndarray, np.ndarray]:
+        found, n = np.unique(np.concatenate(waiting), return_counts=True)
+        both, at = np.unique(np.concatenate([keys, found]), return_inverse=True)
+        return both, np.bincount(at, np.concatenate([seen, n])).astype(np.int64)
+
+    for hashes, first, before, _ in parts:
+        bounds = np.append(first, len(hashes))[before]
+        waiting += [np.unique(hashes[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+        if sum(map(len, waiting)) > STEP:
+            keys, seen = summed()
+            waiting = []
+    if waiting:
+        keys, seen = summed()
+    return keys[(seen >= MIN_DOCUMENTS) & (keys != 0)]
+
+
+def fit(parts: Callable[[], Iterator[tuple]], rounds: int = 60, penalty: float = 1.0, rate: float = 0.1) -> Model:
+    """The model from the sampled documents, which are read twice.
+
+    ``parts`` gives runs of documents: feature hashes, first words of sentences, sentences before each document, and labels.
+    Documents without words take no part.
+    """
     nothing = Model(np.zeros(0, W.U), np.zeros(1), -8.0)
-    if not docs:
-        return nothing
-    keys, seen = np.unique(np.concatenate([np.unique(h) for h, _, _ in docs]), return_counts=True)
-    keys = keys[(seen >= MIN_DOCUMENTS) & (keys != 0)]
+    keys = _counted(parts())
     if not len(keys):
         return nothing
-    columns, rows, shift = [], [], 0
-    for hashes, first, _ in docs:
+    columns, rows, counts, labels, shift = [], [], [], [], 0
+    for hashes, first, before, label in parts():
         at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
         known = keys[at] == hashes
-        of = np.repeat(np.arange(shift, shift + len(first)), np.diff(np.append(first, len(hashes))))
+        of = np.repeat(np.arange(shift, shift + len(first), dtype=np.int32), np.diff(np.append(first, len(hashes))))
         columns.append(at[known].astype(np.int32))
-        rows.append(np.broadcast_to(of[:, None], at.shape)[known].astype(np.int32))
+        rows.append(np.broadcast_to(of[:, None], at.shape)[known])
+        counts.append(np.diff(before))
+        labels.append(label)
         shift += len(first)
     at, sentence = np.concatenate(columns), np.concatenate(rows)
-    before = np.concatenate([[0], np.cumsum([len(f) for _, f, _ in docs])])
-    first = range(shift)
-    label = np.array([y for _, _, y in docs], float)
-    owner = np.repeat(np.arange(len(docs)), np.diff(before))
-    weights, bias = np.zeros(len(keys)), -np.log(max(2.0, len(first) / max(1.0, label.sum())))
+    del columns, rows
+    counts, label = np.concatenate(counts), np.concatenate(labels).astype(float)
+    counts, label = counts[counts > 0], label[counts > 0]
+    owner = np.repeat(np.arange(len(label)), counts)
+    weights, bias = np.zeros(len(keys)), -np.log(max(2.0, shift / max(1.0, label.sum())))
     state = [np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)]
     for turn in range(1, rounds + 1):  # Adam on the penalised likelihood
-        logits = bias + np.bincount(sentence, weights[at], len(first))
-        mass = np.bincount(owner, np.logaddexp(0, logits), len(docs))
+        logits = bias + np.bincount(sentence, weights[at], shift)
+        mass = np.bincount(owner, np.logaddexp(0, logits), len(label))
         p = np.clip(-np.expm1(-mass), 1e-9, 1.0)
         pull = np.where(label > 0, -(1 - p) / p, 1.0)
         g = pull[owner] / (1 + np.exp(-np.clip(logits, -30, 30)))
@@ -117,18 +142,12 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 150, penal
     return Model(keys, np.append(weights, 0.0), float(bias))
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out_words, out_first = [], []
-        for a, b, buf, offsets in W.slices(batch.column("content")):
-            hashes, first, before, _, _ = sentences(buf, offsets)
-            bounds = np.append(first, len(hashes))[before]
-            for d in range(b - a):
-                out_words.append(hashes[bounds[d] : bounds[d + 1]].tobytes())  # EACH numbers a word
-                out_first.append((first[before[d] : before[d + 1]] - bounds[d]).tobytes())
-        sizes = pa.array([len(w) // (8 * EACH) for w in out_words], pa.int64())
-        columns = [batch.column("doc"), batch.column("label"), sizes, pa.array(out_words, pa.binary()), pa.array(out_first, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc", "label", "n_words", "words", "first"])
+        counts = [np.diff(W.spans(buf, offsets, _NOT_LETTER)[2]) for _, _, buf, offsets in W.slices(batch.column("content"))]
+        sizes = pa.array(np.concatenate([np.zeros(0, np.int64), *counts]), pa.int64())
+        columns = [batch.column("doc"), batch.column("label"), sizes, batch.column("content")]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc", "label", "n_words", "content"])
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
@@ -143,14 +162,15 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     known = known.groupBy("doc").agg(F.max("label").alias("label")).orderBy(order, "doc").limit(MAX_DOCUMENTS)
     rows = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("content"))
     sample = rows.join(F.broadcast(known), "doc")  # at most MAX_DOCUMENTS rows of two numbers
-    made = sample.mapInArrow(_features, "doc long, label int, n_words long, words binary, first binary")
+    made = sample.mapInArrow(_sized, "doc long, label int, n_words long, content string")
     made = cut_lineage(made.withColumn("row", F.monotonically_increasing_id()))  # written, so a row keeps its number
-    sizes = made.select("row", "doc", "n_words", order.alias("o"), F.xxhash64("words").alias("w")).repartition(1)
+    sizes = made.select("row", "doc", "n_words", order.alias("o"), F.xxhash64("content").alias("w")).repartition(1)
     chosen = sizes.sortWithinPartitions("o", "doc", "w", "row").mapInArrow(_chosen(MAX_WORDS), "row long, place long")
-    bounded = made.join(chosen, "row").select("label", "words", "first", "place")
+    bounded = made.join(chosen, "row").select("label", "content", "place")
     fitted = bounded.repartition(1).sortWithinPartitions("place").mapInArrow(_fitted, "keys binary, weights binary, bias double")
     row = fitted.first()
-    return Model(np.frombuffer(row.keys, W.U), np.frombuffer(row.weights), row.bias) if row else fit([])
+    drop_written(docs.sparkSession, made)
+    return Model(np.frombuffer(row.keys, W.U), np.frombuffer(row.weights), row.bias) if row else fit(lambda: iter(()))
 
 
 def _chosen(most: int):
@@ -174,13 +194,16 @@ def _chosen(most: int):
 
 
 def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The model of the bounded sample, fitted in one task; only keys and weights reach the driver."""
-    docs = []
-    for batch in batches:
-        for y, w, f in zip(*(batch.column(c).to_pylist() for c in ("label", "words", "first")), strict=True):
-            docs.append((np.frombuffer(w, W.U).reshape(-1, EACH), np.frombuffer(f, np.int64), y))
+    """The model of the bounded sample, fitted in one task, which holds its texts; only keys and weights reach the driver."""
+    docs = [(batch.column("content"), batch.column("label").to_numpy()) for batch in batches]
+
+    def parts() -> Iterator[tuple]:
+        for texts, label in docs:
+            for a, b, buf, offsets in W.slices(texts):
+                yield *sentences(buf, offsets)[:3], label[a:b]
+
     if docs:
-        model = fit(docs)
+        model = fit(parts)
         columns = [pa.array([model.keys.tobytes()]), pa.array([model.weights.tobytes()]), pa.array([model.bias])]
         yield pa.RecordBatch.from_arrays(columns, names=["keys", "weights", "bias"])
 

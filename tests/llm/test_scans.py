@@ -171,6 +171,17 @@ def test_one_long_document_does_not_use_up_the_sample(spark, monkeypatch):
         assert len(model.keys) and np.mean([(got[i] >= 0.3) == bool(y) for i, _, y in data]) > 0.95
 
 
+def test_toxicity_learns_from_more_than_eight_thousand_documents(spark):
+    rng = random.Random(5)
+    order = [r.id for r in spark.range(12_000).orderBy(F.xxhash64("id", F.lit(11)), "id").collect()]
+    bad = set(order[-400:])
+    data = [(i, " ".join(f"v{rng.randrange(200)}" for _ in range(6)) + (" vilest" if i in bad else "")) for i in order]
+    model = toxicity.train(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame([(i, int(i in bad)) for i in order], "doc_id long, toxic int"))
+    got = toxicity.score(spark.createDataFrame([(1, "v1 v2 vilest v3"), (2, "v1 v2 v3")], "doc_id long, text string"), model)
+    scores = {r.doc_id: r.score for r in got.collect()}
+    assert scores[1] >= 0.3 > scores[2]
+
+
 def test_spelt_addresses_do_not_depend_on_other_words():
     for address in ("jane at example.com", "jane @ example.com", "jane (at) example dot com"):
         for rest in ("", " and a dotted line"):
