@@ -7,6 +7,7 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -14,6 +15,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from flightloom.llm import bpe, lm_scoring, packing
+from flightloom.session import shared_dir
 
 BYTE_BPE, WORD_BPE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 
@@ -177,3 +179,19 @@ def test_rare_words_count(spark):
     rows = [(i, t) for i, t in enumerate(texts)]
     got = lm_scoring.cross_entropy_difference(df, spark.createDataFrame([(2,)], "doc_id long")).collect()
     assert np.allclose(sorted((r.target_loss, r.background_loss) for r in got), brute_losses(rows, {2}, None))
+
+
+def test_packed_numbers():
+    for values in ([0], [1, 1, 255], [256, 0, 7], [2**64 - 1, 5], list(range(70_000))):
+        assert lm_scoring.unpacked(lm_scoring.packed(np.array(values, np.uint64))).tolist() == values
+
+
+def test_bigrams_take_less_disk_than_twice_the_texts(spark):
+    rng = random.Random(3)
+    texts = [" ".join(f"{rng.randrange(10**7):07}" for _ in range(500)) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    lm_scoring.cross_entropy_difference(df, spark.createDataFrame([(1,), (2,)], "doc_id long")).count()
+    made = [f for d in set(folder.iterdir()) - before for f in d.rglob("*.parquet")]
+    assert sum(f.stat().st_size for f in made) < 2 * sum(map(len, texts))
