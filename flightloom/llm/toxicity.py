@@ -102,7 +102,7 @@ def _counted(parts: Iterator[tuple]) -> np.ndarray:
     return keys[(seen >= MIN_DOCUMENTS) & (keys != 0)]
 
 
-def fit(parts: Callable[[], Iterator[tuple]], rounds: int = 60, penalty: float = 1.0, rate: float = 0.1) -> Model:
+def fit(parts: Callable[[], Iterator[tuple]], rounds: int = 150, penalty: float = 1.0, rate: float = 0.1) -> Model:
     """The model from the sampled documents, which are read twice.
 
     ``parts`` gives runs of documents: feature hashes, first words of sentences, sentences before each document, and labels.
