@@ -143,3 +143,46 @@ def test_passages_at_all_places(spark):
     got = [(r.doc_id, r.start, r.stop) for r in substrings.repeated_passages(df).collect()]
     for doc, start, stop in ((0, 10, 80), (0, 110, 180), (0, 200, 270), (1, 15, 85), (2, 91, 161)):
         assert any(d == doc and start - 5 <= x <= start and stop <= y <= stop + 5 for d, x, y in got)
+
+
+def test_windows_of_many_texts():
+    """Texts that lie one after the other have the windows of each alone, and no run reaches into the next text."""
+    rng = np.random.default_rng(6)
+    lists = [words.mix(rng.integers(0, 2**60, n).astype(np.uint64)) for n in (80, 3, 0, 46, 45, 200, 47)]
+    got = substrings.windows(np.concatenate(lists), np.concatenate([[0], np.cumsum([len(x) for x in lists])]), 46)
+    want = set()
+    for k, x in enumerate(lists):
+        alone = substrings.windows(x, np.array([0, len(x)]), 46)
+        want |= {(s, k, *r) for s, _, *r in zip(*(c.tolist() for c in alone), strict=True)}
+        for band, (one, two) in enumerate(words.seeds(14, 333).reshape(7, 2)):
+            least = [tuple(i + int(np.argmin(words.mix(x[i : i + 46] ^ seed))) for seed in (one, two)) for i in range(len(x) - 45)]
+            assert band > 0 or {at for *_, at in zip(*(c.tolist() for c in alone), strict=True)} >= {p for p, _ in least}
+    assert set(zip(*(c.tolist() for c in got), strict=True)) == want and len(got[0]) == len(want)
+
+
+def test_hubs_are_those_of_spark(spark):
+    rows = [(0, 0), (-5, 7), (2**62 + 11, 123456), (-(2**63), 2**31 - 1)]
+    df = spark.createDataFrame(rows, "t long, p int").select(*(F.xxhash64(c, F.lit(k)) for c in "tp" for k in (0, 2)))
+    t, p = (np.array(x) for x in zip(*rows, strict=True))
+    made = [substrings._hashed(x, k, long) for x, long in ((t, True), (p, False)) for k in (0, 2)]
+    assert [tuple(r) for r in df.collect()] == list(zip(*(m.tolist() for m in made), strict=True))
+
+
+def test_passages_leave_small_tables(spark, monkeypatch):
+    """Texts of ever the same passage: windows are written packed, not as rows, and few are compared with all others."""
+    rng = random.Random(48)
+    part = [f"c{i}" for i in range(60)]
+    texts = [" ".join(w for _ in range(12) for w in [*part, *(f"r{rng.random()}" for _ in range(15))]) for _ in range(24)]
+    written, keep = [], substrings.cut_lineage
+
+    def cut(df):
+        written.append(keep(df))
+        return written[-1]
+
+    monkeypatch.setattr(substrings, "cut_lineage", cut)
+    monkeypatch.setattr(substrings, "drop_written", lambda session, df: None, raising=False)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = substrings.repeated_passages(df).collect()
+    for i, k in ((i, k) for i in range(24) for k in range(12)):
+        assert any(r.doc_id == i and abs(r.start - 75 * k) <= 5 and abs(r.stop - 75 * k - 60) <= 5 for r in got)
+    assert sum(t.count() for t in written) < 2 * sum(len(t.split()) for t in texts)
