@@ -72,6 +72,15 @@ def _kept(*tables: DataFrame) -> Iterator[tuple[DataFrame, ...]]:
             t.unpersist()
 
 
+#: Rows of a partition while boosted trees are fitted, at least: each round runs several jobs with a task for each partition.
+PARTITION_ROWS = 25_000
+
+
+def _in_few(kept: DataFrame) -> DataFrame:
+    """Kept rows in no more partitions than their number asks for; a table from a shuffle may have hundreds with next to no rows."""
+    return kept.coalesce(max(1, -(-kept.count() // PARTITION_ROWS)))
+
+
 def _together(spark, tasks: Sequence[Callable]) -> list:
     """Results of independent fits, a few at a time; small late stages of one fit leave room that the others use."""
     with ThreadPool(min(AT_ONCE, len(tasks)) or 1) as pool:
@@ -148,7 +157,7 @@ def fit(estimator: Estimator, rows: DataFrame) -> Model | CellModel:
     )
     on_cells = estimator.copy({estimator.featuresCol: "_bins", estimator.weightCol: "_rows"})
     with _kept(_assembled(cells, bounds)) as (kept,):
-        return CellModel(on_cells.fit(kept), bounds)
+        return CellModel(on_cells.fit(_in_few(kept)), bounds)
 
 
 def fit_kept(estimator: Estimator, rows: DataFrame) -> Model | CellModel:
@@ -209,7 +218,8 @@ def stack(
     named = _named(bases)
     inputs = [f"p_{n}" for n in named]
     with _kept(train) as (rows,):
-        fits = [lambda e=e, k=k: fit(e, rows if k is None else rows.where(F.col("fold") != k)) for k in [*range(folds), None] for e in named.values()]
+        few = _in_few(rows)
+        fits = [lambda e=e, k=k: fit(e, few if k is None else few.where(F.col("fold") != k)) for k in [*range(folds), None] for e in named.values()]
         fitted = _together(train.sparkSession, fits)
         models = [fitted[i : i + len(named)] for i in range(0, len(fitted), len(named))]
         parts = [_apply(models[k], rows.where(F.col("fold") == k)) for k in range(folds)]

@@ -116,7 +116,7 @@ def model_compare(spark, d):
 @_add("rf_stack")
 def rf_stack(spark, d):
     train, held_out = _halves(spark, d)
-    bases = {"linear": models.linear(), "boosted": models.boosted_shallow(3), "forest": models.forest()}
+    bases = {"linear": models.linear(), "boosted": models.boosted_shallow(), "forest": models.forest()}
     out = models.stack(train, held_out, bases, models.forest(), 3)
     return rounded(out.select("flightid", "target", "prediction"), 4)
 

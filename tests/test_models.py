@@ -158,3 +158,26 @@ def test_a_fit_computes_its_rows_once(spark, table):
     rows = prepare.assemble(table.mapInArrow(count, table.schema), ["a", "b"])
     models.fit_kept(models.forest(2), rows)
     assert seen.value == 300
+
+
+def test_the_stack_boosts_in_full(spark, ready, monkeypatch):
+    from flightloom.workload import models as registered
+
+    seen = {}
+
+    def stack(train, held_out, bases, meta, folds):
+        seen.update({**bases, "meta": meta})
+        return held_out.withColumn("prediction", F.lit(0.0))
+
+    monkeypatch.setattr(registered, "_halves", lambda *a: (ready, ready))
+    monkeypatch.setattr(models, "stack", stack)
+    registered.rf_stack(spark, "")
+    assert seen["boosted"].getMaxIter() == models.boosted_shallow().getMaxIter() == 100
+    assert seen["forest"].getNumTrees() == seen["meta"].getNumTrees() == 100
+
+
+def test_kept_rows_are_fitted_in_few_partitions(ready, monkeypatch):
+    assert models._in_few(ready.repartition(40)).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(models, "PARTITION_ROWS", 50)
+    assert models._in_few(ready.repartition(40)).rdd.getNumPartitions() == 6
+    assert models._in_few(ready.repartition(2)).count() == 300
