@@ -31,14 +31,18 @@ def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", s
 
 
 def _vertical(rows: pd.DataFrame) -> pd.DataFrame:
-    """A block of vectors as one row: sorted ids, and all values dimension by dimension. Short vectors end in zeros."""
+    """A block of vectors as one row: sorted ids, and all values dimension by dimension, as numbers no wider than they need. Short vectors end in zeros."""
     rows = rows.sort_values("id")
     width = int(rows["whole"].map(len).max())
     columns = np.zeros((width, len(rows)), np.int64)
     for i, v in enumerate(rows["whole"]):
         columns[: len(v), i] = v
+    low, high = int(columns.min(initial=0)), int(columns.max(initial=0))
+    kind = next(k for k in ("i2", "i4", "i8") if np.iinfo(k).min <= low and high <= np.iinfo(k).max)
     ids = rows["id"].to_numpy(np.int64)
-    return pd.DataFrame({"block": [int(rows["block"].iloc[0])], "ids": [ids.tobytes()], "width": [width], "columns": [columns.tobytes()]})
+    return pd.DataFrame(
+        {"block": [int(rows["block"].iloc[0])], "ids": [ids.tobytes()], "width": [width], "kind": [kind], "columns": [columns.astype(kind).tobytes()]}
+    )
 
 
 def _masses(columns: np.ndarray, edges: list[int]) -> np.ndarray:
@@ -104,8 +108,8 @@ def _search(k: int, step: int):
             found = []
             for c in frame.itertuples(index=False):
                 ids, query_ids = np.frombuffer(c.ids, np.int64), np.frombuffer(c.query_ids, np.int64)
-                columns = np.frombuffer(c.columns, np.int64).reshape(c.width, len(ids))
-                queries = np.frombuffer(c.queries, np.int64).reshape(c.query_width, len(query_ids))
+                columns = np.frombuffer(c.columns, c.kind).astype(np.int64).reshape(c.width, len(ids))
+                queries = np.frombuffer(c.queries, c.query_kind).astype(np.int64).reshape(c.query_width, len(query_ids))
                 for query, vectors, scores in search_block(ids, columns, query_ids, queries, k, step):
                     found.append(pd.DataFrame({"query_id": int(query), "vec_id": vectors, "score": scores}))
             if found:
@@ -117,7 +121,7 @@ def _search(k: int, step: int):
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
     n = max(1, -(-rows.count() // size))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    return dealt.groupBy("block").applyInPandas(_vertical, "block int, ids binary, width int, columns binary")
+    return dealt.groupBy("block").applyInPandas(_vertical, "block int, ids binary, width int, kind string, columns binary")
 
 
 def top_k(
@@ -146,9 +150,11 @@ def top_k(
         F.explode(F.sequence(F.lit(0), F.lit(max(0, _last_block(candidates))))).alias("block"),
         F.col("ids").alias("query_ids"),
         F.col("width").alias("query_width"),
+        F.col("kind").alias("query_kind"),
         F.col("columns").alias("queries"),
     )
-    found = candidates.join(queries, "block").mapInPandas(_search(k, step), "query_id long, vec_id long, score long")
+    # Merged, never broadcast: the planner's sizes leave out that the queries come once for each block.
+    found = candidates.join(queries.hint("merge"), "block").mapInPandas(_search(k, step), "query_id long, vec_id long, score long")
     ranked = found.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)"))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -45,6 +45,15 @@ def test_top_k_of_large_numbers_and_without_rows(spark):
     assert top_k.top_k(none, F.col("id") == 0).count() == 0
 
 
+def test_queries_of_all_blocks_do_not_go_to_the_driver(spark):
+    """The planner takes the queries, repeated for each block, for a small table."""
+    df = spark.createDataFrame([(i, [i % 7 / 8, i % 5 / 8]) for i in range(200)], "vec_id long, embedding array<double>")
+    found = top_k.top_k(df, F.col("id") % 2 == 0, 3, block=8, query_block=16)
+    assert found.count() == 300
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_bounds_keep_all_of_the_best():
     rng = np.random.default_rng(0)
     columns = np.vstack([rng.integers(-50, 50, (8, 500)), rng.integers(-2, 3, (24, 500))]).astype(np.int64)
