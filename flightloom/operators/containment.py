@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -78,25 +79,196 @@ def _polygon_cells(edges: DataFrame, keys: Sequence[str], size: float, rows_per_
     return cells.groupBy(*_CELL, *keys).agg(F.collect_list(edge).alias("edges"), F.max("always").alias("odd"))
 
 
-def _held(points: pa.Table, polygons: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
-    """For some points after the other: the first one's number, and a table of points and polygons, true where the polygon holds the point."""
+#: Small squares a side that the points of a square are dealt to, at most, and the points that fill one, about.
+FINE = 64
+_FILL = 8
+#: Places (polygon, small square) and edges that are looked at together.
+_PLACES, _EDGES = 2_000_000, 20_000
+
+
+def _mixed_bits(values: np.ndarray) -> np.ndarray:
+    """64 bits per number with the lowest one clear, mixed so that different numbers do not cancel."""
+    h = (values + 0.0).view(np.uint64)
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (h ^ (h >> np.uint64(31))) & ~np.uint64(1)
+
+
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each position as often as its count says, and the number of each repetition from 0 on."""
+    which = np.repeat(np.arange(len(counts)), counts)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+class _Places:
+    """The points of a square, dealt to small squares: ``order`` sorts them, ``starts`` and ``counts`` tell where those of each small square are."""
+
+    def __init__(self, lon: np.ndarray, lat: np.ndarray):
+        self.g = g = int(min(FINE, max(1, 2 ** math.ceil(math.log2(max(1.0, math.sqrt(len(lon) / _FILL)))))))
+        self.left, self.right, self.low, self.high = lon.min(), lon.max(), lat.min(), lat.max()
+        self.wide, self.tall = (self.right - self.left) / g or 1.0, (self.high - self.low) / g or 1.0
+        at = self.row(lat) * g + self.col(lon)
+        self.order = np.argsort(at, kind="stable")
+        self.lon, self.lat = lon[self.order], lat[self.order]
+        self.counts = np.bincount(at, minlength=g * g)
+        self.starts = np.cumsum(self.counts) - self.counts
+        rows = self.row(lat)
+        self.least, self.most = np.full(g, np.inf), np.full(g, -np.inf)
+        np.minimum.at(self.least, rows, lat)
+        np.maximum.at(self.most, rows, lat)
+
+    # Both grow with the value, so a lesser column or row means a lesser value.
+    def col(self, x: np.ndarray) -> np.ndarray:
+        return np.clip(np.floor((x - self.left) / self.wide), 0, self.g - 1).astype(np.int64)
+
+    def row(self, y: np.ndarray) -> np.ndarray:
+        return np.clip(np.floor((y - self.low) / self.tall), 0, self.g - 1).astype(np.int64)
+
+
+def _laid_out(places: _Places, x1, y1, x2, y2):
+    """The edges once per row of small squares: edge, row, first and last column that need a comparison, whether points before
+    those columns meet the edge from the row's lower end on, the ends of the edge within the row as bits, and whether there are any.
+    """
+    g = places.g
+    bad = ~np.isfinite(x1 + y1 + x2 + y2)
+    lo, hi = np.where(bad, -np.inf, np.minimum(y1, y2)), np.where(bad, np.inf, np.maximum(y1, y2))
+    first = np.where(lo <= places.low, -1, places.row(np.where(bad, 0.0, lo)))
+    last = np.where(hi > places.high, g, places.row(np.where(bad, 0.0, hi)))
+    meets = (lo <= places.high) & (hi > places.low)
+    some = np.where(meets, np.minimum(last, g - 1) - np.maximum(first, 0) + 1, 0)
+    edge, nth = _spread(some)
+    row = np.maximum(first, 0)[edge] + nth
+    e1, e2, f1, f2 = x1[edge], x2[edge], y1[edge], y2[edge]
+    with np.errstate(all="ignore"):
+        slope = (e2 - e1) / (f2 - f1)
+        a = e1 + (np.maximum(lo[edge], places.least[row]) - f1) * slope
+        b = e1 + (np.minimum(hi[edge], places.most[row]) - f1) * slope
+        slack = _SLACK + 1e-12 * np.maximum(np.abs(e1), np.abs(e2))
+        a, b = (np.clip(x, np.minimum(e1, e2), np.maximum(e1, e2)) for x in (a, b))
+        xa, xb = np.minimum(a, b) - slack, np.maximum(a, b) + slack
+    open_ = bad[edge] | ~np.isfinite(xa) | ~np.isfinite(xb)
+    xa, xb = np.where(open_, -np.inf, xa), np.where(open_, np.inf, xb)
+    west = np.where(xa > places.right, g, np.where(xa < places.left, 0, places.col(np.where(open_, 0.0, xa))))
+    east = np.where(xb > places.right, g - 1, places.col(np.where(open_, 0.0, xb)))
+    starts_in, ends_in = first[edge] == row, last[edge] == row
+    bits = np.where(starts_in, _mixed_bits(lo)[edge], np.uint64(0)) ^ np.where(ends_in, _mixed_bits(hi)[edge], np.uint64(0))
+    keep = (xb >= places.left) & (places.least[row] <= places.most[row])
+    return tuple(c[keep] for c in (edge, row, west, east, ~starts_in, bits, starts_in | ends_in))
+
+
+def _held(places: _Places, polygons: pa.Table, active: np.ndarray | None = None) -> Iterator[tuple]:
+    """Which polygons hold which points of a square, some polygons at a time: ``first`` polygon, table (polygon, small square) that is true
+    where all points are inside, and for single points polygons (counted from ``first``) and positions in ``places``.
+
+    A polygon is settled for a small square that no edge of it comes near, if the ends of its edges to the right of the square cancel each other
+    (those of a closed ring do); then one parity holds for all points there. In the other small squares points are
+    compared with the edges that come near them, and with those to the right that end in their row. ``active`` tells, and may be changed
+    to tell, in which small squares there is anything left to find.
+    """
+    g, n_cells = places.g, places.g**2
     lists = polygons["edges"].combine_chunks()
-    sizes = np.asarray(pc.list_value_length(lists))
-    edges = lists.flatten()
-    x1, y1, x2, y2 = (np.asarray(edges.field(c))[None, :] for c in ("x1", "y1", "x2", "y2"))
+    sizes = np.asarray(pc.list_value_length(lists)).astype(np.int64)
+    flat = lists.flatten()
+    x1, y1, x2, y2 = (np.asarray(flat.field(c)) for c in ("x1", "y1", "x2", "y2"))
     odd = polygons["odd"].to_numpy()
-    filled = sizes > 0
-    starts = (np.cumsum(sizes) - sizes)[filled]
-    step = max(1, _PAIRS // max(1, x1.size))
-    lon, lat = (points[c].to_numpy()[:, None] for c in ("lon", "lat"))
-    for at in range(0, points.num_rows, step):
-        px, py = lon[at : at + step], lat[at : at + step]
-        held = np.repeat(odd[None, :], len(px), axis=0)
-        if starts.size:
+    ends = np.cumsum(sizes)
+    first, most = 0, max(1, _PLACES // n_cells) if active is None else 16
+    while first < len(sizes):
+        if active is not None and not active.any():
+            return
+        before = ends[first] - sizes[first]
+        upto = max(first + 1, min(first + most, int(np.searchsorted(ends, before + _EDGES, "right"))))
+        most = min(2 * most, max(1, _PLACES // n_cells))
+        there = slice(before, ends[upto - 1])
+        c1, d1, c2, d2 = x1[there], y1[there], x2[there], y2[there]
+        owner = np.repeat(np.arange(upto - first), sizes[first:upto])
+        edge, row, west, east, below, bits, partial = _laid_out(places, c1, d1, c2, d2)
+        poly = owner[edge]
+        state = np.zeros((upto - first, g, g + 1), np.uint64)
+        np.bitwise_xor.at(state.reshape(-1), (poly * g + row) * (g + 1) + west, bits ^ below.astype(np.uint64))
+        state = np.bitwise_xor.accumulate(state[:, :, ::-1], axis=2)[:, :, ::-1][:, :, 1:].reshape(-1)
+        inside = ((state & np.uint64(1)) != 0) ^ np.repeat(odd[first:upto], n_cells)
+        unsettled = state > np.uint64(1)
+        near, nth = _spread(np.maximum(east - west + 1, 0))
+        near_at = (poly[near] * g + row[near]) * g + west[near] + nth
+        unsettled[near_at] = True
+        sought = places.counts > 0 if active is None else active
+        unsettled &= np.tile(sought, upto - first)
+        whole = (inside & ~unsettled).reshape(-1, n_cells) & (places.counts > 0)
+        partial = np.flatnonzero(partial)
+        before_, nth = _spread(np.minimum(west, g)[partial])
+        before_ = partial[before_]
+        before_at = (poly[before_] * g + row[before_]) * g + nth
+        at = np.concatenate([near_at, before_at])
+        which = np.concatenate([near, before_])
+        flip = np.concatenate([np.zeros(len(near), bool), below[before_]])
+        use = unsettled[at]
+        if active is not None:
+            use &= ~np.tile(whole.any(axis=0), upto - first)[at]
+        yield first, whole, *_compared(places, at[use], edge[which[use]], flip[use], (c1, d1, c2, d2), inside, n_cells, unsettled, whole if active is not None else None)
+        first = upto
+
+
+def _compared(places: _Places, at, edge, flip, ends, inside, n_cells, unsettled, settled):
+    """Polygons and positions of the points of unsettled places that are inside, by comparing each point with the edges given for its place."""
+    if settled is not None:
+        unsettled = unsettled & ~np.tile(settled.any(axis=0), len(unsettled) // n_cells)
+    slots = np.flatnonzero(unsettled)
+    cells = slots % n_cells
+    count = places.counts[cells]
+    bound = np.cumsum(count)
+    slot = np.searchsorted(slots, at)
+    if len(bound) and bound[-1] > _PAIRS:
+        sort = np.argsort(slot, kind="stable")
+        slot, edge, flip = slot[sort], edge[sort], flip[sort]
+        cuts = [0]
+        while cuts[-1] < len(slots):
+            done = bound[cuts[-1]] - count[cuts[-1]]
+            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(bound, done + _PAIRS, "right"))))
+        groups = [(a, b, slice(*np.searchsorted(slot, (a, b)))) for a, b in zip(cuts, cuts[1:])]
+    else:
+        groups = [(0, len(slots), slice(0, len(slot)))]
+    x1, y1, x2, y2 = ends
+    polys, found = [], []
+    for a, b, part in groups:
+        size = count[a:b]
+        offset = np.cumsum(size) - size
+        odd = np.repeat(inside[slots[a:b]], size)
+        s, e, f = slot[part] - a, edge[part], flip[part]
+        upto = np.cumsum(size[s])
+        done = 0
+        while done < len(s):
+            some = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + _PAIRS, "right")))
+            t, k, turned = s[done:some], e[done:some], f[done:some]
+            n = size[t]
+            which, nth = _spread(n)
+            point = np.repeat(places.starts[cells[a:b][t]], n) + nth
+            px, py = places.lon[point], places.lat[point]
+            b1, b2 = np.repeat(y1[k], n), np.repeat(y2[k], n)
+            crossed = (b1 > py) != (b2 > py)
             with np.errstate(divide="ignore", invalid="ignore"):
-                crossed = ((y1 > py) != (y2 > py)) & (px < (x2 - x1) * (py - y1) / (y2 - y1) + x1)
-            held[:, filled] ^= np.logical_xor.reduceat(crossed, starts, axis=1)
-        yield at, held
+                crossed &= px < np.repeat(x2[k] - x1[k], n) * (py - b1) / np.repeat(y2[k] - y1[k], n) + np.repeat(x1[k], n)
+            crossed ^= np.repeat(turned, n)
+            target = (np.repeat(offset[t], n) + nth)[crossed]
+            odd ^= (np.bincount(target, minlength=len(odd)) & 1).astype(bool)
+            done = some
+        hit = np.flatnonzero(odd)
+        owner = np.searchsorted(offset, hit, "right") - 1
+        polys.append(slots[a:b][owner] // n_cells)
+        found.append(places.starts[cells[a:b][owner]] + hit - offset[owner])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *polys]), np.concatenate([none, *found])
+
+
+def _dealt(points: pa.Table) -> tuple[_Places | None, np.ndarray]:
+    """The points with finite positions in small squares, and which ones of all they are; other points are in no polygon."""
+    lon, lat = (points[c].to_numpy() for c in ("lon", "lat"))
+    finite = np.flatnonzero(np.isfinite(lon) & np.isfinite(lat))
+    if not len(finite):
+        return None, finite
+    places = _Places(lon[finite], lat[finite])
+    return places, finite[places.order]
 
 
 def _per_square(points: DataFrame, edges: DataFrame, keys: Sequence[str], size: float, rows_per_task: int | None, solve, schema) -> DataFrame:
@@ -108,10 +280,12 @@ def _per_square(points: DataFrame, edges: DataFrame, keys: Sequence[str], size:
     limit = rows_per_task or SQUARE_ROWS
     squares = _in_squares(points.select(_POINT), size)
     cells = _polygon_cells(edges, keys, size, rows_per_task)
-    dealt, repeated = deal(squares, cells, _CELL, hot_keys(squares, _CELL, limit), limit)
-    at = [*_CELL, "_slice"]
-    once = dealt.repartition(*at).groupBy("_cx", "_cy", "_slice", *_POINT).agg(F.count(F.lit(1)).alias("copies"))
-    return once.groupBy(*at).cogroup(repeated.groupBy(*at)).applyInArrow(solve, schema)
+    hot, at = hot_keys(squares, _CELL, limit), [*_CELL]
+    if hot is not None:  # a constant slice would hide from the planner that all steps go by the same square
+        squares, cells = deal(squares, cells, _CELL, hot, limit)
+        at.append("_slice")
+    once = squares.repartition(*at).groupBy("_cx", "_cy", *at[3:], *_POINT).agg(F.count(F.lit(1)).alias("copies"))
+    return once.groupBy(*at).cogroup(cells.groupBy(*at)).applyInArrow(solve, schema)
 
 
 def containments(
@@ -127,16 +301,26 @@ def containments(
     kinds = [edges.schema[c] for c in polygon]
 
     def pairs(here: pa.Table, polygons: pa.Table) -> pa.Table:
-        none = np.zeros(0, int)
-        found = [(at + p, q) for at, held in _held(here, polygons) for p, q in [np.nonzero(held)]]
-        point, poly = (np.concatenate([f[i] for f in found] or [none]) for i in (0, 1))
+        point, poly = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        places, of = _dealt(here)
+        for first, whole, polys, found in _held(places, polygons) if places else ():
+            q, cell = np.nonzero(whole)
+            which, nth = _spread(places.counts[cell])
+            point += [of[places.starts[cell][which] + nth], of[found]]
+            poly += [first + q[which], first + polys]
+        point, poly = np.concatenate(point), np.concatenate(poly)
         columns = [*(here[c].take(point) for c in (*_POINT, "copies")), *(polygons[k].take(poly) for k in keys)]
         return pa.table(columns, names=[*_POINT, "copies", *keys])
 
     def numbers(here: pa.Table, polygons: pa.Table) -> pa.Table:
-        copies, total = here["copies"].to_numpy(), np.zeros(polygons.num_rows, np.int64)
-        for at, held in _held(here, polygons):
-            total += copies[at : at + len(held)] @ held
+        total = np.zeros(polygons.num_rows, np.int64)
+        places, of = _dealt(here)
+        if places:
+            copies = here["copies"].to_numpy()[of]
+            sums = np.diff(np.append(0, np.cumsum(copies))[np.append(places.starts, len(copies))])
+        for first, whole, polys, found in _held(places, polygons) if places else ():
+            total[first : first + len(whole)] += whole @ sums
+            np.add.at(total, first + polys, copies[found])
         hit = np.nonzero(total)[0]
         return pa.table([*(polygons[c].take(hit) for c in polygon), pa.array(total[hit])], names=[*polygon, "points"])
 
@@ -155,9 +339,19 @@ def mark_inside(
     """
 
     def solve(here: pa.Table, polygons: pa.Table) -> pa.Table:
-        inside = [held.any(axis=1) for _, held in _held(here, polygons)] or [np.zeros(0, bool)]
+        inside = np.zeros(here.num_rows, np.int32)
+        places, of = _dealt(here)
+        if places:
+            held = np.zeros(len(of), bool)
+            active = places.counts > 0
+            for _, whole, _, found in _held(places, polygons, active):
+                full = whole.any(axis=0)
+                held[found] = True
+                held |= np.repeat(full, places.counts)
+                active &= np.add.reduceat(np.append(~held, False), places.starts) > 0
+            inside[of] = held
         marked = here.select([*_POINT, "copies"])
-        return marked.append_column("inside", pa.array(np.concatenate(inside).astype(np.int32)))
+        return marked.append_column("inside", pa.array(inside))
 
     edges = ring_edges(vertices, ["bucket", *keys])
     schema = StructType([points.schema[c] for c in _POINT])

@@ -149,6 +149,51 @@ def test_crossings_are_not_rows(spark):
     assert rows(sums) == rows(summed) and len(rows(sums)) == 5
 
 
+@pytest.mark.parametrize("closed", [True, False])
+@pytest.mark.parametrize("grid", [True, False])
+def test_small_squares_equal_brute_force(closed, grid, monkeypatch):
+    """Also with rings that lack edges and points on vertices; most points are settled without a comparison."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    lon, lat = rng.uniform(0, 2.5, (2, 3000))
+    rings, odd = [rng.normal(0, s, (n, 2)) + rng.uniform(0, 2.5, 2) for s in (0.1, 1.0, 9.0) for n in (3, 5, 12)], np.arange(9) % 3 == 0
+    if grid:
+        lon, lat, rings = np.round(lon * 8) / 8, np.round(lat * 8) / 8, [np.round(v * 4) / 4 for v in rings]
+    edges = [np.column_stack([v, np.roll(v, -1, 0)]) for v in rings]
+    edges = [e[(e[:, 1] != e[:, 3]) & (closed | (rng.random(len(e)) < 0.6))] for e in edges]
+    kind = pa.list_(pa.struct([(c, pa.float64()) for c in ("x1", "y1", "x2", "y2")]))
+    listed = [[dict(zip(("x1", "y1", "x2", "y2"), map(float, r))) for r in e] for e in edges]
+    polygons_ = pa.table({"edges": pa.chunked_array([pa.array(listed, kind)]), "odd": odd})
+    want = np.repeat(odd[:, None], 3000, axis=1)
+    for q, e in enumerate(edges):
+        for x1, y1, x2, y2 in e:
+            want[q] ^= ((y1 > lat) != (y2 > lat)) & (lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1)
+    compared, real = [], containment._compared
+    monkeypatch.setattr(containment, "_compared", lambda places, at, *rest: compared.append(places.counts[at % places.g**2].sum()) or real(places, at, *rest))
+    monkeypatch.setattr(containment, "_PAIRS", 500)
+    places, of = containment._dealt(pa.table({"lon": np.append(lon, np.nan), "lat": np.append(lat, 1.0)}))
+    got = np.zeros((9, 3001), bool)
+    for first, whole, polys, found in containment._held(places, polygons_):
+        for q, cell in zip(*np.nonzero(whole)):
+            got[first + q, of[places.starts[cell] : places.starts[cell] + places.counts[cell]]] = True
+        got[first + polys, of[found]] = True
+    assert (got[:, :3000] == want).all() and not got[:, 3000].any()
+    assert sum(compared) < sum(map(len, edges)) * 3000 / (1 if grid or not closed else 3)
+
+
+def test_points_are_shuffled_by_square_only(spark):
+    ring = [(0, 0, k, x, y) for k, (x, y) in enumerate([(0.0, 0.0), (9.0, 1.0), (8.0, 9.0)])]
+    vertices = spark.createDataFrame(ring, "bucket int, poly int, vertice int, x double, y double")
+    points = spark.createDataFrame([("f", 1, 1.0, 1.0, 0)], "flightid string, dt_radar long, lon double, lat double, bucket int")
+    marked = containment.mark_inside(points, vertices)
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    of_points = plan[plan.index("FlatMapCoGroupsInArrow") :].split("\n")
+    of_points = of_points[: next(i for i, line in enumerate(of_points) if i and "Scan" in line) + 1]
+    assert sum("Exchange" in line for line in of_points) == 1
+
+
 def test_most_exposed_falls_back_to_densest(spark):
     marked = spark.createDataFrame([("a", 0, 1), ("b", 0, 1), ("b", 0, 2)], "flightid string, inside int, copies long")
     assert containment.most_exposed(marked).first()["flightid"] == "b"
