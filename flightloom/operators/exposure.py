@@ -2,19 +2,24 @@
 
 A storm's circle is laid out on nested squares, as far as these hold points: a square that lies wholly inside is a count for all its points, at
 whatever level it is found; only squares on the rim are divided further, and only points in rim squares of the smallest size are compared
-with the storm itself. So a storm that covers half the globe costs some hundred squares and not a row per point.
+with the storm itself. So a storm that covers half the globe costs some hundred squares and not a row per point. Hits per flight
+are counted by hour, on the smallest squares only, without a row per storm and square.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import geo
 from ..session import cut_lineage
-from .skew import hot_keys, skew_join
+from .skew import deal, hot_keys, skew_join
 
 KM_PER_DEGREE = geo.EARTH_KM * math.pi / 180.0
 #: Sides of the squares in degrees; each square has 64 of the next size.
@@ -208,9 +213,162 @@ def point_exposure(points: DataFrame, storms: DataFrame, rows_per_task: int | No
     return every.groupBy("flightid", "dt_radar").agg(F.max("hit").alias("flight_through_area"))
 
 
+#: Points of an hour, and storms of an hour, that one task solves at once; comparisons and (storm, row of squares) held at a time.
+HOUR_ROWS = 500_000
+_PAIRS, _SPANS = 1_000_000, 200_000
+
+
+def _repeated(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each position as often as its count says, and the number of each repetition from 0 on."""
+    which = np.repeat(np.arange(len(counts)), counts)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _unit(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    lat, lon = np.radians(lat), np.radians(lon)
+    return np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)])
+
+
+def _span(middle, half, side, angle, s_lat, lon):
+    """First and last columns that a storm may reach in a row of squares, and those it covers; see :func:`_spans`. No columns: last before first."""
+    up = np.sin(middle) * np.sin(s_lat)
+    flat = np.maximum(np.cos(middle) * np.abs(np.cos(s_lat)), 1e-15)
+    ends = []
+    for a, slack in ((angle + half, 1e-6), (angle - half, -1e-6)):
+        c = np.where(a >= math.pi, -2.0, (np.cos(a) - up) / flat)
+        wide = np.where(c <= -1, 360.0, np.degrees(np.arccos(np.clip(c, -1, 1))) + slack)
+        none = (c > 1) | (a < 0)
+        ends.append(np.where(none, 0, np.ceil((lon - wide + 180.0) / side - 0.5)).astype(np.int64))
+        ends.append(np.where(none, -1, np.floor((lon + wide + 180.0) / side - 0.5)).astype(np.int64))
+    return ends
+
+
+def storms_at(lat: np.ndarray, lon: np.ndarray, s_lat: np.ndarray, s_lon: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """For each point the number of storms that reach it.
+
+    Points are sorted by row and column of the smallest squares, so neighbouring squares of a row are one run of points. A storm adds one to
+    all squares of a row that it covers, by the ends of that span; points on its rim are compared with it.
+    """
+    every = np.isnan(radius) | (radius > geo.EARTH_KM * math.pi + SLACK)
+    total = np.full(len(lat), int(every.sum()), np.int64)
+    fine = np.flatnonzero(np.isfinite(lat) & np.isfinite(lon))
+    storm = ~every & np.isfinite(s_lat) & np.isfinite(s_lon)
+    if not len(fine) or not storm.any():
+        return total
+    s_lat, s_lon, radius = s_lat[storm], s_lon[storm], radius[storm]
+    side = SIDES[-1]
+    rows, cols = round(180 / side), round(360 / side)
+    row = np.clip(np.floor((lat[fine] + 90.0) / side), 0, rows - 1).astype(np.int64)
+    col = np.minimum(np.floor(np.mod(lon[fine] + 180.0, 360.0) / side).astype(np.int64), cols - 1)
+    order = np.argsort(row * cols + col, kind="stable")
+    cell = (row * cols + col)[order]
+    fine = fine[order]
+    lat, lon = lat[fine], lon[fine]
+    starts = np.append(0, np.cumsum(np.bincount(cell, minlength=rows * cols)))
+    at = _unit(lat, lon)
+    centre, angle = _unit(s_lat, s_lon), radius / geo.EARTH_KM
+    least = np.cos(angle)
+    # A centre beyond a pole lies on the other side of the globe.
+    turned = s_lon + np.where(np.cos(np.radians(s_lat)) < 0, 180.0, 0.0)
+    place = np.arcsin(np.clip(np.sin(np.radians(s_lat)), -1, 1))
+    reach = np.degrees(angle) + 1e-6
+    first = np.clip(np.floor((np.degrees(place) - reach + 90.0) / side), row.min(), rows - 1).astype(np.int64)
+    last = np.clip(np.floor((np.degrees(place) + reach + 90.0) / side), 0, row.max()).astype(np.int64)
+    spans = np.maximum(last - first + 1, 0)
+    upto = np.cumsum(spans)
+    covered = np.zeros((rows, 2 * cols + 1), np.int64)
+    hits = np.zeros(len(lat), np.int64)
+    done = 0
+    while done < len(spans):
+        before = upto[done] - spans[done]
+        some = max(done + 1, int(np.searchsorted(upto, before + _SPANS, "right")))
+        k, nth = _repeated(spans[done:some])
+        k += done
+        r = first[k] + nth
+        filled = starts[(r + 1) * cols] > starts[r * cols]
+        k, r = k[filled], r[filled]
+        middle = -90.0 + (r + 0.5) * side
+        wide = np.cos(np.radians(np.maximum(np.abs(middle) - side / 2, 0.0)))
+        half = (side / 2 * np.sqrt(1 + wide * wide) * KM_PER_DEGREE + SLACK) / geo.EARTH_KM
+        west, east, low, high = _span(np.radians(middle), half, side, angle[k], np.radians(s_lat)[k], turned[k])
+        size = np.clip(high - low + 1, 0, cols)
+        inner = size > 0
+        np.add.at(covered, (r[inner], low[inner] % cols), 1)
+        np.add.at(covered, (r[inner], low[inner] % cols + size[inner]), -1)
+        around = east - west + 1 >= cols
+        # What is reached and not covered: one run of columns or two.
+        begin = np.where(inner & around, high + 1, west)
+        number = np.where(inner, np.where(around, cols - size, low - west), np.minimum(east - west + 1, cols))
+        second = np.where(inner & ~around, east - high, 0)
+        k, r = np.concatenate([k, k]), np.concatenate([r, r])
+        begin, number = np.concatenate([begin, high + 1]) % cols, np.maximum(np.concatenate([number, second]), 0)
+        # Runs over the end of the row go on at its beginning.
+        over = np.maximum(begin + number - cols, 0)
+        a = np.concatenate([starts[r * cols + begin], starts[r * cols]])
+        b = np.concatenate([starts[r * cols + begin + number - over], starts[r * cols + over]])
+        some_points = np.flatnonzero(b > a)
+        _rim(hits, (lat, lon, at), np.concatenate([k, k])[some_points], a[some_points], (b - a)[some_points], (s_lat, s_lon, radius, centre, least))
+        done = some
+    inside = np.cumsum(covered, axis=1)
+    hits += (inside[:, :cols] + inside[:, cols : 2 * cols]).reshape(-1)[cell]
+    total[fine] += hits
+    return total
+
+
+def _rim(hits: np.ndarray, points: tuple, storm: np.ndarray, start: np.ndarray, count: np.ndarray, storms: tuple) -> None:
+    """Adds the storms of each run of points that reach its points: by the cosine of the angle between them, close cases by the distance itself."""
+    lat, lon, at = points
+    s_lat, s_lon, radius, centre, least = storms
+    upto = np.cumsum(count)
+    done = 0
+    while done < len(count):
+        some = max(done + 1, int(np.searchsorted(upto, upto[done] - count[done] + _PAIRS, "right")))
+        which, nth = _repeated(count[done:some])
+        p, k = np.repeat(start[done:some], count[done:some]) + nth, storm[done:some]
+        more = sum(at[i][p] * centre[i][k][which] for i in range(3)) - least[k][which]
+        near = more > 0
+        close = np.flatnonzero(np.abs(more) < 1e-9)
+        if len(close):
+            q, s = p[close], k[which[close]]
+            high, wide = np.sin(np.radians(s_lat[s] - lat[q]) / 2), np.sin(np.radians(s_lon[s] - lon[q]) / 2)
+            chord = high * high + np.cos(np.radians(lat[q])) * np.cos(np.radians(s_lat[s])) * wide * wide
+            near[close] = 2 * geo.EARTH_KM * np.arcsin(np.sqrt(np.clip(chord, 0.0, 1.0))) <= radius[s]
+        found = p[near]
+        if len(found):
+            low = found.min()
+            n = np.bincount(found - low)
+            hits[low : low + len(n)] += n
+        done = some
+
+
+def _hits_by_flight(here: pa.Table, storms: pa.Table) -> pa.Table:
+    """(flightid, hour, number of (point, storm) pairs) of the points and storms of one hour."""
+    known = np.asarray(pc.and_(pc.is_valid(here["lat"]), pc.is_valid(here["lon"])))
+    lat, lon = (here[c].to_numpy()[known] for c in ("lat", "lon"))
+    n = np.zeros(here.num_rows, np.int64)
+    n[known] = storms_at(lat, lon, *(storms[c].to_numpy() for c in ("s_lat", "s_lon", "radius_km"))) if storms.num_rows else 0
+    counted = pa.table({"flightid": here["flightid"], "hour_ts": here["hour_ts"], "n": pa.array(n * here["_copies"].to_numpy())})
+    return counted.group_by(["flightid", "hour_ts"]).aggregate([("n", "sum")]).select(["flightid", "hour_ts", "n_sum"]).rename_columns(["flightid", "hour_ts", "n"])
+
+
 def flight_exposure(points: DataFrame, storms: DataFrame, rows_per_task: int | None = None) -> DataFrame:
-    """Per flight: number of (point, storm) hits and the first hour in which there was any storm."""
-    hours = _met(points.select(_POINT), storms, rows_per_task).groupBy("flightid", "hour_ts").agg(F.sum("n").alias("n"))
+    """Per flight: number of (point, storm) hits and the first hour in which there was any storm.
+
+    Points and storms are shuffled once, by hour, and solved there; hours with very many of either are dealt to several tasks.
+    """
+    limit = rows_per_task or HOUR_ROWS
+    here = points.select("flightid", "hour_ts", *(F.col(c).cast("double").alias(c) for c in ("lat", "lon")))
+    cells, at = _known(storms).withColumns({c: F.col(c).cast("double") for c in _STORM}), ["hour_ts"]
+    many_points, many_storms = hot_keys(here, at, limit), hot_keys(cells, at, limit)
+    if many_points is not None:
+        here, cells = (d.withColumnRenamed("_slice", "_of_points") for d in deal(here, cells, ["hour_ts"], many_points, limit))
+        at.append("_of_points")
+    if many_storms is not None:
+        cells, here = (d.withColumnRenamed("_slice", "_of_storms") for d in deal(cells, here, ["hour_ts"], many_storms, limit))
+        at.append("_of_storms")
+    once = here.repartition(*at).groupBy(*here.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    schema = StructType([points.schema["flightid"], points.schema["hour_ts"], StructField("n", LongType())])
+    hours = once.groupBy(*at).cogroup(cells.groupBy(*at)).applyInArrow(_hits_by_flight, schema)
     stormy = storms.select("hour_ts", F.lit(True).alias("_stormy")).distinct()
     hours = skew_join(hours, stormy, ["hour_ts"], "left", rows_per_task)
     return hours.groupBy("flightid").agg(

@@ -301,3 +301,37 @@ def test_components_across_tiles(spark, monkeypatch, tile):
     whole = rows(proximity.proximity_components(table))
     monkeypatch.setattr(proximity, "TILE", tile)
     assert rows(proximity.proximity_components(table)) == whole and len({r[2] for r in whole}) < 60
+
+
+@pytest.mark.parametrize("pairs,spans", [(1_000_000, 200_000), (300, 7)])
+def test_storms_at_points_equal_brute_force(pairs, spans, monkeypatch):
+    """Also on whole degrees, at the poles and the date line, with storms of no size and of the size of the globe."""
+    import numpy as np
+
+    monkeypatch.setattr(exposure, "_PAIRS", pairs)
+    monkeypatch.setattr(exposure, "_SPANS", spans)
+    rng = np.random.default_rng(2)
+    lat, lon = np.round(rng.uniform(-90, 90, 400)), np.round(rng.uniform(-180, 180, 400))
+    lat[:10], lat[10:20], lon[20:30], lon[30:40] = 90, -90, 180, -180
+    s_lat, s_lon = np.round(rng.uniform(-120, 120, 150)), np.round(rng.uniform(-400, 400, 150))
+    s_lat[:20], s_lon[:20] = lat[10:30], lon[10:30]
+    radius = rng.choice([0.0, 5.0, 250.0, 1000.0, 4000.0, 12000.0, 20010.0, 25000.0], 150)
+    want = [sum(_km(p, s) <= r for s, r in zip(zip(s_lat, s_lon), radius)) for p in zip(lat, lon)]
+    assert exposure.storms_at(lat, lon, s_lat, s_lon, radius).tolist() == want
+
+
+def test_flight_exposure_meets_storms_by_hour_only(spark):
+    """Storms are not rows per square, and points are shuffled once."""
+    points, storms, p, s = _storm_data(spark, 6)
+    p = p.unionByName(p.limit(3).withColumns({"flightid": F.lit("nowhere"), "lat": F.lit(None).cast("double")}))
+    p = p.unionByName(p.limit(2).withColumns({"flightid": F.lit("never"), "hour_ts": F.lit(None).cast("timestamp")}))
+    found = exposure.flight_exposure(p, s)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "_row" not in plan and "Generate" not in plan
+    got = {r["flightid"]: r["flight_through_area"] for r in found.collect()}
+    assert got["nowhere"] == got["never"] == 0 and found.where("flightid = 'never'").first()["first_storm_hour"] is None
+    many = [(0, 10.0, 20.0, 100.0)] * 50 + [(0, 10.0, 20.5, 100.0 + i) for i in range(50)]
+    crowd = spark.createDataFrame(many, "h int, lat double, lon double, radius_km double").withColumn("hour_ts", F.timestamp_seconds("h"))
+    one = spark.createDataFrame([(f"f{i % 3}", i, 10.0, 20.0) for i in range(60)], "flightid string, dt_radar long, lat double, lon double")
+    one = one.withColumn("hour_ts", F.timestamp_seconds(F.lit(0)))
+    assert rows(exposure.flight_exposure(one, crowd, 7), "flightid", "flight_through_area") == [(f"f{i}", 2000) for i in range(3)]
