@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,3 +196,27 @@ def test_passages_leave_small_tables(spark, monkeypatch):
     for i, k in ((i, k) for i in range(24) for k in range(12)):
         assert any(r.doc_id == i and abs(r.start - 75 * k) <= 5 and abs(r.stop - 75 * k - 60) <= 5 for r in got)
     assert sum(t.count() for t in written) < 2 * sum(len(t.split()) for t in texts)
+
+
+def test_alike_runs_equal_sets():
+    rng = np.random.default_rng(7)
+    for kinds in (3, 40, 1000):
+        mine = rng.integers(0, kinds, 400).astype(np.uint64)
+        other = np.where(rng.random(400) < 0.85, mine, rng.integers(0, kinds, 400).astype(np.uint64))
+        starts = rng.integers(0, 380, 200)
+        there = np.where(rng.random(200) < 0.5, starts, rng.integers(0, 380, 200))
+        sets = [(set(mine[s : s + 20].tolist()), set(other[u : u + 20].tolist())) for s, u in zip(starts, there)]
+        for percent in (50, 80):
+            want = [100 * len(a & b) >= percent * len(a | b) for a, b in sets]
+            assert substrings.alike(mine, other, starts, there, 20, percent).tolist() == want
+
+
+def test_seeds_of_all_rows_are_read_at_once(monkeypatch):
+    rows = np.zeros(7, substrings._TIGHT)
+    rows["sig"], rows["low"], rows["width"], rows["place"] = np.arange(7), 10 * np.arange(7), 3, 2
+    column = pa.array([[rows[:2].tobytes(), rows[2:3].tobytes()], [], [rows[3:].tobytes()]], pa.list_(pa.binary()))
+    reads, real = [], np.frombuffer
+    monkeypatch.setattr(substrings.np, "frombuffer", lambda *a: reads.append(1) or real(*a))
+    got = list(substrings._seeds(column))
+    assert [len(x) for x in got] == [3, 0, 4] and len(reads) == 1
+    assert [tuple(x) for x in np.concatenate(got)] == [(i, 10 * i, 10 * i + 3, 10 * i + 2, 0) for i in range(7)]
